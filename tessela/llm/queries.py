@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing, piece_codec, toxicity
+from . import exact_dedup, langid, licenses, packing, pii, piece_codec, toxicity
 from .common import documents, table
 
 
@@ -24,10 +24,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.annotate(documents(spark, sf_dir))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(documents(spark, sf_dir))
     return found.selectExpr("doc_id", "keep_id", "group_size", "kept", "digest AS text_sha256")
@@ -37,7 +45,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_pii": op5_pii,
     "op6_piece_codec": op6_piece_codec,
+    "op7_licenses": op7_licenses,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
