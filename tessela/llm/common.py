@@ -88,6 +88,23 @@ def filter_by(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(side, on, how)
 
 
+#: A key is hot when it holds 1/HOT_SHARE of the rows; so there are at most HOT_SHARE.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, verdict: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` left-joined with ``verdict`` (one row per ``key``; ``size`` is the number
+    of rows with it).  Hot keys are joined by broadcast, so no shuffled key is large;
+    rows with a null key get null."""
+    n = rows.count()
+    hot = verdict.filter(F.col(size) * HOT_SHARE >= n).withColumn("__hot", F.lit(True)).limit(HOT_SHARE)
+    first = rows.join(F.broadcast(hot), key, "left")
+    known = first.filter("__hot").drop("__hot")
+    rest = first.filter("__hot is null").select(*rows.columns)
+    cold = verdict.filter(F.col(size) * HOT_SHARE < n)
+    return known.unionByName(rest.join(cold, key, "left"))
+
+
 def tokenizer_bytes(path: str) -> bytes:
     """A tokenizer file's content, read by the driver; executors get it by broadcast."""
     return Path(path).read_bytes()

@@ -24,10 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, filter_by, scratch, text_of, written
-
-#: A digest is hot when it holds 1/HOT_SHARE of the rows; so there are at most HOT_SHARE.
-HOT_SHARE = 1000
+from .common import ascii_lower, attach, filter_by, scratch, text_of, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -77,15 +74,9 @@ class DigestIndex:
 
 
 def decide(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Joins each row with the verdict on its digest; hot digests by broadcast.
-    Rows whose digest has no verdict were in the index before."""
-    n = rows.count()
-    hot = verdict.filter(F.col("group_size") * HOT_SHARE >= n).withColumn("hot", F.lit(True)).limit(HOT_SHARE)
-    first = rows.join(F.broadcast(hot), "digest", "left")
-    known = first.filter("hot").drop("hot")
-    rest = first.filter("hot is null").select("rid", "doc_id", "digest")
-    cold = verdict.filter(F.col("group_size") * HOT_SHARE < n)
-    out = known.unionByName(rest.join(cold, "digest", "left"))
+    """Joins each row with the verdict on its digest.  Rows whose digest has no verdict
+    were in the index before."""
+    out = attach(rows, verdict, "digest", "group_size")
     return out.select(
         "rid", "doc_id", "digest", "keep_id", "group_size",
         F.col("group_size").isNull().alias("seen"),
