@@ -1,27 +1,51 @@
-"""Training-data pipeline over ``documents``; each stage is written as Parquet and
-read again as the next one's input."""
+"""Training-data pipeline over ``documents``: toxic documents go, then exact copies, then
+near copies; personal data is masked; what is left is packed into sequences.
+
+Each stage is written as Parquet and read again as the next one's input.  Every stage
+but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessela.llm import exact_dedup, ngram_join, packing, pii, toxicity
+from tessela.llm.common import documents, scratch, table
 
-from tessela.llm import exact_dedup, packing
-from tessela.llm.common import documents, scratch
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents of ``sf_dir``; rejected documents go."""
+    model = toxicity.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.survivors(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("PII", mask_personal_data),
     ("packing", pack),
 ]
 
+#: Trained classifiers and exact tokenizers have no SQL form; tests hold the pipeline
+#: against a brute-force version.
 ORACLE_SQL = None
 
 

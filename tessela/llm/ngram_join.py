@@ -325,3 +325,12 @@ def join(docs: DataFrame) -> DataFrame:
     verdict = written(named.join(least, "root").select("sid", "component_id", "copies"), "verdicts")
     out = attach(member, verdict, "sid", "copies")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("doc_id"))).alias("component_id"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the smallest doc_id.  Rows with
+    a null doc_id stay."""
+    gone = join(docs).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    ids = written(gone, "near-copies")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return docs.join(side, docs["doc_id"] == ids["__gone"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity
+from . import exact_dedup, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity
 from .common import documents, table
 
 
@@ -40,6 +40,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_pairs(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(documents(spark, sf_dir))
     return found.selectExpr("doc_id", "keep_id", "group_size", "kept", "digest AS text_sha256")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_piece_codec": op6_piece_codec,
     "op7_licenses": op7_licenses,
+    "op8_imatch": op8_imatch,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
