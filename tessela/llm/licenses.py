@@ -8,12 +8,12 @@ positions, postings of one template are intersected on the relative position
 (position in the text minus offset in the template), and a template stands where every
 offset is met.  A label also needs its mandatory phrases.
 
-Everything is DataFrame expressions: one pass for the frequencies, one for the scan,
-a broadcast join with the postings (as many rows as the templates have words) and an
-aggregate per text, whose rows come from one text and are combined map-side.
+Everything is DataFrame expressions: one pass for the frequencies, whose aggregate has
+at most one row per vocabulary word and task, and one narrow pass for the scan; no text
+and no position is shuffled.
 
 Defined cases: null text is empty text (no words, no labels, score 0); a null or
-repeated doc_id is one row each (rows are keyed by a generated id inside the scan); a
+repeated doc_id is one row each; a
 word of any length or script is a word; an empty table gives no rows.
 """
 
@@ -55,8 +55,12 @@ MORE = {
 }
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), NON_WORD), lambda w: w != "")
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words_of(low: Column) -> Column:
+    """Words of a lowered text; only the ends of a split can be empty."""
+    return F.filter(F.split(low, NON_WORD), lambda w: w != "")
 
 
 def templates() -> list[tuple[str, str, list[str]]]:
@@ -70,13 +74,13 @@ def vocabulary() -> list[str]:
 
 
 def document_frequencies(docs: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of every vocabulary word, over all documents."""
-    vocab = vocabulary()
-    lowered = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text_of()), NON_WORD, " "), F.lit(" ")).alias("t")
-    hits = [F.sum(F.when(F.contains("t", F.lit(f" {w} ")), 1).otherwise(0)).alias(f"w{i}") for i, w in enumerate(vocab)]
-    row = docs.select(lowered).agg(F.count(F.lit(1)).alias("n"), *hits).first()
-    n = row["n"]
-    return {w: rarity((n + 1) / ((row[f"w{i}"] or 0) + 0.5)) for i, w in enumerate(vocab)}
+    """Inverse document frequency of every vocabulary word, over all documents: at most
+    one row per word and task is shuffled."""
+    vocab = F.array(*[F.lit(w) for w in vocabulary()])
+    met = docs.select(F.explode(F.array_intersect(F.split(ascii_lower(text_of()), NON_WORD), vocab)).alias("w"))
+    df = {r["w"]: r["count"] for r in met.groupBy("w").count().collect()}
+    n = docs.count()
+    return {w: rarity((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary()}
 
 
 def rarity(x: float) -> float:
@@ -85,47 +89,49 @@ def rarity(x: float) -> float:
     return max(0.0, math.log(x))
 
 
+def places(idf: dict[str, float]) -> tuple[Column, Column, list[str]]:
+    """(anchors of ``words``, array of (phrase, start) where a template stands, the
+    anchor words).  Positions of
+    anchors are looked up once; each names the start of its templates, whose other
+    words must be met at their distance."""
+    known = templates()
+    anchor = {pid: max(range(len(ws)), key=lambda k: (idf[ws[k]], -k)) for pid, _, ws in known}
+    rare = sorted({ws[anchor[pid]] for pid, _, ws in known})
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*rare))
+
+    def standing(pid: str, ws: list[str]):
+        own = F.filter("anchors", lambda h: (h["w"] == ws[anchor[pid]]) & (h["i"] >= anchor[pid]))
+        full = F.filter(own, lambda h: F.slice(F.col("words"), h["i"] - anchor[pid] + 1, F.lit(len(ws))) == F.array(*[F.lit(w) for w in ws]))
+        return F.transform(full, lambda h: F.struct(F.lit(pid).alias("phrase"), (h["i"] - anchor[pid]).cast("long").alias("start")))
+
+    return at, F.concat(*[standing(pid, ws) for pid, _, ws in known]), rare
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score."""
-    spark = docs.sparkSession
+    base_labels, labels, score.  A narrow pass."""
     idf = document_frequencies(docs)
     known = templates()
-    anchors = sorted({max(ws, key=lambda w: (idf[w], w)) for _, _, ws in known})
-    postings = spark.createDataFrame(
-        [(w, pid, off, len(ws)) for pid, _, ws in known for off, w in enumerate(ws)], "word string, phrase string, off int, size int"
-    )
     weights = {pid: sum(idf[w] for w in ws) for pid, _, ws in known}
     top = max(weights.values(), default=1.0) or 1.0
+    anchors, stands, rare = places(idf)
 
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), words_of(text_of()).alias("words"), text_of().alias("t"))
+    low = docs.select("doc_id", ascii_lower(text_of()).alias("low"))
     spotted = F.lit(False)
-    for a in anchors:
-        spotted = spotted | F.contains(F.col("low"), F.lit(a))
-    base = base.withColumn("low", ascii_lower(F.col("t"))).withColumn("n_words", F.size("words").cast("long"))
-    # a text without an anchor sends one empty posting, so that every text keeps its row
-    vocab = F.array(*[F.lit(w) for w in vocabulary()])
-    pairs = F.when(spotted, F.filter(F.transform(F.col("words"), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda p: F.array_contains(vocab, p["word"])))
-    found = base.select("rid", "doc_id", "n_words", F.explode_outer(pairs).alias("hit")).select("rid", "doc_id", "n_words", "hit.word", "hit.pos")
-    met = found.join(F.broadcast(postings), "word", "left")
-    at = met.groupBy("rid", "doc_id", "n_words", "phrase", (F.col("pos") - F.col("off")).alias("start")).agg(
-        F.count(F.lit(1)).alias("k"), F.first("size").alias("size")
-    )
-    stands = F.when(F.col("k") == F.col("size"), F.col("phrase"))
-    placed = at.select("rid", "doc_id", "n_words", "start", stands.alias("phrase"))
-    per_doc = placed.groupBy("rid", "doc_id", "n_words").agg(
-        F.count(F.when(F.col("phrase").startswith("base "), 1)).alias("n_base"),
-        F.min(F.when(F.col("phrase").startswith("base "), F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(F.col("phrase").startswith("base "), F.col("start"))).cast("long").alias("last_word"),
-        F.collect_set("phrase").alias("phrases"),
-    )
-    base_labels = label_list([(label, [f"base {p}"]) for p, label in BASE.items()])
-    labels = label_list(
-        [(label, [f"base {p}"]) for p, label in BASE.items()] + [(label, [f"more {label} {i}" for i in range(len(ps))]) for label, ps in MORE.items()]
-    )
+    for a in rare:
+        spotted = spotted | F.contains("low", F.lit(a))
+    none = F.array().cast("array<string>")
+    # only texts that hold an anchor are cut into words; the others' words are counted
+    rows = low.select("doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.when(spotted, words_of(F.col("low"))).otherwise(none).alias("words"))
+    placed = rows.withColumn("anchors", anchors).withColumn("at", stands)
+    base = F.filter("at", lambda p: F.startswith(p["phrase"], F.lit("base ")))
+    found = placed.select("doc_id", "n_words", F.transform(base, lambda p: p["start"]).alias("starts"), F.array_distinct("at.phrase").alias("phrases"))
+    base_rules = [(label, [f"base {p}"]) for p, label in BASE.items()]
+    more_rules = [(label, [f"more {label} {i}" for i in range(len(ps))]) for label, ps in MORE.items()]
     rarest = F.greatest(F.lit(0.0), *[F.when(F.array_contains("phrases", pid), F.lit(w / top)) for pid, w in weights.items()])
-    return per_doc.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", base_labels.alias("base_labels"), labels.alias("labels"),
+    return found.select(
+        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").alias("first_word"), F.array_max("starts").alias("last_word"),
+        label_list(base_rules).alias("base_labels"), label_list(base_rules + more_rules).alias("labels"),
         F.when(F.size("phrases") > 0, 0.5 + 0.5 * rarest).otherwise(0.0).alias("score"),
     )
 
