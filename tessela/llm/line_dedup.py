@@ -1,10 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line is lower-cased (A-Z) and trimmed; its shingles are all runs of ``SHINGLE``
-characters, taken by one look-ahead pattern in linear time and hashed to 64 bits.  One
-sort of the hashes gives the signature: the hash range is cut into ``BINS`` equal bins
-and the least hash of each is one MinHash row (an empty bin is a value too).  Bands of
-``ROWS`` bins are bucket keys.  Within a bucket every line is paired with one centre;
+characters, hashed to 64 bits in linear time.  The signature is the bottom of
+the MinHash order: the ``BANDS + ROWS - 1`` least hashes, and each window of ``ROWS``
+consecutive ones is a bucket key.  Of two lines of similarity s a window starts at a
+common hash and holds only common ones with a chance of about s ** ROWS, so that with
+``BANDS`` windows hardly a pair of 0.75 or more is missed.
+Within a bucket every line is paired with one centre;
 exact Jaccard over the shingles decides; links are united by distributed star
 contractions; buckets whose lines still lie in several components give their remaining
 pairs.  One line of a component stays: the earliest by (doc_id, line number).
@@ -29,10 +31,8 @@ from .components import components
 
 SHINGLE = 10
 SIMILARITY = 0.75
-BIN_BITS = 5
-BINS = 1 << BIN_BITS
-ROWS = 3
-BANDS = BINS // ROWS
+#: Least hashes in a bucket key, and keys of a line.
+ROWS, BANDS = 3, 12
 
 
 def normal(line: Column) -> Column:
@@ -40,30 +40,21 @@ def normal(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of all shingles of a line, in order."""
+    """Hashes of all shingles of a line, in order: a look-ahead captures the characters
+    at every position in one scan."""
     parts = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
     return F.when(F.length(line) > SHINGLE, F.transform(parts, lambda s: F.xxhash64(s))).otherwise(F.array(F.xxhash64(line)))
 
 
-def band_keys(hashes: Column) -> Column:
-    """Bucket keys of a line: for each band the hash of its bins' least hashes."""
-    ordered = F.sort_array(hashes)
-    bin_of = lambda h: F.shiftright(h, 64 - BIN_BITS)
-    # the least of each bin: an element whose bin differs from its predecessor's
-    least = F.aggregate(
-        ordered,
-        F.struct(F.lit(-BINS).cast("long").alias("bin"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, h: F.when(bin_of(h) == acc["bin"], acc).otherwise(F.struct(bin_of(h).alias("bin"), F.concat(acc["kept"], F.array(h)).alias("kept"))),
-        lambda acc: acc["kept"],
-    )
-    return least
+def signature(hashes: Column) -> Column:
+    """The least hashes of a line, in order."""
+    return F.slice(F.sort_array(hashes), 1, BANDS + ROWS - 1)
 
 
 def keys_of(least: Column) -> Column:
-    band = lambda h: F.floor((F.shiftright(h, 64 - BIN_BITS) + BINS // 2) / ROWS)
-    own = lambda j: F.filter(least, lambda h: band(h) == j)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.when(F.size(own(j)) > 0, F.xxhash64(j, own(j))))
-    return F.array_compact(keys)
+    """Bucket keys: the hash of every ``ROWS`` consecutive values of a signature."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(least) - ROWS + 1, F.lit(1)))
+    return F.transform(starts, lambda j: F.xxhash64(F.slice(least, j, F.lit(ROWS))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -73,10 +64,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.withColumn("lid", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
-def buckets(docs: DataFrame) -> DataFrame:
-    """(key, lid): the bands of every distinct line, copies merged map-side."""
-    lines = lines_of(docs).filter("lid is not null").select("lid", band_keys(shingles(F.col("line"))).alias("least"))
-    return lines.select("lid", F.explode(keys_of(F.col("least"))).alias("key")).groupBy("key", "lid").agg(F.lit(1).alias("one")).select("key", "lid")
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, line_no, lid, least of every line: the only pass that makes all
+    shingles."""
+    sign = F.when(F.col("lid").isNotNull(), signature(shingles(F.col("line"))))
+    return lines_of(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "line_no", "lid", sign.alias("least"))
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, lid): the bucket keys of every distinct line, copies merged map-side."""
+    keyed = rows.filter("lid is not null").select("lid", F.explode(keys_of(F.col("least"))).alias("key"))
+    return keyed.groupBy("key", "lid").agg(F.lit(1).alias("one")).select("key", "lid")
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -112,8 +110,9 @@ def open_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line: doc_id, line_no, component_doc_id and component_line_no (the line
     that stays; null for blank lines), component_size (lines in all), kept."""
-    rows = written(lines_of(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "line_no", "lid"), "line-rows")
-    keyed = written(buckets(docs), "buckets")
+    signed = written(signed_lines(docs), "line-rows")
+    rows = signed.drop("least")
+    keyed = written(buckets(signed), "buckets")
     links = written(similar(docs, written(star_pairs(keyed), "star-pairs"), similarity), "line-links")
     roots = written(components(links, "a", "b"), "line-roots")
     rest = written(open_pairs(keyed, roots), "open-pairs")
