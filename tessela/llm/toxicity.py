@@ -39,7 +39,7 @@ PER_CLASS = 4000
 THRESHOLD = 0.3
 GAINS = (2, 3, 4, 5, 6)
 CACHE = 300_000
-BASE_BYTES, TOXIC_BYTES, LEVEL = 32_768, 16_384, 19
+BASE_BYTES, TOXIC_BYTES, LEVEL = 32_768, 16_384, 9
 #: Bytes after each window, also in both dictionaries: the compressor looks for no
 #: match in the last bytes of its input.
 TAIL = b"0123456789~!@#$%^&*()_+=[]{};:<>"
@@ -125,7 +125,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     least = 3 if len(toxic) >= 100 else 1
     base = train_dictionary(BASE_BYTES, [" ".join(ws).encode() for ws in kept if ws], k=24, d=6)
     special = train_dictionary(TOXIC_BYTES, [w for t in toxic for w in telling(t)], k=24, d=6)
-    return base + TAIL, special + base + TAIL
+    return base + TAIL, base + special + TAIL
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
