@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tessela.llm import exact_dedup, ngram_join, packing, pii, toxicity
 from tessela.llm.common import documents, scratch, table
+from tessela.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents of ``sf_dir``; rejected documents go."""
+    ship(spark)
     model = toxicity.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return toxicity.reject(docs, model)
 
@@ -25,6 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return ngram_join.survivors(docs)
 
 
@@ -33,6 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack(docs)
 
 
