@@ -36,18 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, attach, written
+from .common import BROADCAST_IDS, arrow_rows, attach, drop_path, scratch, written
 from .components import components
 
 WORDS = 5
 #: A column counts as wide from so many sets on; at most so many wide columns are ordered.
-WIDE, MAX_WIDE = 32, 400_000
+WIDE, MAX_WIDE = 16, 400_000
 #: Sets that share a column in one batch before it is reported for counting.
-LOCAL_WIDE = 3
+LOCAL_WIDE = 2
 #: Bytes of postings that a block is meant to hold.
 BLOCK_BYTES = 8 << 20
-CHUNK = 2000
-_WORD_CACHE = 400_000
+#: Rows of an Arrow batch, and shingles that a worker holds before it sends on.
+ARROW_ROWS, HELD = 1000, 4_000_000
+_WORD_CACHE = 150_000
 
 
 class WordHashes(dict):
@@ -109,28 +110,50 @@ def distinct_sets(texts) -> dict[int, np.ndarray]:
     return out
 
 
+def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, count) of the values that occur at least LOCAL_WIDE times; uses up
+    ``parts``, so that few copies are alive at a time."""
+    every = np.concatenate(parts)
+    parts.clear()
+    every.sort()
+    again = np.flatnonzero(every[1:] == every[:-1])
+    h, c = np.unique(every[again], return_counts=True)
+    return h[c + 1 >= LOCAL_WIDE], c[c + 1 >= LOCAL_WIDE] + 1
+
+
 def membership(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, sid) of documents, and rows (shingle, seen) of columns that
     several sets of one batch share."""
 
+    none = lambda m: pa.nulls(m, pa.int64())
+
+    def wide_rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            h, c = repeated(parts)
+            m = len(h)
+            if m:
+                yield pa.RecordBatch.from_arrays([none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names_of)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, held = set(), [], 0
         for batch in batches:
-            ids, sizes, names, sets = batch.column(0), [], [], {}
+            sizes, names, sets = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py())
                 sizes.append(len(s))
                 names.append(set_id(s) if len(s) else None)
-                if len(s):
-                    sets[names[-1]] = s
+                if len(s) and names[-1] not in seen:
+                    seen.add(names[-1])
+                    sets.append(s)
             k = len(sizes)
-            none = lambda m: pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)], names_of)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)], names_of)
             if sets:
-                h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                h, c = h[c >= LOCAL_WIDE], c[c >= LOCAL_WIDE]
-                if len(h):
-                    m = len(h)
-                    yield pa.RecordBatch.from_arrays([none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names_of)
+                parts.append(np.concatenate(sets))
+                held += len(parts[-1])
+            if held >= HELD:
+                yield from wide_rows(parts)
+                seen, parts, held = set(), [], 0
+        yield from wide_rows(parts)
 
     names_of = ["doc_id", "n", "sid", "shingle", "seen"]
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, shingle long, seen long")
@@ -162,10 +185,27 @@ def postings(docs: DataFrame, wide: tuple[np.ndarray, np.ndarray], n_blocks: int
     """Packed prefix postings, one row for each batch and block."""
     sent = docs.sparkSession.sparkContext.broadcast(wide)
 
+    def packed(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        rows = np.concatenate(parts)
+        parts.clear()
+        block = ((rows["h"] >> np.uint64(24)) % np.uint64(n_blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        rows, block = rows[order], block[order]
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        blobs = [x.tobytes() for x in np.split(rows, cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[np.concatenate([[0], cuts])], pa.int64()), pa.array(blobs, pa.binary())], ["block", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, held = set(), [], 0
         for batch in batches:
-            parts = []
-            for name, s in distinct_sets(batch.column(0)).items():
+            for t in batch.column(0):
+                s = shingle_set(t.as_py())
+                name = set_id(s) if len(s) else None
+                if name is None or name in seen:
+                    continue
+                seen.add(name)
                 rank = ranks(s, sent.value)
                 if rank.any():
                     s = s[np.argsort(rank, kind="stable")]
@@ -174,15 +214,11 @@ def postings(docs: DataFrame, wide: tuple[np.ndarray, np.ndarray], n_blocks: int
                 rows = np.empty(p, POSTING)
                 rows["h"], rows["sid"], rows["n"], rows["pos"] = s[:p], name, n, np.arange(p)
                 parts.append(rows)
-            if not parts:
-                continue
-            rows = np.concatenate(parts)
-            block = ((rows["h"] >> np.uint64(24)) % np.uint64(n_blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            rows, block = rows[order], block[order]
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            blobs = [x.tobytes() for x in np.split(rows, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[np.concatenate([[0], cuts])], pa.int64()), pa.array(blobs, pa.binary())], ["block", "rows"])
+                held += n
+            if held >= HELD:
+                yield from packed(parts)
+                seen, held = set(), 0
+        yield from packed(parts)
 
     return docs.select("text").mapInArrow(run, "block long, rows binary")
 
@@ -230,8 +266,8 @@ def table(a, b, n, pos) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, items): packed shingles of the wanted sets, each from the one document
-    that ``wanted`` (sid, doc) names.  Up to a counted bound the wanted ids are
+    """(sid, items, sketch): packed shingles of the wanted sets and their sketches, each
+    from the one document that ``wanted`` (sid, doc_id) names.  Up to a counted bound the wanted ids are
     broadcast; beyond it every set is made and semi-joined."""
     small = wanted.count() <= BROADCAST_IDS
     sent = None
@@ -241,48 +277,97 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, CHUNK):
-                found = distinct_sets(batch.column(0).slice(i, CHUNK))
-                if sent is not None:
-                    keys = sent.value
-                    names = np.fromiter(found, np.int64, len(found))
-                    at = np.searchsorted(keys, names)
-                    hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == names) if len(keys) else np.zeros(len(names), bool)
-                    found = {int(k): found[int(k)] for k in names[hit]}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["sid", "items"]
-                )
+            found = distinct_sets(batch.column(0))
+            if sent is not None:
+                keys = sent.value
+                names = np.fromiter(found, np.int64, len(found))
+                at = np.searchsorted(keys, names)
+                hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == names) if len(keys) else np.zeros(len(names), bool)
+                found = {int(k): found[int(k)] for k in names[hit]}
+            items = [s.tobytes() for s in found.values()]
+            tops = [sketch_of(s) for s in found.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int64()), pa.array(items, pa.binary()), pa.array(tops, pa.binary())], ["sid", "items", "sketch"]
+            )
 
     owner = wanted.select(F.col("doc_id").alias("__owner"))
     named = docs.join(F.broadcast(owner), docs["doc_id"].eqNullSafe(owner["__owner"]), "left_semi") if small else docs
-    made = named.select("text").mapInArrow(run, "sid long, items binary")
+    made = named.select("text").mapInArrow(run, "sid long, items binary, sketch binary")
     return made if small else made.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact overlap links them."""
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = written(ids.join(owners, "sid").select("sid", "doc_id"), "wanted-sets")
-    sets = written(sets_of(docs, wanted), "sets")
-    left = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
+def shared_items(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    if not len(p) or not len(q):
+        return 0
+    x, k = np.unique(p, return_counts=True)
+    y, m = np.unique(q, return_counts=True)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.minimum(k, m[at])[y[at] == x].sum())
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """The size of a set, then 16 bits of each shingle in the lowest quarter of the hash
+    range: about a sixteenth of the set."""
+    low = s[: np.searchsorted(s, np.uint64(1 << 62))]
+    return len(s).to_bytes(4, "little") + (low >> np.uint64(46)).astype("<u2").tobytes()
+
+
+def may_link(x: memoryview, y: memoryview) -> bool:
+    """A bound from two sketches that no link fails: what the quarters share at most,
+    and all that the smaller rest could."""
+    n, m = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
+    p, q = np.frombuffer(x[4:], "<u2"), np.frombuffer(y[4:], "<u2")
+    rest = min(n - len(p), m - len(q))
+    return min(len(p), len(q)) + rest >= needed(n, m) and shared_items(p, q) + rest >= needed(n, m)
+
+
+def do_link(x: memoryview, y: memoryview) -> bool:
+    """The exact test on two whole sets."""
+    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return int((q[at] == p).sum()) >= needed(len(p), len(q))
+
+
+def passing(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) for whose sets ``test`` holds on the packed ``column``."""
+    left = sets.select(F.col("sid").alias("a"), F.col(column).alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col(column).alias("y"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                keep.append(int((q[at] == p).sum()) >= needed(len(p), len(q)))
+                keep.append(test(memoryview(x.as_buffer()), memoryview(y.as_buffer())))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact overlap links them, as a written table.  Sketches, a
+    sixteenth of the size, are compared first; whole sets travel only for what is left."""
+    spark = docs.sparkSession
+    wanted = written(ends(pairs).join(owners, "sid").select("sid", "doc_id"), "wanted-sets")
+    path = scratch(spark, "sets")
+    sets_of(docs, wanted).write.parquet(path)
+    sets = spark.read.parquet(path)
+    likely = written(passing(pairs, sets.select("sid", "sketch"), "sketch", may_link), "likely-pairs")
+    needed_ids = written(ends(likely), "likely-sets")
+    side = F.broadcast(needed_ids) if needed_ids.count() <= BROADCAST_IDS else needed_ids
+    out = written(passing(likely, sets.select("sid", "items").join(side, "sid", "left_semi"), "items", do_link), "links")
+    drop_path(spark, path)
+    return out
+
+
 def open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of sets that share a column, lie in different components and pass the
     bounds."""
@@ -303,6 +388,12 @@ def open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    # everything that runs Python is written before this returns
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _join(docs)
+
+
+def _join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = written(membership(docs), "membership")
     member = rows.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "sid")
@@ -312,13 +403,12 @@ def join(docs: DataFrame) -> DataFrame:
     found = written(products(postings(docs, wide, n_blocks), n_blocks), "products")
     owners = written(member.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "owners")
     pairs = written(found.filter("n is null").select("a", "b").distinct(), "pairs")
-    links = written(verified(docs, pairs, owners), "links")
+    links = verified(docs, pairs, owners)
     roots = written(components(links, "a", "b"), "roots")
     members = found.filter("n is not null").select(F.col("a").alias("column"), F.col("b").alias("sid"), "n", "pos")
     rest = written(open_pairs(members, roots), "open-pairs")
     if not rest.isEmpty():
-        more = written(verified(docs, rest, owners), "links")
-        links = links.unionByName(more)
+        links = links.unionByName(verified(docs, rest, owners))
         roots = written(components(links, "a", "b"), "roots")
     named = owners.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
