@@ -9,15 +9,15 @@ component for a subset is the hash of its sorted distinct terms there; the finge
 is the components in order.  Two fingerprints are alike to the share of equal
 components among those that either text fills.
 
-A term of the band is in at least ``LOW`` of the documents, so the lexicon has at most
-(mean distinct terms of a document) / LOW rows whatever the corpus: that bound is why it
-may be broadcast.
+The lexicon itself is randomised too: of the band's terms it holds the ``LEXICON`` with
+the smallest hashes.  So its size is bounded whatever the corpus, and membership is a
+set test inside an expression; nothing is joined with it.
 
 To set each document beside the next one (descending doc_id), documents are dealt to
 buckets of doc_id ranges: quantile cells by a decision tree over at most ``CELLS``
 bounds, each cut into equal widths of about ``BUCKET_ROWS`` rows.  A bucket's first
 document is also sent, as a guest, to the bucket before it.  Everything after that one
-exchange (neighbours, terms, components, likeness) stays in the bucket.
+exchange of texts (neighbours, terms, components, likeness) stays in the bucket.
 
 Defined cases: null text is empty text; null doc_ids come after all others, repeated
 ones are ordered by text hash; the only document follows itself; a text without a
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, ascii_lower, text_of, written
 
 LOW, HIGH = 0.001, 0.2
+LEXICON = 4096
 GROUPS, LEVELS, THIN = 16, 3, 8
 SUBSETS = GROUPS * LEVELS
 CELLS = 256
@@ -41,26 +42,39 @@ BUCKET_ROWS = 4000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CODE_BITS = 26
 NULL_KEY = -(1 << 63)
-EMPTY = "." * 8
+#: Marks the fingerprint of a text without a lexicon term.
+BARE = "all:"
 
 
-def terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(ascii_lower(text), SEPARATORS), lambda w: w != ""), lambda w: F.xxhash64(w)))
+def words_of(text: Column) -> Column:
+    """Terms of a text in order, perhaps with an empty one at either end."""
+    return F.split(ascii_lower(text), SEPARATORS)
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, code): a row for each subset that a term of the band is in."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, size: int = LEXICON) -> list[int]:
+    """Term hashes of the lexicon.  Frequencies are counted over all documents, with a
+    map-side combine; at most ``size`` numbers reach the driver."""
     n = docs.count()
-    found = docs.filter("text is not null").select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
-    band = found.filter((F.col("count") >= max(2.0, low * n)) & (F.col("count") <= max(2.0, high * n))).select("term")
-    h = F.xxhash64("term", F.lit(7))
-    codes = []
-    for level in range(LEVELS):
-        subset = F.lit(level * GROUPS) + F.pmod(F.shiftright(h, 8 * level), F.lit(GROUPS))
-        code = F.shiftleft(subset.cast("long"), CODE_BITS) + F.pmod(F.xxhash64("term", F.lit(11)), F.lit(1 << CODE_BITS))
-        codes.append(code if not level else F.when(F.pmod(F.shiftright(h, 40), F.lit(THIN**level)) == 0, code))
-    return band.select("term", F.explode(F.array_compact(F.array(*codes))).alias("code"))
+    each = docs.filter("text is not null").select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).filter("w <> ''")
+    found = each.groupBy(F.xxhash64("w").alias("term")).count()
+    band = found.filter((F.col("count") >= max(2.0, low * n)) & (F.col("count") <= max(2.0, high * n)))
+    return [r["term"] for r in band.orderBy(F.xxhash64("term", F.lit(3)), "term").select("term").limit(size).collect()]
+
+
+def codes_of(text: Column, lex: list[int]) -> Column:
+    """Sorted distinct codes (subset, term) of a text's lexicon terms."""
+    kept = F.array_distinct(F.filter(words_of(text), lambda w: (w != "") & F.xxhash64(w).isin(lex))) if lex else F.array().cast("array<string>")
+
+    def levels(w):
+        h, low = F.xxhash64(w, F.lit(7)), F.pmod(F.xxhash64(w, F.lit(11)), F.lit(1 << CODE_BITS))
+        out = []
+        for level in range(LEVELS):
+            subset = F.lit(level * GROUPS) + F.pmod(F.shiftright(h, 8 * level), F.lit(GROUPS))
+            code = F.shiftleft(subset.cast("long"), CODE_BITS) + low
+            out.append(code if not level else F.when(F.pmod(F.shiftright(h, 40), F.lit(THIN**level)) == 0, code))
+        return F.array(*out)
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(kept, levels)))))
 
 
 def cell_of(key: Column, bounds: list[int]) -> Column:
@@ -132,51 +146,52 @@ def edited_text() -> Column:
 
 
 def components_of(codes: Column) -> Column:
-    """The components of sorted distinct codes, as hexadecimal text or EMPTY."""
+    """An item for each subset that the sorted codes fill, in order: two digits for the
+    subset, then 32 bits of the hash of its terms, all in hexadecimal."""
+    start = F.struct(F.lit(-1).cast("long").alias("subset"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<string>").alias("items"))
 
-    def one(j):
-        own = F.filter(codes, lambda c: F.shiftright(c, CODE_BITS) == j)
-        return F.when(F.size(own) > 0, F.lower(F.lpad(F.hex(F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))).otherwise(EMPTY)
+    def closed(acc):
+        name = F.lpad(F.lower(F.hex(acc["subset"])), 2, "0")
+        item = F.concat(name, F.lpad(F.lower(F.hex(acc["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+        return F.when(acc["subset"] < 0, acc["items"]).otherwise(F.concat(acc["items"], F.array(item)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    def step(acc, code):
+        subset = F.shiftright(code, CODE_BITS)
+        same = F.struct(subset.alias("subset"), F.xxhash64(acc["hash"], code).alias("hash"), acc["items"].alias("items"))
+        fresh = F.struct(subset.alias("subset"), F.xxhash64(code).alias("hash"), closed(acc).alias("items"))
+        return F.when(subset == acc["subset"], same).otherwise(fresh)
+
+    return F.aggregate(codes, start, step, closed)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal components among those that either fills; equal fingerprints
-    are alike to 1, fingerprints of another form to 0."""
-    pairs = F.zip_with(F.split(a, "-"), F.split(b, "-"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    filled = F.filter(pairs, lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
-    same = F.size(F.filter(filled, lambda p: p["x"] == p["y"]))
-    share = F.when(F.size(filled) > 0, same / F.size(filled)).otherwise(0.0)
-    return F.when(a == b, 1.0).when(F.length(a) != F.length(b), 0.0).otherwise(share)
+    """Share of equal components among those that either fills; equal fingerprints are
+    alike to 1, and a text without components is like no other."""
+    x, y = F.split(a, "-"), F.split(b, "-")
+    names = lambda c: F.transform(c, lambda s: F.substr(s, F.lit(1), F.lit(2)))
+    share = F.size(F.array_intersect(x, y)) / F.size(F.array_union(names(x), names(y)))
+    bare = F.startswith(a, F.lit(BARE)) | F.startswith(b, F.lit(BARE))
+    return F.when(a == b, 1.0).when(bare, 0.0).otherwise(share)
+
+
+def fingerprint(text: Column, codes: Column) -> Column:
+    """The printed fingerprint of a text with these codes."""
+    whole = F.concat(F.lit(BARE), F.md5(F.array_join(F.array_sort(F.array_distinct(words_of(text))), " ").cast("binary")))
+    return F.when(F.size(codes) > 0, F.array_join(components_of(codes), "-")).otherwise(whole)
 
 
 def fingerprint_pairs(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next."""
-    lex = written(lexicon(docs, low, high), "lexicon").unionByName(docs.sparkSession.createDataFrame([(0, -1)], "term long, code long"))
+    lex = lexicon(docs, low, high)
     rows = beside_next(docs).withColumn("edited", edited_text())
-    two = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    facts = ["doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")]
-    sides = rows.select("bucket", "guest", "rn", *facts, F.explode(two).alias("s"))
-    # hash 0 stands for no term, so that every side keeps a row
-    listed = sides.select("bucket", "guest", "rn", "doc_id", "n_chars", "edited_sha256", "s.side", F.concat(F.array(F.lit(0).cast("long")), terms(F.col("s.t"))).alias("terms"))
-    whole = F.md5(F.array_join(F.transform(F.array_sort("terms"), lambda h: h.cast("string")), ",").cast("binary"))
-    each = listed.withColumn("whole", whole).select("bucket", "guest", "rn", "doc_id", "n_chars", "edited_sha256", "side", "whole", F.explode("terms").alias("term"))
-    coded = each.join(F.broadcast(lex), "term")
-    keys = ["bucket", "guest", "rn", "side"]
-    got = coded.groupBy(*keys).agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.first("whole").alias("whole"),
-        F.array_sort(F.collect_set("code")).alias("codes"),
-    )
-    codes = F.filter("codes", lambda c: c >= 0)
-    printed = got.withColumn("fp", F.when(F.size(codes) > 0, F.array_join(components_of(codes), "-")).otherwise(F.col("whole")))
-    pair = printed.groupBy("bucket", "guest", "rn").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"),
-        F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fingerprint"),
+    coded = rows.withColumn("own_codes", codes_of(F.col("text"), lex)).withColumn("edited_codes", codes_of(F.col("edited"), lex))
+    printed = coded.select(
+        "bucket", "guest", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("text"), F.col("own_codes")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("edited_codes")).alias("edited_fingerprint"),
     )
     w = W.partitionBy("bucket").orderBy("rn")
-    out = pair.withColumn("next_fp", F.lead("fingerprint").over(w)).filter("guest = 0")
+    out = printed.withColumn("next_fp", F.lead("fingerprint").over(w)).filter("guest = 0")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
