@@ -8,6 +8,7 @@ told apart by their position in a written table (``rid``), so null or repeated
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
 from pathlib import Path
@@ -105,6 +106,18 @@ def attach(rows: DataFrame, verdict: DataFrame, key: str, size: str) -> DataFram
     return known.unionByName(rest.join(cold, key, "left"))
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of at most ``n`` rows for what is executed inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tokenizer_bytes(path: str) -> bytes:
     """A tokenizer file's content, read by the driver; executors get it by broadcast."""
     return Path(path).read_bytes()

@@ -322,4 +322,4 @@ def redact(docs: DataFrame, model: SpanClassifier | None = None) -> DataFrame:
     model = model or learn(docs)
     spans = "__spans"
     text = F.when(F.col("text").isNull(), F.col("text")).when(F.size(spans) > 0, masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
-    return docs.withColumn(spans, accepted(text_of(), model)).withColumn("text", text).select(*docs.columns)
+    return docs.withColumn(spans, accepted(text_of(), model)).withColumn("text", text).drop(spans)

@@ -76,4 +76,17 @@ ORACLE_SQL: dict[str, str] = {
                count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d""",
+    "op10_ngram_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS gs FROM w),
+        s AS (SELECT doc_id, unnest(gs) AS gram, len(gs) AS n FROM g),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.other = p.a)
+        SELECT r.doc_id, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, min(other) AS component_id
+        FROM r JOIN g ON g.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
