@@ -12,9 +12,11 @@ stopped.  The batch form has a closed expression over a window.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,7 +79,9 @@ def block_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 
 
 def gated_stream(blocks: DataFrame, model: bool = False) -> DataFrame:
-    """GATED rows of a stream, in append mode.  Needs the RocksDB state store."""
+    """GATED rows of a stream, in append mode.  Needs the RocksDB state store.  The
+    processor travels by value: the driver-side runner of a stream knows no added files."""
+    register_pickle_by_value(sys.modules[__name__])
     return blocks.groupBy("clip_id").transformWithStateInPandas(
         statefulProcessor=DecayedPeak(model), outputStructType=GATED, outputMode="Append", timeMode="None"
     )
