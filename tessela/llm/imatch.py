@@ -9,9 +9,9 @@ component for a subset is the hash of its sorted distinct terms there; the finge
 is the components in order.  Two fingerprints are alike to the share of equal
 components among those that either text fills.
 
-The lexicon itself is randomised too: of the band's terms it holds the ``LEXICON`` with
-the smallest hashes.  So its size is bounded whatever the corpus, and membership is a
-set test inside an expression; nothing is joined with it.
+The lexicon is the whole band.  A term of it is in at least ``LOW`` of the documents, so
+there are at most (mean distinct terms of a document) / LOW whatever the corpus: that
+bound is why it may be a literal set; nothing is joined with it.
 
 To set each document beside the next one (descending doc_id), documents are dealt to
 buckets of doc_id ranges: quantile cells by a decision tree over at most ``CELLS``
@@ -21,8 +21,8 @@ exchange of texts (neighbours, terms, components, likeness) stays in the bucket.
 
 Defined cases: null text is empty text; null doc_ids come after all others, repeated
 ones are ordered by text hash; the only document follows itself; a text without a
-lexicon term is fingerprinted by all its terms and is like equal fingerprints only; an
-empty table gives no rows.
+lexicon term is fingerprinted by the md5 of all its terms and by the components of them
+all, and is compared by these with other such texts only; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, ascii_lower, text_of, written
 
 LOW, HIGH = 0.001, 0.2
-LEXICON = 4096
 GROUPS, LEVELS, THIN = 16, 3, 8
 SUBSETS = GROUPS * LEVELS
 CELLS = 256
@@ -51,19 +50,26 @@ def words_of(text: Column) -> Column:
     return F.split(ascii_lower(text), SEPARATORS)
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, size: int = LEXICON) -> list[int]:
-    """Term hashes of the lexicon.  Frequencies are counted over all documents, with a
-    map-side combine; at most ``size`` numbers reach the driver."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
+    """Term hashes of the lexicon, in order.  Frequencies are counted over all documents,
+    with a map-side combine; only the band reaches the driver."""
     n = docs.count()
     each = docs.filter("text is not null").select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).filter("w <> ''")
     found = each.groupBy(F.xxhash64("w").alias("term")).count()
     band = found.filter((F.col("count") >= max(2.0, low * n)) & (F.col("count") <= max(2.0, high * n)))
-    return [r["term"] for r in band.orderBy(F.xxhash64("term", F.lit(3)), "term").select("term").limit(size).collect()]
+    return sorted(r["term"] for r in band.select("term").collect())
 
 
-def codes_of(text: Column, lex: list[int]) -> Column:
-    """Sorted distinct codes (subset, term) of a text's lexicon terms."""
-    kept = F.array_distinct(F.filter(words_of(text), lambda w: (w != "") & F.xxhash64(w).isin(lex))) if lex else F.array().cast("array<string>")
+def kept_terms(name: str, lex: list[int]) -> Column:
+    """Distinct lexicon terms of the words in column ``name``.  The set is given as SQL
+    text: one call instead of one for each of its literals."""
+    if not lex:
+        return F.array().cast("array<string>")
+    return F.expr(f"array_distinct(filter({name}, w -> w <> '' and xxhash64(w) in ({','.join(f'{h}L' for h in lex)})))")
+
+
+def codes_of(terms: Column) -> Column:
+    """Sorted distinct codes (subset, term) of distinct terms."""
 
     def levels(w):
         h, low = F.xxhash64(w, F.lit(7)), F.pmod(F.xxhash64(w, F.lit(11)), F.lit(1 << CODE_BITS))
@@ -74,7 +80,7 @@ def codes_of(text: Column, lex: list[int]) -> Column:
             out.append(code if not level else F.when(F.pmod(F.shiftright(h, 40), F.lit(THIN**level)) == 0, code))
         return F.array(*out)
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(kept, levels)))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(terms, levels)))))
 
 
 def cell_of(key: Column, bounds: list[int]) -> Column:
@@ -166,29 +172,35 @@ def components_of(codes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal components among those that either fills; equal fingerprints are
-    alike to 1, and a text without components is like no other."""
-    x, y = F.split(a, "-"), F.split(b, "-")
+    alike to 1, those of a text with and one without a lexicon term to 0."""
+    x, y = (F.filter(F.split(c, "-"), lambda s: ~F.startswith(s, F.lit(BARE))) for c in (a, b))
     names = lambda c: F.transform(c, lambda s: F.substr(s, F.lit(1), F.lit(2)))
-    share = F.size(F.array_intersect(x, y)) / F.size(F.array_union(names(x), names(y)))
-    bare = F.startswith(a, F.lit(BARE)) | F.startswith(b, F.lit(BARE))
+    filled = F.size(F.array_union(names(x), names(y)))
+    share = F.when(filled > 0, F.size(F.array_intersect(x, y)) / filled).otherwise(0.0)
+    bare = F.startswith(a, F.lit(BARE)) != F.startswith(b, F.lit(BARE))
     return F.when(a == b, 1.0).when(bare, 0.0).otherwise(share)
 
 
-def fingerprint(text: Column, codes: Column) -> Column:
-    """The printed fingerprint of a text with these codes."""
-    whole = F.concat(F.lit(BARE), F.md5(F.array_join(F.array_sort(F.array_distinct(words_of(text))), " ").cast("binary")))
-    return F.when(F.size(codes) > 0, F.array_join(components_of(codes), "-")).otherwise(whole)
+def fingerprint(words: Column, kept: Column, codes: Column) -> Column:
+    """The printed fingerprint of a text with these words, lexicon terms and codes."""
+    whole = F.concat(F.lit(BARE), F.md5(F.array_join(F.array_sort(F.array_distinct(words)), " ").cast("binary")))
+    items = components_of(codes)
+    return F.array_join(F.when(F.size(kept) > 0, items).otherwise(F.concat(F.array(whole), items)), "-")
 
 
 def fingerprint_pairs(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next."""
     lex = lexicon(docs, low, high)
-    rows = beside_next(docs).withColumn("edited", edited_text())
-    coded = rows.withColumn("own_codes", codes_of(F.col("text"), lex)).withColumn("edited_codes", codes_of(F.col("edited"), lex))
+    coded = beside_next(docs).withColumn("edited", edited_text())
+    for side, text in (("own", "text"), ("edited", "edited")):
+        coded = coded.withColumn(f"{side}_words", words_of(F.col(text))).withColumn(f"{side}_kept", kept_terms(f"{side}_words", lex))
+        every = F.array_distinct(F.filter(f"{side}_words", lambda w: w != ""))
+        coded = coded.withColumn(f"{side}_codes", codes_of(F.when(F.size(f"{side}_kept") > 0, F.col(f"{side}_kept")).otherwise(every)))
+    printed_of = lambda side: fingerprint(F.col(f"{side}_words"), F.col(f"{side}_kept"), F.col(f"{side}_codes"))
     printed = coded.select(
         "bucket", "guest", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("own_codes")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("edited_codes")).alias("edited_fingerprint"),
+        printed_of("own").alias("fingerprint"), printed_of("edited").alias("edited_fingerprint"),
     )
     w = W.partitionBy("bucket").orderBy("rn")
     out = printed.withColumn("next_fp", F.lead("fingerprint").over(w)).filter("guest = 0")

@@ -35,3 +35,14 @@ def test_odd_rows(docs_of):
     only = imatch.fingerprint_pairs(docs_of([(None, "a b c")])).collect()
     assert only[0].near_next == 1.0
     assert len(imatch.fingerprint_pairs(docs_of([(1, "a b"), (1, "a b"), (None, None), (None, "x")])).collect()) == 4
+
+
+def test_the_whole_band_is_the_lexicon(docs_of):
+    rows = [(i, " ".join(f"w{j}" for j in range(i // 2 * 50, i // 2 * 50 + 50))) for i in range(200)]
+    assert len(imatch.lexicon(docs_of(rows))) == 5000
+
+
+def test_texts_without_a_lexicon_term_are_compared_by_all_terms(docs_of):
+    rows = [(i, " ".join(f"only{i}x{j}" for j in range(40))) for i in range(3)]
+    bare = imatch.fingerprint_pairs(docs_of(rows)).collect()
+    assert all(r.fingerprint.startswith(imatch.BARE) and 0 < r.near_edited < 1 and r.near_next == 0 for r in bare)
