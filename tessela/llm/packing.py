@@ -23,6 +23,7 @@ import base64
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,32 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: The published split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The vocabulary's one special token; ``tokenizers`` matches it inside texts.
+SPECIAL = {"<|endoftext|>": 50256}
+
 _encoders: dict[int, object] = {}
 
 
-def encoder(ranks_file: bytes):
-    """Token ids of one text; the vocabulary is built once per worker process."""
+def vocabulary(ranks_file: bytes):
+    """The vocabulary, built once per worker process."""
     key = zlib.crc32(ranks_file)
     if key not in _encoders:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
-        _encoders[key] = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[key].encode_ordinary
+        _encoders[key] = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return _encoders[key]
+
+
+def encoder(ranks_file: bytes):
+    """Token ids of one text as ordinary text, special tokens spelt out."""
+    return vocabulary(ranks_file).encode_ordinary
+
+
+def document_encoder(ranks_file: bytes):
+    """Token ids of one text as ``tokenizers`` gives them by default: a special token
+    written in the text gets its own id."""
+    return partial(vocabulary(ranks_file).encode, allowed_special="all")
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -133,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, bl
     ranks = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer or default_tokenizer("byte_bpe_50k.tiktoken")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks.value)
+        encode = document_encoder(ranks.value)
         packer = Packer(TaskContext.get().partitionId(), window)
         out: list[tuple] = []
         for batch in batches:

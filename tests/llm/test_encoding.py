@@ -52,6 +52,19 @@ def test_encoder_equals_tokenizers():
     assert packing.SPLIT == public_tokenizers.PATTERN
 
 
+def test_packing_takes_the_default_tokenizers_ids(docs_of):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.document_encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    mark = "<|endoftext|>"
+    special = [f"a{mark}b", mark, f"{mark}{mark}", f"  {mark} \n{mark}  x", f"x  {mark}", f"<|{mark}|>", "<|endoftext|"]
+    texts = [*pool(3, 500), *special]
+    assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encode(x) for x in texts]
+    assert encode(f"a{mark}b") == [64, 50256, 65]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for i, x in enumerate(special)}
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs_of([*enumerate(special)])).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_closest_fill_is_optimal(seed):
     rng = random.Random(seed)
