@@ -87,13 +87,13 @@ def similar(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of ``least`` or more."""
     ids = written(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = written(lines_of(docs).select("lid", "line").join(side, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line")), "lines")
-    left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
-    # sizes bound the similarity before any shingle is made
-    ratio = F.least(F.length("x"), F.length("y")) - SHINGLE + 1 >= least * (F.greatest(F.length("x"), F.length("y")) - SHINGLE + 1) * 0.5
-    both = pairs.join(right, "b").join(left, "a").filter(ratio)
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
-    met = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
+    texts = lines_of(docs).select("lid", "line").join(side, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
+    texts = written(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "lines")
+    left, right = (texts.select(F.col("lid").alias(i), F.col("line").alias(t), F.col("n").alias(k)) for i, t, k in (("a", "x", "n"), ("b", "y", "m")))
+    # the sizes of the sets bound the similarity before any shingle is made again
+    both = pairs.join(right, "b").join(left, "a").filter(F.least("n", "m") >= least * F.greatest("n", "m"))
+    sets = both.select("a", "b", "n", "m", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
+    met = sets.select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("k"))
     return met.filter(F.col("k") >= least * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b")
 
 

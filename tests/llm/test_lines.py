@@ -57,3 +57,8 @@ def test_lines(docs_of):
     missed = sum((r.component_doc_id, r.component_line_no, r.component_size, r.kept) != want.get((r.doc_id is None, r.doc_id, r.line_no), (None, None, None, True)) for r in got)
     assert missed <= 0.02 * len(got)
     assert line_dedup.dedup_lines(docs_of([])).collect() == []
+
+
+def test_rulers_of_any_length(docs_of):
+    got = line_dedup.dedup_lines(docs_of([(0, "-" * 30), (1, "-" * 100)])).collect()
+    assert {(r.doc_id, r.component_doc_id, r.component_size, r.kept) for r in got} == {(0, 0, 2, True), (1, 0, 2, False)}
