@@ -5,7 +5,10 @@ characters, hashed to 64 bits in linear time.  The signature is the bottom of
 the MinHash order: the ``BANDS + ROWS - 1`` least hashes, and each window of ``ROWS``
 consecutive ones is a bucket key.  Of two lines of similarity s a window starts at a
 common hash and holds only common ones with a chance of about s ** ROWS, so that with
-``BANDS`` windows hardly a pair of 0.75 or more is missed.
+``BANDS`` windows hardly a pair of 0.75 or more is missed.  Shingles are sets: repeats
+count once.  Lines of few shingles take single hashes instead, as many of the least as a
+pair of ``SIMILARITY`` must share one of (``FEW`` is where windows of all hashes also
+lose none), so that no pair of short lines is missed.
 Within a bucket every line is paired with one centre;
 exact Jaccard over the shingles decides; links are united by distributed star
 contractions; buckets whose lines still lie in several components give their remaining
@@ -33,6 +36,9 @@ SHINGLE = 10
 SIMILARITY = 0.75
 #: Least hashes in a bucket key, and keys of a line.
 ROWS, BANDS = 3, 12
+#: Below so many shingles a line has single hashes as keys; its partners have at most
+#: (FEW - 1) / SIMILARITY, and have them too.
+FEW = 8
 
 
 def normal(line: Column) -> Column:
@@ -47,14 +53,17 @@ def shingles(line: Column) -> Column:
 
 
 def signature(hashes: Column) -> Column:
-    """The least hashes of a line, in order."""
-    return F.slice(F.sort_array(hashes), 1, BANDS + ROWS - 1)
+    """The least distinct hashes of a line, in order."""
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, BANDS + ROWS - 1)
 
 
 def keys_of(least: Column) -> Column:
-    """Bucket keys: the hash of every ``ROWS`` consecutive values of a signature."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(least) - ROWS + 1, F.lit(1)))
-    return F.transform(starts, lambda j: F.xxhash64(F.slice(least, j, F.lit(ROWS))))
+    """Bucket keys: the hash of every ``ROWS`` consecutive values of a signature; for few
+    shingles, of single ones (of n, two lines alike share one of the n - 0.75 n + 1 least)."""
+    n = F.size(least)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - ROWS + 1, F.lit(1))), lambda j: F.xxhash64(F.slice(least, j, F.lit(ROWS))))
+    singles = F.transform(F.slice(least, F.lit(1), (n - F.ceil(n * SIMILARITY) + 1).cast("int")), lambda h: F.xxhash64(F.array(h)))
+    return F.when(n < FEW, singles).when(n <= int((FEW - 1) / SIMILARITY), F.concat(singles, windows)).otherwise(windows)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -62,3 +62,21 @@ def test_lines(docs_of):
 def test_rulers_of_any_length(docs_of):
     got = line_dedup.dedup_lines(docs_of([(0, "-" * 30), (1, "-" * 100)])).collect()
     assert {(r.doc_id, r.component_doc_id, r.component_size, r.kept) for r in got} == {(0, 0, 2, True), (1, 0, 2, False)}
+
+
+def test_repeats_and_short_lines(docs_of):
+    rng = random.Random(4)
+    rows = [(i, t) for i, t in enumerate(["-" * 11, "-" * 12, "-" * 30, "-" * 100, "word " * 50 + "w", "word " * 500 + "w"])]
+    pairs = []
+    for n in range(12, 19):
+        for _ in range(30):
+            line = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+            pairs.append((line, line + "q"))
+    rows += [(100 + i, "\n".join(p)) for i, p in enumerate(pairs)]
+    got = line_dedup.dedup_lines(docs_of(rows)).collect()
+    first = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_size, r.kept) for r in got}
+    assert all(first[i, 0] == (0, 4, i == 0) for i in range(4))
+    assert all(first[i, 0] == (4, 2, i == 4) for i in (4, 5))
+    for i, (a, b) in enumerate(pairs):
+        assert len(shingles(a) & shingles(b)) >= 0.75 * len(shingles(a) | shingles(b))
+        assert first[100 + i, 0] == (100 + i, 2, True) and first[100 + i, 1] == (100 + i, 2, False)
