@@ -61,7 +61,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+(])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])",
-    "secret": r"(?i)(?:token|secret|api_?key|password|passwd)[\"']? ?[:=] ?[\"'][A-Za-z0-9_+/=-]{16,200}[\"']",
+    "secret": r"(?i)(?:token|secret|api_?key|password|passwd)[\"']? ?[:=] ?[\"'][A-Za-z0-9_+/=-]{16,}+[\"']",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap necessary condition of each pattern, on the raw text.

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessela.llm import licenses, pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -58,6 +60,12 @@ def test_redact_hides_spans(docs_of):
     assert "abcdefgh" not in out[4]
 
 
+def test_long_secrets_are_candidates(docs_of):
+    texts = [f'api_key = "{"aB3" * n}"' for n in (6, 66, 67, 3000)] + ['api_key = "' + "aB3" * 3000]
+    rows = docs_of(list(enumerate(texts))).select("doc_id", F.size(pii.matches("secret", pii.prepared("secret", F.col("text")))).alias("n"))
+    assert [r.n > 0 for r in rows.orderBy("doc_id").collect()] == [True, True, True, True, False]
+
+
 def test_pii_empty_table(docs_of):
     assert pii.annotate(docs_of([])).collect() == []
 
