@@ -9,6 +9,7 @@ told apart by their position in a written table (``rid``), so null or repeated
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
 import zlib
 from pathlib import Path
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Folder name used when the session names no spark.checkpoint.dir (tests).
-LOCAL_SCRATCH = "/tmp/tessela-scratch"
+#: Set to a folder when a local session (tests) names no spark.checkpoint.dir.
+_local_scratch: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that the driver and all executors see.  A session that names none may
+    only be a local one, where any folder is shared."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    if not _local_scratch:
+        _local_scratch.append(tempfile.mkdtemp(prefix="spark-tessela-"))
+    return _local_scratch[0]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -46,14 +55,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path through Spark's file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and that nothing will read again, through
+    Spark's file system layer."""
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_of(name: str = "text") -> Column:

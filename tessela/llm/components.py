@@ -5,7 +5,7 @@ neighbourhood, then all smaller ones; the edge set never grows beyond its size a
 start and ends as one star for each component, after a number of rounds that is
 logarithmic in the number of nodes in practice.  A node's smallest neighbour is a map-side combined
 minimum, no neighbourhood is ever gathered, and each round's edges are a written
-table, so lost executors cost one round at most.
+table, so lost executors cost one round at most; the round before is deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_table, written
 
 
 def smallest(edges: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     edges = written(tidy(ends), "edges")
     before = None
     for _ in range(max_rounds):
-        edges = written(tidy(small_star(tidy(large_star(edges)))), "edges")
+        last, edges = edges, written(tidy(small_star(tidy(large_star(edges)))), "edges")
+        drop_table(last)
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break

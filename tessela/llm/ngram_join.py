@@ -9,13 +9,18 @@ the whole matrix.  Size-derived bounds keep the product sparse:
   enter the product: two linked sets share one of these;
 * the order puts columns met often last (counted over all documents), so that wide
   columns do not enter at all unless a set consists of little else;
-* a pair is dropped where its sizes, or what its positions leave over, cannot reach
-  the overlap that linking needs: ceil(3(n+m)/7).
+* a pair is dropped where its sizes, what its positions leave over, or the parity
+  sketches of its two rows cannot reach the overlap that linking needs: ceil(3(n+m)/7).
+
+A parity sketch holds, for each of ``SKETCH`` classes of columns, whether a row has an odd
+number of them; every bit that differs stands for at least one column of only one of the
+rows, so the bound never fails a link.
 
 A column of many sets is not multiplied out: it is first tied to its best placed set, a
-star of as many pairs as members.  The pairs' exact overlaps are then counted on the
-whole sets, links are contracted to components, and only columns whose members still
-lie in several components give their remaining pairs.
+star of as many pairs as members.  For the pairs that pass the bounds the overlap is
+accumulated column block by column block, links are contracted to components, and in
+columns whose members still lie in several components the members outside the centre's
+component meet the others, behind the same bounds.
 
 Equal sets are one row of the matrix, merged per batch before anything is shuffled;
 documents join their set's verdict with hot sets by broadcast.
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow_rows, attach, drop_path, scratch, written
+from .common import BROADCAST_IDS, arrow_rows, attach, drop_table, written
 from .components import components
 
 WORDS = 5
@@ -47,7 +52,12 @@ LOCAL_WIDE = 2
 #: Bytes of postings that a block is meant to hold.
 BLOCK_BYTES = 8 << 20
 #: Rows of an Arrow batch, and shingles that a worker holds before it sends on.
-ARROW_ROWS, HELD = 1000, 4_000_000
+ARROW_ROWS, HELD = 1000, 3_000_000
+#: Bits of a parity sketch, held in longs.
+SKETCH = 512
+PARITY = [f"p{i}" for i in range(SKETCH // 64)]
+#: Blocks of columns over which an overlap is accumulated, by the top bits of a hash.
+COLUMN_BLOCKS = 4
 _WORD_CACHE = 150_000
 
 
@@ -87,6 +97,12 @@ def set_id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: for each class of shingles, whether their number is odd."""
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n):
     return n - (3 * n + 3) // 4 + 1
 
@@ -101,15 +117,6 @@ def needed(n, m):
     return (3 * (n + m) + 6) // 7
 
 
-def distinct_sets(texts) -> dict[int, np.ndarray]:
-    out: dict[int, np.ndarray] = {}
-    for t in texts:
-        s = shingle_set(t.as_py())
-        if len(s):
-            out[set_id(s)] = s
-    return out
-
-
 def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(value, count) of the values that occur at least LOCAL_WIDE times; uses up
     ``parts``, so that few copies are alive at a time."""
@@ -122,9 +129,9 @@ def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def membership(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sid) of documents, and rows (shingle, seen) of columns that
-    several sets of one batch share."""
-
+    """Rows (doc_id, n, sid, parity sketch) of documents, and rows (shingle, seen) of
+    columns that several sets of one batch share."""
+    names_of = ["doc_id", "n", "sid", "shingle", "seen", *PARITY]
     none = lambda m: pa.nulls(m, pa.int64())
 
     def wide_rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +139,29 @@ def membership(docs: DataFrame) -> DataFrame:
             h, c = repeated(parts)
             m = len(h)
             if m:
-                yield pa.RecordBatch.from_arrays([none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names_of)
+                yield pa.RecordBatch.from_arrays(
+                    [none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64()), *[none(m) for _ in PARITY]], names_of
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts, held = set(), [], 0
         for batch in batches:
-            sizes, names, sets = [], [], []
+            sizes, names, sets, odd = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py())
                 sizes.append(len(s))
                 names.append(set_id(s) if len(s) else None)
+                odd.append(parity(s))
                 if len(s) and names[-1] not in seen:
                     seen.add(names[-1])
                     sets.append(s)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)], names_of)
+            bits = np.stack(odd) if odd else np.zeros((0, len(PARITY)), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)]
+                + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(PARITY))],
+                names_of,
+            )
             if sets:
                 parts.append(np.concatenate(sets))
                 held += len(parts[-1])
@@ -155,8 +170,7 @@ def membership(docs: DataFrame) -> DataFrame:
                 seen, parts, held = set(), [], 0
         yield from wide_rows(parts)
 
-    names_of = ["doc_id", "n", "sid", "shingle", "seen"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, shingle long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names_of))
 
 
 def wide_columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -266,86 +280,61 @@ def table(a, b, n, pos) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, items, sketch): packed shingles of the wanted sets and their sketches, each
-    from the one document that ``wanted`` (sid, doc_id) names.  Up to a counted bound the wanted ids are
-    broadcast; beyond it every set is made and semi-joined."""
+    """(sid, block, items): the shingles of the wanted sets, packed by column block, each
+    set from the one document that ``wanted`` (sid, doc_id) names.  Up to a counted bound
+    the wanted ids are broadcast; beyond it only the named documents are shuffled."""
     small = wanted.count() <= BROADCAST_IDS
-    sent = None
-    if small:
-        got = wanted.select("sid").toPandas()["sid"].to_numpy(np.int64)
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(got))
+    ids = F.broadcast(wanted) if small else wanted.hint("shuffle_hash")
+    owner = ids.select("sid", F.col("doc_id").alias("__owner"))
+    named = docs.select("doc_id", "text").join(owner, F.col("doc_id").eqNullSafe(F.col("__owner"))).select("sid", "text")
+    cuts = np.arange(1, COLUMN_BLOCKS, dtype=np.uint64) * np.uint64((1 << 64) // COLUMN_BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = distinct_sets(batch.column(0))
-            if sent is not None:
-                keys = sent.value
-                names = np.fromiter(found, np.int64, len(found))
-                at = np.searchsorted(keys, names)
-                hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == names) if len(keys) else np.zeros(len(names), bool)
-                found = {int(k): found[int(k)] for k in names[hit]}
-            items = [s.tobytes() for s in found.values()]
-            tops = [sketch_of(s) for s in found.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(items, pa.binary()), pa.array(tops, pa.binary())], ["sid", "items", "sketch"]
-            )
-
-    owner = wanted.select(F.col("doc_id").alias("__owner"))
-    named = docs.join(F.broadcast(owner), docs["doc_id"].eqNullSafe(owner["__owner"]), "left_semi") if small else docs
-    made = named.select("text").mapInArrow(run, "sid long, items binary, sketch binary")
-    return made if small else made.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+            found: dict[int, np.ndarray] = {}
+            for sid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if sid not in found:
+                    s = shingle_set(t.as_py())
+                    # several rows may bear the owner's doc_id
+                    if len(s) and set_id(s) == sid:
+                        found[sid] = s
+            blocks = [x.tobytes() for s in found.values() for x in np.split(s, np.searchsorted(s, cuts))]
+            names = np.repeat(np.fromiter(found, np.int64, len(found)), COLUMN_BLOCKS)
+            numbers = np.tile(np.arange(COLUMN_BLOCKS, dtype=np.int32), len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(numbers), pa.array(blocks, pa.binary())], ["sid", "block", "items"])
 
+    return named.mapInArrow(run, "sid long, block int, items binary")
 
-def shared_items(p: np.ndarray, q: np.ndarray) -> int:
-    """Size of the intersection of two sorted multisets."""
-    if not len(p) or not len(q):
-        return 0
-    x, k = np.unique(p, return_counts=True)
-    y, m = np.unique(q, return_counts=True)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int(np.minimum(k, m[at])[y[at] == x].sum())
 
+def sketched(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that the parity sketches leave possible."""
+    side = lambda own, tag: owners.select(F.col("sid").alias(own), F.col("n").alias(f"n{own}"), *[F.col(p).alias(f"{p}{own}") for p in PARITY]).hint(tag)
+    both = pairs.distinct().join(side("a", "merge"), "a").join(side("b", "merge"), "b")
+    return both.filter(F.expr(PARITY_BOUND)).select("a", "b")
 
-def sketch_of(s: np.ndarray) -> bytes:
-    """The size of a set, then 16 bits of each shingle in the lowest quarter of the hash
-    range: about a sixteenth of the set."""
-    low = s[: np.searchsorted(s, np.uint64(1 << 62))]
-    return len(s).to_bytes(4, "little") + (low >> np.uint64(46)).astype("<u2").tobytes()
 
+#: Of linked sets, at most na + nb - 2 * ceil(3 (na + nb) / 7) columns are in only one.
+PARITY_BOUND = " + ".join(f"bit_count({p}a ^ {p}b)" for p in PARITY) + " <= na + nb - 2 * ((3 * (na + nb) + 6) div 7)"
 
-def may_link(x: memoryview, y: memoryview) -> bool:
-    """A bound from two sketches that no link fails: what the quarters share at most,
-    and all that the smaller rest could."""
-    n, m = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
-    p, q = np.frombuffer(x[4:], "<u2"), np.frombuffer(y[4:], "<u2")
-    rest = min(n - len(p), m - len(q))
-    return min(len(p), len(q)) + rest >= needed(n, m) and shared_items(p, q) + rest >= needed(n, m)
 
-
-def do_link(x: memoryview, y: memoryview) -> bool:
-    """The exact test on two whole sets."""
-    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-    if len(p) > len(q):
-        p, q = q, p
-    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-    return int((q[at] == p).sum()) >= needed(len(p), len(q))
-
-
-def passing(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
-    """The pairs (a, b) for whose sets ``test`` holds on the packed ``column``."""
-    left = sets.select(F.col("sid").alias("a"), F.col(column).alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col(column).alias("y"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y")
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common): overlap of each pair, accumulated over the column blocks."""
+    left = sets.select(F.col("sid").alias("a"), "block", F.col("items").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), "block", F.col("items").alias("y"))
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "block"]).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                keep.append(test(memoryview(x.as_buffer()), memoryview(y.as_buffer())))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                if len(p) > len(q):
+                    p, q = q, p
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                common.append(int((q[at] == p).sum()) if len(p) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "common"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -353,37 +342,35 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact overlap links them, as a written table.  Sketches, a
-    sixteenth of the size, are compared first; whole sets travel only for what is left."""
-    spark = docs.sparkSession
-    wanted = written(ends(pairs).join(owners, "sid").select("sid", "doc_id"), "wanted-sets")
-    path = scratch(spark, "sets")
-    sets_of(docs, wanted).write.parquet(path)
-    sets = spark.read.parquet(path)
-    likely = written(passing(pairs, sets.select("sid", "sketch"), "sketch", may_link), "likely-pairs")
-    needed_ids = written(ends(likely), "likely-sets")
-    side = F.broadcast(needed_ids) if needed_ids.count() <= BROADCAST_IDS else needed_ids
-    out = written(passing(likely, sets.select("sid", "items").join(side, "sid", "left_semi"), "items", do_link), "links")
-    drop_path(spark, path)
+    """The pairs (a, b) whose exact overlap links them, as a written table."""
+    wanted = written(ends(pairs).join(owners, "sid").select("sid", "n", "doc_id"), "wanted-sets")
+    sets = written(sets_of(docs, wanted.select("sid", "doc_id")), "sets")
+    sizes = lambda own: wanted.select(F.col("sid").alias(own), F.col("n").alias(f"n{own}"))
+    counted = overlaps(pairs, sets).join(sizes("a"), "a").join(sizes("b"), "b")
+    out = written(counted.filter("100 * common >= 75 * (na + nb - common)").select("a", "b"), "links")
+    drop_table(sets)
+    drop_table(wanted)
     return out
 
 
-def open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, roots: DataFrame, owners: DataFrame) -> DataFrame:
     """Pairs of sets that share a column, lie in different components and pass the
-    bounds."""
+    bounds.  In a column, members outside the component of its best placed set (the
+    centre, which has met every member already) meet all others."""
     labelled = members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = labelled.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("column")
-    still = written(labelled.join(split, "column", "left_semi"), "open-columns")
-    x = still.select("column", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    y = still.select("column", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    # the smaller set (of equal ones the smaller id) is on the left and must be placed
-    # in its index part, which few members of a wide column are
-    x = x.filter("pa < na - floor((6 * na + 6) / 7) + 1")
+    centre = F.min_by(F.struct("sid", "root"), F.struct("pos", "n", "sid"))
+    split = labelled.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), centre.alias("hub")).filter("lo <> hi")
+    still = labelled.join(split.select("column", "hub"), "column").filter("sid <> hub.sid").withColumn("outside", F.expr("root <> hub.root"))
+    still = written(still.drop("hub").join(owners.select("sid", *PARITY), "sid"), "open-columns")
+    side = lambda own: still.select("column", *[F.col(c).alias(f"{c}{own}") for c in ("sid", "n", "pos", "root", "outside", *PARITY)])
+    # the smaller set (of equal ones the smaller id) must be placed in its index part
     near = F.expr(
-        "ra <> rb AND (na < nb OR na = nb AND a < b) AND 4 * na >= 3 * nb "
-        "AND least(na - pa, nb - pb) >= floor((3 * (na + nb) + 6) / 7)"
+        "roota <> rootb AND (NOT outsideb OR sida < sidb) AND 4 * least(na, nb) >= 3 * greatest(na, nb) "
+        "AND IF(na < nb OR (na = nb AND sida < sidb), posa < na - (6 * na + 6) div 7 + 1, posb < nb - (6 * nb + 6) div 7 + 1) "
+        f"AND least(na - posa, nb - posb) >= (3 * (na + nb) + 6) div 7 AND {PARITY_BOUND}"
     )
-    return x.join(y, "column").filter(near).select("a", "b").distinct()
+    met = side("a").filter("outsidea").join(side("b"), "column").filter(near)
+    return met.select(F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -401,19 +388,23 @@ def _join(docs: DataFrame) -> DataFrame:
     total = member.agg(F.sum("n_shingles")).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * POSTING.itemsize // (4 * BLOCK_BYTES), 1)
     found = written(products(postings(docs, wide, n_blocks), n_blocks), "products")
-    owners = written(member.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "owners")
-    pairs = written(found.filter("n is null").select("a", "b").distinct(), "pairs")
+    first = lambda c: F.min(c).alias(c)  # noqa: E731  equal in all rows of a set
+    each = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), first("n"), *map(first, PARITY))
+    owners = written(each, "owners")
+    pairs = written(sketched(found.filter("n is null").select("a", "b"), owners), "pairs")
     links = verified(docs, pairs, owners)
-    roots = written(components(links, "a", "b"), "roots")
+    roots = components(links, "a", "b")
     members = found.filter("n is not null").select(F.col("a").alias("column"), F.col("b").alias("sid"), "n", "pos")
-    rest = written(open_pairs(members, roots), "open-pairs")
+    rest = written(open_pairs(members, roots, owners), "open-pairs")
     if not rest.isEmpty():
         links = links.unionByName(verified(docs, rest, owners))
-        roots = written(components(links, "a", "b"), "roots")
-    named = owners.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = components(links, "a", "b")
+    named = owners.select("sid", "doc_id", "copies").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     verdict = written(named.join(least, "root").select("sid", "component_id", "copies"), "verdicts")
     out = attach(member, verdict, "sid", "copies")
+    for done in (found, pairs, rest, owners):
+        drop_table(done)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
