@@ -1,27 +1,30 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line is lower-cased (A-Z) and trimmed; its shingles are all runs of ``SHINGLE``
-characters, hashed to 64 bits in linear time.  The signature is the bottom of
-the MinHash order: the ``BANDS + ROWS - 1`` least hashes, and each window of ``ROWS``
-consecutive ones is a bucket key.  Of two lines of similarity s a window starts at a
-common hash and holds only common ones with a chance of about s ** ROWS, so that with
-``BANDS`` windows hardly a pair of 0.75 or more is missed.  Shingles are sets: repeats
-count once.  Lines of few shingles take single hashes instead, as many of the least as a
-pair of ``SIMILARITY`` must share one of (``FEW`` is where windows of all hashes also
-lose none), so that no pair of short lines is missed.
-Within a bucket every line is paired with one centre;
-exact Jaccard over the shingles decides; links are united by distributed star
-contractions; buckets whose lines still lie in several components give their remaining
-pairs.  One line of a component stays: the earliest by (doc_id, line number).
-
-Only 64-bit keys are shuffled, texts only for lines that are in a pair.  Copies of a
-line are merged map-side before a bucket is formed, and lines join their component's
-verdict with hot lines by broadcast.
+characters, hashed to 64 bits.  Distinct lines are exploded to shingles and aggregated to
+a MinHash signature: for each of ``BANDS`` * ``ROWS`` masks the least shingle hash after
+XOR with the mask.  The masks differ in their top bits, so that the minima come from
+different parts of the hash range; each equals that of another line with a chance of the
+Jaccard similarity.  ``ROWS`` neighbouring minima make a bucket key: at a similarity of
+0.75 no key is shared in about 1 % of the cases.  A line whose minima stand for at most
+``FEW`` different shingles is short or repetitive; each of these shingles is one more key
+of it, which lines with few shingles cannot miss.
+
+Within a bucket every line is paired with one centre.  Pairs that agree in fewer than
+``AGREE`` minima are given up (of pairs at 0.75 three in a thousand; lines of few shingles
+are exempt); exact Jaccard over the shingles decides the others; links are united by
+distributed star contractions; in buckets whose lines still lie in several components the
+lines outside the centre's component meet the others under the same two tests.  One line
+of a component stays: the earliest by (doc_id, line number).
+
+Signatures and texts are made for distinct lines only (copies are merged map-side); only
+64-bit keys are shuffled, texts only for distinct lines and lines that are in a pair.
+Lines join their component's verdict with hot lines by broadcast.
 
 Defined cases: null text has no lines; blank lines are kept and belong to no component;
 a line shorter than a shingle is its own only shingle; of lines with the same doc_id and
 number (repeated rows) the first written stays; null doc_ids rank last; an empty table
-gives no rows; only ``doc_id`` and ``text`` are read.
+gives no rows; only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,41 +32,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, ascii_lower, attach, text_of, written
+from .common import BROADCAST_IDS, ascii_lower, attach, drop_table, text_of, written
 from .components import components
 
 SHINGLE = 10
 SIMILARITY = 0.75
-#: Least hashes in a bucket key, and keys of a line.
-ROWS, BANDS = 3, 12
-#: Below so many shingles a line has single hashes as keys; its partners have at most
-#: (FEW - 1) / SIMILARITY, and have them too.
-FEW = 8
+#: Minima in a bucket key, keys of a line, and minima that a pair must agree in.
+ROWS, BANDS, AGREE = 2, 6, 5
+#: Up to so many different shingles behind the minima, these are keys too.
+FEW = 9
+
+
+def masks() -> list[int]:
+    """Multiples of the golden ratio of the 64-bit range, which spreads their top bits."""
+    found = [(0x9E3779B97F4A7C15 * (j + 1)) % (1 << 64) for j in range(ROWS * BANDS)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
+MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
 
 
 def normal(line: Column) -> Column:
     return F.trim(ascii_lower(line))
 
 
-def shingles(line: Column) -> Column:
-    """Hashes of all shingles of a line, in order: a look-ahead captures the characters
-    at every position in one scan."""
-    parts = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) > SHINGLE, F.transform(parts, lambda s: F.xxhash64(s))).otherwise(F.array(F.xxhash64(line)))
+def last_start(line: Column) -> Column:
+    """Offset of a line's last shingle."""
+    return F.greatest(F.length(line) - SHINGLE, F.lit(0))
+
+
+def points_of(line: Column) -> Column:
+    """Four bytes for each character: a shingle is then cut out in constant time."""
+    return F.encode(line, "UTF-32")
 
 
-def signature(hashes: Column) -> Column:
-    """The least distinct hashes of a line, in order."""
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, BANDS + ROWS - 1)
+def shingle_hash(points: str, start: str) -> str:
+    return f"xxhash64(substring({points}, 4 * {start} + 1, {4 * SHINGLE}))"
 
 
-def keys_of(least: Column) -> Column:
-    """Bucket keys: the hash of every ``ROWS`` consecutive values of a signature; for few
-    shingles, of single ones (of n, two lines alike share one of the n - 0.75 n + 1 least)."""
-    n = F.size(least)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - ROWS + 1, F.lit(1))), lambda j: F.xxhash64(F.slice(least, j, F.lit(ROWS))))
-    singles = F.transform(F.slice(least, F.lit(1), (n - F.ceil(n * SIMILARITY) + 1).cast("int")), lambda h: F.xxhash64(F.array(h)))
-    return F.when(n < FEW, singles).when(n <= int((FEW - 1) / SIMILARITY), F.concat(singles, windows)).otherwise(windows)
+def shingles(points: str, last: str) -> Column:
+    """Hashes of the distinct shingles of the line in columns ``points`` and ``last``."""
+    return F.expr(f"array_distinct(transform(sequence(0, {last}), i -> {shingle_hash(points, 'i')}))")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -73,67 +82,102 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.withColumn("lid", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, line_no, lid, least of every line: the only pass that makes all
-    shingles."""
-    sign = F.when(F.col("lid").isNotNull(), signature(shingles(F.col("line"))))
-    return lines_of(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "line_no", "lid", sign.alias("least"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """lid, the minima, few (there are few shingles behind them) of distinct lines."""
+    placed = lines.select("lid", points_of(F.col("line")).alias("points"), last_start(F.col("line")).alias("last"))
+    each = placed.select("lid", "points", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("start")).select("lid", F.expr(shingle_hash("points", "start")).alias("h"))
+    least = each.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(name) for name, m in zip(MINIMA, masks(), strict=True)])
+    return least.withColumn("few", F.size(behind()) <= FEW)
+
+
+def behind() -> Column:
+    """The different shingles behind the minima."""
+    return F.array_distinct(F.array(*[F.col(name).bitwiseXOR(F.lit(m)) for name, m in zip(MINIMA, masks(), strict=True)]))
+
+
+def keys_of() -> Column:
+    """Bucket keys of a signature."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *MINIMA[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+    return F.when(F.col("few"), F.concat(bands, behind())).otherwise(bands)
+
+
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """(key, lid, hub) of the lines in buckets of two lines or more; the hub is the
+    bucket's centre."""
+    keyed = signed.select("lid", F.explode(F.array_distinct(keys_of())).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("lid").alias("hub"), F.max("lid").alias("last")).filter("hub <> last").drop("last")
+    return keyed.join(shared, "key")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """(key, lid): the bucket keys of every distinct line, copies merged map-side."""
-    keyed = rows.filter("lid is not null").select("lid", F.explode(keys_of(F.col("least"))).alias("key"))
-    return keyed.groupBy("key", "lid").agg(F.lit(1).alias("one")).select("key", "lid")
+def agreeing(x: str, y: str) -> str:
+    """Condition on two signatures whose columns end in ``x`` and ``y``."""
+    same = " + ".join(f"int({m}{x} = {m}{y})" for m in MINIMA)
+    return f"(few{x} OR few{y} OR {same} >= {AGREE})"
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's centre with its other lines."""
-    hub = rows.groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("z")).filter("a <> z").select("key", "a")
-    return rows.join(hub, "key").filter("lid <> a").select("a", F.col("lid").alias("b")).distinct()
+def suffixed(signed: DataFrame, tail: str) -> DataFrame:
+    return signed.select(*[F.col(c).alias(c + tail) for c in signed.columns])
 
 
-def similar(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+def similar(lines: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of ``least`` or more."""
     ids = written(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = lines_of(docs).select("lid", "line").join(side, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
-    texts = written(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "lines")
-    left, right = (texts.select(F.col("lid").alias(i), F.col("line").alias(t), F.col("n").alias(k)) for i, t, k in (("a", "x", "n"), ("b", "y", "m")))
-    # the sizes of the sets bound the similarity before any shingle is made again
-    both = pairs.join(right, "b").join(left, "a").filter(F.least("n", "m") >= least * F.greatest("n", "m"))
-    sets = both.select("a", "b", "n", "m", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
-    met = sets.select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("k"))
-    return met.filter(F.col("k") >= least * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b")
-
-
-def open_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of lines that share a bucket but lie in different components."""
-    labelled = rows.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi and k > 2")
-    still = written(labelled.join(split.select("key"), "key", "left_semi"), "open-buckets")
-    x = still.select("key", F.col("lid").alias("a"), F.col("root").alias("ra"))
-    y = still.select("key", F.col("lid").alias("b"), F.col("root").alias("rb"))
-    return x.join(y, "key").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    texts = lines.join(side, "lid", "left_semi")
+    one = lambda own, x: texts.select(F.col("lid").alias(own), points_of(F.col("line")).alias(x), last_start(F.col("line")).alias(f"{x}_last"))
+    both = pairs.join(one("b", "y"), "b").join(one("a", "x"), "a")
+    sets = both.select("a", "b", shingles("x", "x_last").alias("x"), shingles("y", "y_last").alias("y"))
+    met = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
+    out = written(met.filter(F.col("k") >= least * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), "line-links")
+    drop_table(ids)
+    return out
+
+
+def star_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre with its other lines, where signatures agree."""
+    pairs = members.filter("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
+    both = pairs.join(suffixed(signed, "_x").withColumnRenamed("lid_x", "a"), "a").join(suffixed(signed, "_y").withColumnRenamed("lid_y", "b"), "b")
+    return both.filter(F.expr(agreeing("_x", "_y"))).select("a", "b")
+
+
+def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """Further pairs of lines that share a bucket and lie in different components.  The
+    centre has met all lines of its bucket; the lines outside its component meet all
+    others, and only pairs whose signatures agree come out."""
+    labelled = members.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    at_hub = F.max(F.when(F.col("lid") == F.col("hub"), F.col("root")))
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), at_hub.alias("centre"), F.count(F.lit(1)).alias("k"))
+    still = labelled.join(split.filter("lo <> hi and k > 2").select("key", "centre"), "key").filter("lid <> hub")
+    still = still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")).join(signed, "lid")
+    still = written(still, "open-buckets")
+    met = suffixed(still.filter("outside"), "_x").join(suffixed(still, "_y"), F.col("key_x") == F.col("key_y"))
+    met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {agreeing('_x', '_y')}"))
+    return met.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).distinct()
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line: doc_id, line_no, component_doc_id and component_line_no (the line
     that stays; null for blank lines), component_size (lines in all), kept."""
-    signed = written(signed_lines(docs), "line-rows")
-    rows = signed.drop("least")
-    keyed = written(buckets(signed), "buckets")
-    links = written(similar(docs, written(star_pairs(keyed), "star-pairs"), similarity), "line-links")
-    roots = written(components(links, "a", "b"), "line-roots")
-    rest = written(open_pairs(keyed, roots), "open-pairs")
+    rows = written(lines_of(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "line_no", "lid"), "line-rows")
+    lines = written(lines_of(docs).filter("lid is not null").select("lid", "line").distinct(), "distinct-lines")
+    signed = written(signatures(lines), "signatures")
+    members = written(bucket_members(signed), "bucket-members")
+    pairs = written(star_pairs(members, signed), "star-pairs")
+    links = similar(lines, pairs, similarity)
+    roots = components(links, "a", "b")
+    rest = written(open_pairs(members, roots, signed), "open-pairs")
     if not rest.isEmpty():
-        links = links.unionByName(written(similar(docs, rest, similarity), "line-links"))
-        roots = written(components(links, "a", "b"), "line-roots")
+        links = links.unionByName(similar(lines, rest, similarity))
+        roots = components(links, "a", "b")
     # nulls last: a flag leads the order
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "rid")
     each = rows.filter("lid is not null").groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     each = each.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    each = written(each, "line-groups")
     best = each.groupBy("root").agg(F.min("first").alias("stay"), F.sum("copies").alias("component_size"))
     verdict = written(each.join(best, "root").select("lid", "copies", "stay", "component_size"), "line-verdicts")
+    for done in (lines, signed, members, pairs, rest, each):
+        drop_table(done)
     out = attach(rows, verdict, "lid", "copies")
     return out.select(
         "doc_id", "line_no", F.col("stay.doc_id").alias("component_doc_id"), F.col("stay.line_no").alias("component_line_no"), "component_size",
