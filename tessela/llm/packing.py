@@ -5,23 +5,26 @@ remainder.  Remainders are packed by minimum bin slack: over the multiset of
 remaining lengths, a bitset subset-sum dynamic programme finds the sum closest to
 the window's capacity, and walking the bitsets back gives how many pieces of each
 length make it.  That choice is repeated for as many windows as the counts allow, so
-a plan has at most about one step per distinct length.
+a plan has at most about one step per distinct length.  Where even the closest sum
+leaves slack, the longest waiting piece is cut to close the window and its rest waits
+on.
 
 Scale: packing needs no shuffle.  Every partition packs its own remainders, in
-blocks of at most ``block`` pieces (only lengths and checksums are held, never
-texts); what fills no window in one block waits for the next.  A partition's last
-windows are cut to powers of two, which need no padding.  A sequence id is the
-partition number shifted left plus a counter, so a lost task is simply run again.
+blocks of at most ``block`` pieces (ids shorter than a window each, never texts); what
+fills no window in one block waits for the next.  A partition's last ids, fewer than a
+window, are cut into sequences whose lengths are powers of two, which need no padding.
+A sequence id is the partition number shifted left plus a counter, so a lost task is
+simply run again.
 
 Defined cases: null text is empty text (its one token is the end id); a null doc_id
-is carried through; repeated rows are packed once each; an empty table gives no rows.
+is carried through; repeated rows are packed once each; an empty table gives no rows;
+only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,7 +37,7 @@ from .common import default_tokenizer, tokenizer_bytes
 
 WINDOW = 1024
 END_ID = 0
-BLOCK = 65_536
+BLOCK = 16_384
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The published split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,11 +59,6 @@ def vocabulary(ranks_file: bytes):
     return _encoders[key]
 
 
-def encoder(ranks_file: bytes):
-    """Token ids of one text as ordinary text, special tokens spelt out."""
-    return vocabulary(ranks_file).encode_ordinary
-
-
 def document_encoder(ranks_file: bytes):
     """Token ids of one text as ``tokenizers`` gives them by default: a special token
     written in the text gets its own id."""
@@ -95,50 +93,70 @@ def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return chosen
 
 
-def slack_plan(counts: dict[int, int], capacity: int, exact_only: bool) -> Iterator[tuple[dict[int, int], int]]:
-    """(multiset of lengths, number of windows) until no piece is left, or, with
-    ``exact_only``, until no window can be filled to the brim.  ``counts`` is used up."""
-    while counts:
-        fill = closest_fill(counts, capacity)
-        if exact_only and sum(n * k for n, k in fill.items()) < capacity:
-            return
-        times = min(counts[n] // k for n, k in fill.items())
-        for n, k in fill.items():
-            counts[n] -= k * times
-            if not counts[n]:
-                del counts[n]
-        yield fill, times
-
-
 class Packer:
-    """Packs the pieces of one partition; ``rows`` are lists in the order of SCHEMA."""
+    """Packs the pieces of one partition into rows in the order of SCHEMA.  A piece is
+    (doc_id, start, ids, tokens of its document)."""
 
     def __init__(self, partition: int, window: int):
         self.window, self.next_id = window, partition << 33
-        self.waiting: dict[int, list] = {}
-        self.n_waiting = 0
+        self.waiting: dict[int, list[tuple]] = {}
+        self.n_waiting = self.tokens = 0
 
     def sequence(self) -> int:
         self.next_id += 1
         return self.next_id - 1
 
-    def hold(self, length: int, piece: tuple) -> None:
-        self.waiting.setdefault(length, []).append(piece)
+    def hold(self, piece: tuple) -> None:
+        n = len(piece[2])
+        self.waiting.setdefault(n, []).append(piece)
         self.n_waiting += 1
-
-    def flush(self, last: bool) -> Iterator[tuple]:
-        """Rows of all windows that can be filled; with ``last``, of everything."""
-        counts = Counter({n: len(v) for n, v in self.waiting.items()})
-        for fill, times in slack_plan(counts, self.window, exact_only=not last):
-            for _ in range(times):
-                sid, offset = self.sequence(), 0
-                for n, k in fill.items():
-                    for _ in range(k):
-                        doc_id, start, crc, total = self.waiting[n].pop()
-                        yield doc_id, start, n, crc, total, sid, offset
-                        offset += n
-        self.waiting = {n: v for n, v in self.waiting.items() if v}
-        self.n_waiting = sum(map(len, self.waiting.values()))
+        self.tokens += n
+
+    def take(self, length: int) -> tuple:
+        piece = self.waiting[length].pop()
+        if not self.waiting[length]:
+            del self.waiting[length]
+        self.n_waiting -= 1
+        self.tokens -= length
+        return piece
+
+    def take_part(self, length: int, most: int) -> tuple:
+        """The first ``most`` ids of a piece of ``length``; its rest goes on waiting."""
+        doc_id, start, ids, total = self.take(length)
+        if length > most:
+            self.hold((doc_id, start + most, ids[most:], total))
+        return doc_id, start, ids[:most], total
+
+    def closed(self, pieces: list[tuple]) -> Iterator[tuple]:
+        sid, offset = self.sequence(), 0
+        for doc_id, start, ids, total in pieces:
+            yield doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, sid, offset
+            offset += len(ids)
+
+    def windows(self, cutting: bool) -> Iterator[tuple]:
+        """Rows of full windows, as long as some can be filled by whole pieces or, with
+        ``cutting``, by cutting pieces."""
+        while self.tokens >= self.window:
+            counts = {n: len(v) for n, v in self.waiting.items()}
+            fill = closest_fill(counts, self.window)
+            slack = self.window - sum(n * k for n, k in fill.items())
+            if slack and not cutting:
+                return
+            for _ in range(1 if slack else min(counts[n] // k for n, k in fill.items())):
+                pieces = [self.take(n) for n, k in fill.items() for _ in range(k)]
+                if slack:
+                    pieces.append(self.take_part(max(self.waiting), slack))
+                yield from self.closed(pieces)
+
+    def rest(self) -> Iterator[tuple]:
+        """Rows of everything: full windows, then sequences of powers of two."""
+        yield from self.windows(cutting=True)
+        while self.tokens:
+            room, pieces = 1 << (self.tokens.bit_length() - 1), []
+            while room:
+                pieces.append(self.take_part(max(self.waiting), room))
+                room -= len(pieces[-1][2])
+            yield from self.closed(pieces)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -157,20 +175,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, bl
                 ids.append(END_ID)
                 raw, total = np.array(ids, dtype="<u4"), len(ids)
                 for start in range(0, total, window):
-                    part = raw[start : start + window]
-                    crc = zlib.crc32(part.tobytes())
-                    if len(part) == window:
-                        out.append((doc_id, start, window, crc, total, packer.sequence(), 0))
+                    piece = (doc_id, start, raw[start : start + window], total)
+                    if total - start >= window:
+                        out.extend(packer.closed([piece]))
                     else:
-                        packer.hold(len(part), (doc_id, start, crc, total))
+                        packer.hold(piece)
             if packer.n_waiting >= block:
-                out.extend(packer.flush(last=False))
-                if packer.n_waiting >= block:  # no full window among so many: fill as well as can be
-                    out.extend(packer.flush(last=True))
+                out.extend(packer.windows(cutting=False))
+                if packer.n_waiting >= block:  # no sum fills a window among so many
+                    out.extend(packer.windows(cutting=True))
             if len(out) >= 4096:
                 yield batch_of(out)
                 out = []
-        out.extend(packer.flush(last=True))
+        out.extend(packer.rest())
         if out:
             yield batch_of(out)
 

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessela.llm import packing, piece_codec
@@ -43,15 +44,6 @@ def test_piece_codec_equals_the_library(docs_of):
     assert piece_codec.encode_documents(docs_of([])).collect() == [] and whole("") == []
 
 
-def test_encoder_equals_tokenizers():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encode = packing.encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
-    texts = pool(2, 500)
-    assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encode(x) for x in texts]
-    assert packing.SPLIT == public_tokenizers.PATTERN
-
-
 def test_packing_takes_the_default_tokenizers_ids(docs_of):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.document_encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
@@ -60,9 +52,9 @@ def test_packing_takes_the_default_tokenizers_ids(docs_of):
     texts = [*pool(3, 500), *special]
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [encode(x) for x in texts]
     assert encode(f"a{mark}b") == [64, 50256, 65]
-    want = {i: [*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for i, x in enumerate(special)}
-    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs_of([*enumerate(special)])).collect()}
-    assert got == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in want.items()}
+    assert packing.SPLIT == public_tokenizers.PATTERN
+    rows = packing.pack(docs_of([*enumerate(special)])).collect()
+    assert check_packing(rows, dict(enumerate(special)), encode=lambda x: t.encode(x, add_special_tokens=False).ids) == 1
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -77,8 +69,8 @@ def test_closest_fill_is_optimal(seed):
     assert sum(n * k for n, k in fill.items()) == max(sums) and all(k <= counts[n] for n, k in fill.items())
 
 
-def check_packing(rows, texts_of, window=packing.WINDOW):
-    encode = packing.encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+def check_packing(rows, texts_of, window=packing.WINDOW, encode=None):
+    encode = encode or packing.document_encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
     by_seq, by_doc = {}, {}
     for r in rows:
         by_seq.setdefault(r.sequence_id, []).append(r)
@@ -97,14 +89,23 @@ def check_packing(rows, texts_of, window=packing.WINDOW):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
-    return sum(r.length for r in rows) / (window * len(by_seq))
+    lengths = [sum(r.length for r in parts) for parts in by_seq.values()]
+    return sum(lengths) / sum(n if n & (n - 1) == 0 else window for n in lengths)
 
 
-def test_packing(docs_of):
+@pytest.mark.parametrize("parts", [1, 2, 8, 32])
+def test_packing(docs_of, parts):
     rng = random.Random(3)
-    texts = {i: " ".join("word" for _ in range(rng.randrange(1, rng.choice([30, 900, 3000])))) for i in range(1500)} | {5000: None, 5001: ""}
-    frame = docs_of(list(texts.items())).coalesce(2)
-    assert check_packing(packing.pack(frame).collect(), texts) > 0.99
-    assert check_packing(packing.pack(frame, block=50).collect(), texts) > 0.9
+    texts = {i: " ".join("word" for _ in range(rng.randrange(1, rng.choice([30, 900, 3000])))) for i in range(800)} | {5000: None, 5001: "", 5002: "a<|endoftext|>b"}
+    frame = docs_of(list(texts.items())).repartition(parts)
+    assert check_packing(packing.pack(frame).collect(), texts) == 1
+    assert check_packing(packing.pack(frame, block=50).collect(), texts) == 1
+
+
+def test_packing_of_odd_rows(docs_of):
     assert packing.pack(docs_of([])).collect() == []
-    assert len(packing.pack(docs_of([(None, "a"), (1, "a"), (1, "a")])).collect()) == 3
+    rows = packing.pack(docs_of([(None, "a"), (1, "a"), (1, "a")]).coalesce(1).withColumn("sequence_id", F.lit("x"))).collect()
+    assert sorted((str(r.doc_id), r.length, r.doc_tokens) for r in rows) == [("1", 2, 2), ("1", 2, 2), ("None", 2, 2)]
+    assert sorted(r.offset for r in rows) == [0, 0, 2]
+    long = {1: "word " * 300_000}
+    assert check_packing(packing.pack(docs_of(list(long.items()))).collect(), long) == 1
