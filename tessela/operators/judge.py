@@ -23,6 +23,10 @@ THRESHOLDS = [(0.8, (0.9, 0.75, 0.6, 0.45)), (0.5, (0.85, 0.7, 0.55, 0.4)), (Non
 COVERAGE = 80
 NEAR = 1e-9
 
+#: States of an aligned position, and how far each moves along (expected, heard).
+PAIR, DROP, EXTRA = 0, 1, 2
+MOVES = np.array([[1, 1], [1, 0], [0, 1]])
+
 _confusable = {frozenset(p) for p in CONFUSIONS}
 
 
@@ -33,100 +37,120 @@ def word_score(a: str, b: str) -> float:
     return MATCH * r - 1 if r > FUZZY else -1.0
 
 
+def score_table(expected: list[str], heard: list[str]) -> np.ndarray:
+    """word_score of every expected with every heard word; each pair of different words
+    is compared once."""
+    rows, at = np.unique(np.array(expected, dtype=object), return_inverse=True)
+    cols, to = np.unique(np.array(heard, dtype=object), return_inverse=True)
+    return np.array([[word_score(a, b) for b in cols] for a in rows], float).reshape(len(rows), len(cols))[np.ix_(at, to)]
+
+
+def first_best(options: np.ndarray) -> np.ndarray:
+    """Along the first axis, the first option that is best up to rounding."""
+    return np.argmax(options >= options.max(0) - NEAR, axis=0)
+
+
 def align(expected: list[str], heard: list[str], boundaries: set[int] = frozenset()) -> list[tuple[int | None, int | None]]:
     """(expected index, heard index) steps of the best affine-gap alignment.  A gap in
     the heard words opens at half price where a passage ends; paired states win ties,
-    then gaps in the heard words; the two kinds of gap never follow each other."""
+    then gaps in the heard words; the two kinds of gap never follow each other.
+
+    Whole rows of the table are filled at a time: a gap in the expected words is a
+    running maximum along the row.  ``came`` keeps, for each state of each position, the
+    state before it, so the path is read off without scores."""
     m, n = len(expected), len(heard)
-    pair, drop, extra = (np.full((m + 1, n + 1), -np.inf) for _ in range(3))
-    pair[0, 0] = 0
-    drop[1:, 0] = OPEN + EXTEND * np.arange(m)
-    extra[0, 1:] = OPEN + EXTEND * np.arange(n)
-    for i in range(1, m + 1):
-        opening = OPEN * 0.5 if i in boundaries else OPEN
-        for j in range(1, n + 1):
-            pair[i, j] = max(pair[i - 1, j - 1], drop[i - 1, j - 1], extra[i - 1, j - 1]) + word_score(expected[i - 1], heard[j - 1])
-            drop[i, j] = max(pair[i - 1, j] + opening, drop[i - 1, j] + EXTEND)
-            extra[i, j] = max(pair[i, j - 1] + OPEN, extra[i, j - 1] + EXTEND)
-
-    def state_at(i: int, j: int) -> str:
-        best = max(pair[i, j], drop[i, j], extra[i, j])
-        for name, table in (("pair", pair), ("drop", drop)):
-            if table[i, j] == best or abs(best - table[i, j]) < NEAR:
-                return name
-        return "extra"
-
-    def stays(table: np.ndarray, here: tuple[int, int], before: tuple[int, int]) -> bool:
-        reached = table[before] + EXTEND
-        return bool(table[here] == reached or abs(table[here] - reached) < NEAR)
-
-    i, j, steps = m, n, []
-    state = state_at(m, n)
-    while i > 0 or j > 0:
-        if state == "pair" and i > 0 and j > 0:
-            steps.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-            state = state_at(i, j)
-        elif state == "drop" and i > 0:
-            state = "drop" if np.isfinite(drop[i - 1, j]) and stays(drop, (i, j), (i - 1, j)) else "pair"
-            steps.append((i - 1, None))
-            i -= 1
-        elif j > 0:
-            state = "extra" if np.isfinite(extra[i, j - 1]) and stays(extra, (i, j), (i, j - 1)) else "pair"
-            steps.append((None, j - 1))
-            j -= 1
+    if not m or not n:
+        return [(i, None) for i in range(m)] + [(None, j) for j in range(n)]
+    words, cost = score_table(expected, heard), EXTEND * np.arange(n + 1)
+    came = np.zeros((3, m + 1, n + 1), np.int8)
+    ended = np.zeros((m + 1, n + 1), np.int8)
+    above = np.full((3, n + 1), -np.inf)
+    for i in range(m + 1):
+        here = np.full((3, n + 1), -np.inf)
+        if i:
+            ended[i - 1] = first_best(above)
+            here[PAIR, 1:] = above.max(0)[:-1] + words[i - 1]
+            came[PAIR, i, 1:] = ended[i - 1, :-1]
+            gaps = np.stack([above[DROP] + EXTEND, above[PAIR] + (OPEN / 2 if i in boundaries else OPEN)])
+            if i == 1:  # before the first word a gap opens at full price
+                gaps[1, 0] = OPEN
+            here[DROP] = gaps.max(0)
+            came[DROP, i] = np.where(first_best(gaps) == 0, DROP, PAIR)
         else:
-            break
+            here[PAIR, 0] = 0.0
+        # extra[j] is the best paired[k], k < j, with a gap from k to j
+        opened = here[PAIR, :-1] + OPEN
+        here[EXTRA, 1:] = np.maximum.accumulate(opened - cost[:-1]) + cost[:-1]
+        with np.errstate(invalid="ignore"):
+            longer = here[EXTRA, 1:-1] + EXTEND >= here[EXTRA, 2:] - NEAR
+        came[EXTRA, i, 2:] = np.where(longer & np.isfinite(here[EXTRA, 1:-1]), EXTRA, PAIR)
+        above = here
+    ended[m] = first_best(above)
+    at, state, steps = np.array([m, n]), ended[m, n], []
+    while at.any():
+        before = at - MOVES[state]
+        steps.append(tuple(int(x) if moved else None for x, moved in zip(before, MOVES[state], strict=True)))
+        at, state = before, came[state, at[0], at[1]]
     return steps[::-1]
 
 
 def is_confused(a: str, b: str) -> bool:
-    if len(a) != len(b):
-        return False
-    different = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-    return len(different) == 1 and frozenset(different[0]) in _confusable
+    different = {frozenset(p) for p in zip(a, b, strict=False) if p[0] != p[1]}
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1 and different <= _confusable
 
 
-def verdict(expected: tuple[str, str], heard: tuple[str, str], confidence: float | None) -> tuple[str, float]:
-    """(status, confidence) of a substituted word; words are (normalised, phonetic)."""
-    if expected[0] == heard[0]:
-        return "correct", 1.0
-    if expected[1] == heard[1]:
-        return "likely_correct", 0.85
-    best = max(lcs_ratio(expected[0], heard[0]), lcs_partial_ratio(expected[0], heard[0]))
-    sure = 1.0 if confidence is None else confidence
-    limits = next(t for least, t in THRESHOLDS if least is None or sure >= least)
-    for name, limit in zip(VERDICTS, limits, strict=True):
-        if best >= limit or (name == "likely_correct" and is_confused(expected[0], heard[0])):
-            return name, best
-    return "wrong", best
+#: How a verdict is shown; others are apparent errors.
+SHOWN = {"correct": "correct", "likely_correct": "correct", "uncertain": "uncertain"}
 
 
-def collapse(status: str) -> str:
-    return {"correct": "correct", "likely_correct": "correct", "uncertain": "uncertain"}.get(status, "apparent-error")
+def verdicts(pairs: pd.DataFrame) -> pd.DataFrame:
+    """status and confidence of substituted words: rows (expected, heard, expected_phone,
+    heard_phone, sure), ``sure`` null where the recogniser gave none."""
+    best = np.array([max(lcs_ratio(a, b), lcs_partial_ratio(a, b)) for a, b in zip(pairs.expected, pairs.heard, strict=True)], float)
+    sure = pairs.sure.astype(float).fillna(1.0).to_numpy()
+    band = np.select([sure >= least for least, _ in THRESHOLDS if least is not None], range(len(THRESHOLDS) - 1), len(THRESHOLDS) - 1)
+    reached = best[:, None] >= np.array([limits for _, limits in THRESHOLDS])[band]
+    confused = [is_confused(a, b) for a, b in zip(pairs.expected, pairs.heard, strict=True)]
+    reached[:, VERDICTS.index("likely_correct")] |= np.array(confused, bool)
+    status = np.where(reached.any(1), np.array(VERDICTS, object)[reached.argmax(1)], "wrong")
+    same, sounds = (pairs.expected == pairs.heard).to_numpy(), (pairs.expected_phone == pairs.heard_phone).to_numpy()
+    return pd.DataFrame(
+        {"status": np.select([same, sounds], ["correct", "likely_correct"], status), "confidence": np.select([same, sounds], [1.0, 0.85], best)}
+    )
 
 
 STEPS = "attempt_id {key}, step int, expected_index int, recognized_index int, expected string, observed string, operation string, judgment string"
 
 
-def judged_steps(expected, heard, confidences, boundaries) -> list[tuple]:
-    """Rows of STEPS without the id.  Words are dicts raw, norm, phone."""
-    steps = align([w["norm"] for w in expected], [w["norm"] for w in heard], set(boundaries))
-    attempted = max((e for e, h in steps if e is not None and h is not None), default=-1)
-    out = []
-    for k, (e, h) in enumerate(steps):
-        x, y = (None if e is None else expected[e]), (None if h is None else heard[h])
-        if x and y and x["norm"] == y["norm"]:
-            how = ("match", "correct")
-        elif x and y:
-            sure = confidences[h] if confidences is not None and h < len(confidences) else None
-            how = ("substitution", collapse(verdict((x["norm"], x["phone"]), (y["norm"], y["phone"]), sure)[0]))
-        elif x:
-            how = ("omission", "apparent-error") if e <= attempted else ("unattempted", "unattempted")
-        else:
-            how = ("insertion", "apparent-error")
-        out.append((k, e, h, x["raw"] if x else None, y["raw"] if y else None, *how))
-    return out
+STEP_COLUMNS = [c.split()[0] for c in STEPS.split(", ")]
+
+
+def judged_steps(expected, heard, confidences, boundaries) -> pd.DataFrame:
+    """STEPS of one attempt without its id.  Words are dicts raw, norm, phone."""
+    path = align([w["norm"] for w in expected], [w["norm"] for w in heard], set(boundaries))
+    at = pd.DataFrame(path, columns=["expected_index", "recognized_index"], dtype="Int32")
+    pick = lambda words, index, form: [None if pd.isna(i) else words[i][form] for i in index]
+    x, y = (pd.DataFrame({f: pick(ws, i, f) for f in ("raw", "norm", "phone")}, dtype=object) for ws, i in ((expected, at.expected_index), (heard, at.recognized_index)))
+    has_x, has_y = at.expected_index.notna().to_numpy(), at.recognized_index.notna().to_numpy()
+    both = has_x & has_y
+    match = both & (x.norm == y.norm).to_numpy()
+    swapped = np.flatnonzero(both & ~match)
+    known = [] if confidences is None else list(confidences)
+    sure = [known[j] if j < len(known) else None for j in at.recognized_index[swapped]]
+    found = verdicts(pd.DataFrame({
+        "expected": x.norm[swapped].to_list(), "heard": y.norm[swapped].to_list(),
+        "expected_phone": x.phone[swapped].to_list(), "heard_phone": y.phone[swapped].to_list(), "sure": pd.Series(sure, dtype=float),
+    }))
+    judged = np.full(len(at), "apparent-error", object)
+    judged[swapped] = found.status.map(SHOWN).fillna("apparent-error").to_numpy(object)
+    judged[match] = "correct"
+    # what comes after the last attempted word was not tried
+    tried = np.flatnonzero(both)
+    late = has_x & ~has_y & (np.arange(len(at)) > (tried[-1] if len(tried) else -1))
+    judged[late] = "unattempted"
+    operation = np.select([match, both, late, has_x], ["match", "substitution", "unattempted", "omission"], "insertion")
+    out = at.assign(step=np.arange(len(at)), expected=x.raw, observed=y.raw, operation=operation, judgment=judged)
+    return out[STEP_COLUMNS[1:]]
 
 
 def with_forms(column: str):
@@ -137,19 +161,13 @@ def with_forms(column: str):
 
 def judge(attempts: DataFrame) -> DataFrame:
     """STEPS rows of each attempt."""
-    names = ["attempt_id", "step", "expected_index", "recognized_index", "expected", "observed", "operation", "judgment"]
     ready = attempts.select("attempt_id", with_forms("expected").alias("e"), with_forms("heard").alias("h"), "confidences", "boundaries")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for r in batch.itertuples(index=False):
-                sure = None if r.confidences is None else list(r.confidences)
-                rows += [(r.attempt_id, *s) for s in judged_steps(list(r.e), list(r.h), sure, () if r.boundaries is None else r.boundaries)]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("step", "expected_index", "recognized_index"):
-                out[c] = out[c].astype("Int32")
-            yield out
+                steps = judged_steps(list(r.e), list(r.h), r.confidences, () if r.boundaries is None else r.boundaries)
+                yield steps.assign(attempt_id=r.attempt_id, step=steps.step.astype("Int32"))[STEP_COLUMNS]
 
     return ready.mapInPandas(run, STEPS.format(key=dict(attempts.dtypes)["attempt_id"]))
 

@@ -6,7 +6,7 @@ task holds one clip.
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -69,20 +69,20 @@ def forced_alignment(lp: np.ndarray, target: list[int], blank: int) -> tuple[np.
         take = skip & (two > best)
         best[take], back[t, take] = two[take], 2
         score = np.where(best <= NOTHING / 2, np.float32(NOTHING), (best.astype(np.float64) + emit[t]).astype(np.float32))
-    s = size - 2 if score[size - 2] > score[size - 1] else size - 1
-    if score[s] <= NOTHING / 2:
+    ends = score[[size - 1, size - 2]]
+    if ends.max() <= NOTHING / 2:
         return None
-    first, last = np.full(len(target), -1), np.full(len(target), -1)
-    for t in range(n - 1, -1, -1):
-        if s & 1:
-            k = s >> 1
-            last[k] = t if last[k] < 0 else last[k]
-            first[k] = t
-        s -= int(back[t, s])
-    if (first < 0).any():
+    path = np.empty(n, np.int64)
+    path[-1] = size - 1 - int(ends.argmax())
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = path[t] - back[t, path[t]]
+    # states never fall along the path, so a token's frames are one stretch of it
+    own = 2 * np.arange(len(target)) + 1
+    first, last = np.searchsorted(path, own, "left"), np.searchsorted(path, own, "right") - 1
+    if (last < first).any():
         return None
-    best = [float(emit[a : b + 1, 2 * k + 1].max()) for k, (a, b) in enumerate(zip(first, last, strict=True))]
-    return first, last, float(np.mean(best))
+    on_path = pd.Series(emit[np.arange(n), path]).groupby(path).max()
+    return first, last, float(on_path[own].mean())
 
 
 def align_tokens(frames: DataFrame, targets: DataFrame, blank: int) -> DataFrame:
@@ -154,33 +154,47 @@ def word_times(spans: DataFrame, passages: DataFrame, frame_seconds: float) -> D
     return spans.join(passages, "clip_id").groupBy("clip_id").applyInPandas(one, TIMED.format(key=kind))
 
 
-def shares(n_words: int, durations: list[float]) -> list[int]:
+#: Fixed value: steps of the round robin that evens shares out.
+MOST_STEPS = 2000
+
+
+def shares(n_words: int, durations: list[float]) -> np.ndarray:
     """Words of each run in proportion to its duration, at least one, then evened out
-    round robin; the number of steps is bounded, so a deficit may remain."""
-    total = sum(durations) or 1.0
-    counts = [max(1, math.floor(n_words * d / total + 0.5)) for d in durations]
-    left, i = n_words - sum(counts), 0
-    while left and i < 2000:
-        k = i % len(counts)
-        if left > 0:
-            counts[k] += 1
-            left -= 1
-        elif counts[k] > 1:
-            counts[k] -= 1
-            left += 1
-        i += 1
-    return counts
+    round robin; the number of steps is bounded, so a deficit may remain.
+
+    Closed form: of r full rounds each run gets r words more, or loses as many as it has
+    above one; the round that is left over reaches the first runs only."""
+    length = np.asarray(durations, float)
+    counts = np.maximum(1, np.floor(n_words * length / (length.sum() or 1.0) + 0.5)).astype(int)
+    k, gap = len(counts), n_words - int(counts.sum())
+    if gap >= 0:
+        rounds, more = divmod(min(gap, MOST_STEPS), k)
+        return counts + rounds + (np.arange(k) < more)
+    most = MOST_STEPS // k
+    removed = lambda r: np.minimum(counts - 1, r).sum()
+    rounds = int(np.searchsorted([removed(r) for r in range(1, min(most, counts.max()) + 1)], -gap, "right"))
+    over = np.flatnonzero(counts - 1 > rounds)
+    if rounds == most:
+        over = over[over < MOST_STEPS - rounds * k]
+    out = counts - np.minimum(counts - 1, rounds)
+    out[over[: -gap - removed(rounds)]] -= 1
+    return out
 
 
 def words_over_runs(words: list[str], runs: list[tuple[float, float]], end: float) -> list[tuple[str, float, float]]:
+    """Timed words: those of a run share its time evenly, those without a run stand at
+    the end."""
     if not words or not runs:
         return []
-    out: list[tuple[str, float, float]] = []
-    for (a, b), n in zip(runs, shares(len(words), [b - a for a, b in runs]), strict=True):
-        for k in range(n):
-            if len(out) < len(words):
-                out.append((words[len(out)], a + (b - a) * k / n, a + (b - a) * (k + 1) / n))
-    return out + [(w, end, end) for w in words[len(out) :]]
+    start, stop = np.array(runs, float).T
+    counts = shares(len(words), stop - start)
+    run = np.repeat(np.arange(len(runs)), counts)[: len(words)]
+    nth = np.arange(len(run)) - (np.cumsum(counts) - counts)[run]
+    piece = ((stop - start) / counts)[run]
+    times = np.full((len(words), 2), float(end))
+    times[: len(run), 0] = start[run] + piece * nth
+    times[: len(run), 1] = start[run] + piece * (nth + 1)
+    return [(w, float(a), float(b)) for w, (a, b) in zip(words, times, strict=True)]
 
 
 def pause_times(run_summary: DataFrame, passages: DataFrame) -> DataFrame:
@@ -225,22 +239,24 @@ def close(a: str, b: str) -> bool:
     return a == b or (len(a) + len(b) - edit_distance(a, b)) / (len(a) + len(b)) >= CLOSE
 
 
+def overlap_of(before: list[str], after: list[str]) -> int:
+    """Words that the end of one transcript and the start of the next share: the overlap
+    with most agreeing words, of equal ones the longest.  The overlap of k words is the
+    k-th diagonal, from the lower left corner, of the table of word agreement."""
+    size = min(len(before), len(after), MOST_OVERLAP)
+    if not size:
+        return 0
+    agree = np.array([[close(a, b) for b in after[:size]] for a in before[-size:]])
+    length = np.arange(1, size + 1)
+    same = np.array([np.trace(agree, k - size) for k in length])
+    fits = same >= np.ceil(length * AGREEING)
+    return int(length[fits][np.lexsort((length[fits], same[fits]))[-1]]) if fits.any() else 0
+
+
 def stitch(chunks: list[str]) -> str:
     """Transcripts joined where the end of one and the start of the next agree on most
-    words; of equally good overlaps the longest."""
-    merged: list[str] = []
-    for chunk in chunks:
-        new = chunk.split()
-        if not merged or not new:
-            merged += new
-            continue
-        best, agreed = 0, 0
-        for k in range(1, min(len(merged), len(new), MOST_OVERLAP) + 1):
-            same = sum(map(close, merged[-k:], new[:k]))
-            if same >= math.ceil(k * AGREEING) and same >= agreed:
-                best, agreed = k, same
-        merged += new[best:]
-    return " ".join(merged)
+    words."""
+    return " ".join(reduce(lambda merged, new: merged + new[overlap_of(merged, new) :], (c.split() for c in chunks), []))
 
 
 def stitched(chunks: DataFrame) -> DataFrame:

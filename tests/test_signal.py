@@ -28,10 +28,12 @@ def despiked(s, limit=9.0):
 
 def test_despike_equals_a_sequential_loop(spark):
     rng = random.Random(1)
-    rows = [(c, [rng.choice([None, rng.uniform(40, 80)]) if rng.random() < 0.3 else rng.uniform(50, 75) for _ in range(rng.randrange(0, 14))]) for c in range(300)]
-    df = spark.createDataFrame(rows, "c int, s array<double>")
-    for r in df.select("c", "s", curve.despike_array(F.col("s")).alias("o")).collect():
-        assert r.o == despiked(r.s)
+    clips = {c: [rng.choice([None, rng.uniform(40, 80)]) if rng.random() < 0.3 else rng.uniform(50, 75) for _ in range(rng.randrange(0, 14))] for c in range(300)}
+    rows = [(c, i * 0.1, i, v) for c, values in clips.items() for i, v in enumerate(values)]
+    got = {}
+    for r in curve.despike(spark.createDataFrame(rows, "clip_id int, t double, seq int, semi double")).orderBy("clip_id", "seq").collect():
+        got.setdefault(r.clip_id, []).append(r.semi)
+    assert got == {c: despiked(v) for c, v in clips.items() if v}
 
 
 def test_gate_uses_the_value_at_85_percent(spark):
@@ -70,12 +72,31 @@ def test_display_range_widens(spark):
 def test_pieces_cover_the_run(values, level):
     t = np.arange(len(values)) * 0.1
     s = np.array(values)
-    got = list(curve.pieces_of(t, s, t * 100, s * 3, curve.Sensitivity(level)))
+    got = list(curve.pieces_of(t, s, t * 100, s * 3, curve.Sensitivity(level)).itertuples(index=False))
     assert got[0][1] == t[0] and got[-1][2] == t[-1]
     assert all(a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
     assert all(p[0] in {"scoop", "zigzag", "rise", "fall", "flat"} for p in got)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.floats(0, 1))
+def test_arches_are_greedy_from_the_left(values, level):
+    t, s, how = np.arange(len(values)) * 0.11, np.array(values, float), curve.Sensitivity(level)
+
+    def zone(i):
+        up = next((k for k in range(i, len(s) - 1) if s[k + 1] < s[k] - 0.05), len(s) - 1)
+        down = next((k for k in range(up, len(s) - 1) if s[k + 1] > s[k] + 0.05), len(s) - 1)
+        tall = s[up] - min(s[i], s[down]) > how.arch_height and how.arch_seconds < t[down] - t[i] < 2.2
+        return (i, up, down) if i < up < down and tall and i < len(s) - 2 else None
+
+    want, free = [], 0
+    for z in map(zone, range(len(s))):
+        if z and z[0] >= free:
+            want.append(z)
+            free = z[2]
+    assert [tuple(z) for z in curve.arches(t, s, how).tolist()] == want
+
+
 def test_simplify_keeps_far_points():
     x, y = np.arange(5.0), np.array([0, 0, 10, 0, 0.0])
     assert curve.simplify(x, y, 0.5) == [0, 1, 2, 3, 4] and curve.simplify(x, y, 1) == [0, 2, 4] and curve.simplify(x, y, 20) == [0, 4]

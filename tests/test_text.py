@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -139,10 +140,32 @@ def test_word_times():
     got = sequences.times_from_tokens(["*", "ab", "*", "cd"], [0, 2, 0, 2], [1, 1, 2], [0, 2, 5], [1, 3, 6], 0.1)
     assert [w for w, _, _ in got] == ["* ab *", "cd"] and np.allclose([g[1:] for g in got], [(0, 0.5), (0.5, 0.7)])
     assert sequences.times_from_tokens(["a"], [0], [1], [0], [0], 1) is None
-    assert sequences.shares(2, [1, 1, 1, 1]) == [1, 1, 1, 1] and sequences.shares(7, [1, 1, 1]) == [3, 2, 2]
+    assert list(sequences.shares(2, [1, 1, 1, 1])) == [1, 1, 1, 1] and list(sequences.shares(7, [1, 1, 1])) == [3, 2, 2]
     assert sequences.words_over_runs(["a", "b"], [(0.0, 1.0)], 9.0) == [("a", 0.0, 0.5), ("b", 0.5, 1.0)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 60), st.lists(st.floats(0, 9), min_size=1, max_size=12), st.sampled_from([2000, 7, 20]))
+def test_shares_equal_a_round_robin(n, durations, steps):
+    total = sum(durations) or 1.0
+    counts = [max(1, int(np.floor(n * d / total + 0.5))) for d in durations]
+    gap = n - sum(counts)
+    for i in range(steps):
+        k, way = i % len(counts), np.sign(gap)
+        if way > 0 or way < 0 and counts[k] > 1:
+            counts[k] += way
+            gap -= way
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sequences, "MOST_STEPS", steps)
+        assert list(sequences.shares(n, durations)) == counts
+
+
+def test_words_over_runs_cover_words():
+    got = sequences.words_over_runs(list("abcde"), [(0.0, 1.0), (2.0, 6.0)], 9.0)
+    assert [w for w, _, _ in got] == list("abcde") and got[0] == ("a", 0.0, 1.0) and got[-1] == ("e", 5.0, 6.0)
+    assert sequences.words_over_runs(["a"], [], 1.0) == []
+
+
 def test_stitching_and_bytes():
     assert sequences.stitch(["a b c d", "c d e", " ", "zz"]) == "a b c d e zz"
     assert sequences.decode_bytes(["Ġx", "Ã©", "<|end|>"]) == " xé"
@@ -171,16 +194,20 @@ def best_score(e, h, bounds):
     return go(0, 0, "M")
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["aaaa", "aaab", "xyz", "q"]), min_size=1, max_size=5), st.lists(st.sampled_from(["aaaa", "aaab", "xyz", "q"]), min_size=1, max_size=5))
-def test_alignment_is_optimal(e, h):
-    steps = judge.align(e, h)
-    total, state = 0.0, "M"
+SOUNDS = st.lists(st.sampled_from(["aaaa", "aaab", "xyz", "q"]), min_size=1, max_size=5)
+
+
+@settings(max_examples=200, deadline=None)
+@given(SOUNDS, SOUNDS, st.sets(st.integers(1, 5), max_size=2))
+def test_alignment_is_optimal(e, h, bounds):
+    steps = judge.align(e, h, bounds)
+    total, state, heard = 0.0, "M", 0
     for a, b in steps:
         kind = "M" if a is not None and b is not None else "X" if b is None else "Y"
-        total += judge.word_score(e[a], h[b]) if kind == "M" else -0.5 if kind == state else -3.0
-        state = kind
-    assert abs(total - best_score(tuple(e), tuple(h), frozenset())) < 1e-9
+        opening = -1.5 if kind == "X" and a + 1 in bounds and heard else -3.0
+        total += judge.word_score(e[a], h[b]) if kind == "M" else -0.5 if kind == state else opening
+        state, heard = kind, heard + (b is not None)
+    assert abs(total - best_score(tuple(e), tuple(h), frozenset(bounds))) < 1e-9
     assert [a for a, _ in steps if a is not None] == list(range(len(e))) and [b for _, b in steps if b is not None] == list(range(len(h)))
 
 
