@@ -12,13 +12,16 @@ the whole matrix.  Size-derived bounds keep the product sparse:
 * a pair is dropped where its sizes, what its positions leave over, or the parity
   sketches of its two rows cannot reach the overlap that linking needs: ceil(3(n+m)/7).
 
-A parity sketch holds, for each of ``SKETCH`` classes of columns, whether a row has an odd
-number of them; every bit that differs stands for at least one column of only one of the
-rows, so the bound never fails a link.
+A parity sketch holds, for each of a number of classes of columns, whether a row has an
+odd number of them; every bit that differs stands for at least one column of only one of
+the rows, so the bound never fails a link.  Every row has one of ``SKETCH`` bits, a long
+one also one that grows with its size (about a thirtieth of the row).
 
 A column of many sets is not multiplied out: it is first tied to its best placed set, a
-star of as many pairs as members.  For the pairs that pass the bounds the overlap is
-accumulated column block by column block, links are contracted to components, and in
+star of as many pairs as members.  The pairs that pass the bounds are dealt by their first
+row, a much paired one to several tasks, and a task meets each row of a pair once: the
+overlap is accumulated column block by column block and given up as soon as what is left
+cannot reach the bound.  Links are contracted to components, and in
 columns whose members still lie in several components the members outside the centre's
 component meet the others, behind the same bounds.
 
@@ -53,11 +56,13 @@ LOCAL_WIDE = 2
 BLOCK_BYTES = 8 << 20
 #: Rows of an Arrow batch, and shingles that a worker holds before it sends on.
 ARROW_ROWS, HELD = 1000, 3_000_000
-#: Bits of a parity sketch, held in longs.
+#: Bits of every row's parity sketch, held in longs; longer sketches have two bits a column.
 SKETCH = 512
 PARITY = [f"p{i}" for i in range(SKETCH // 64)]
-#: Blocks of columns over which an overlap is accumulated, by the top bits of a hash.
-COLUMN_BLOCKS = 4
+#: Bounds of the blocks of columns over which an overlap is accumulated.
+BLOCK_CUTS = np.arange(1, 4, dtype=np.uint64) << np.uint64(62)
+#: Pairs of one first row that a task takes on.
+FIRST_PAIRS = 500
 _WORD_CACHE = 150_000
 
 
@@ -97,10 +102,25 @@ def set_id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set: for each class of shingles, whether their number is odd."""
-    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Parity sketch of a set, in bytes: for each class of shingles, whether their number
+    is odd.  ``bits`` is a power of two."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def long_sketch(s: np.ndarray) -> bytes | None:
+    """A sketch of two bits or more a column, for sets that fill the short one."""
+    return parity(s, 1 << (2 * len(s) - 1).bit_length()).tobytes() if 2 * len(s) > SKETCH else None
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the size of the symmetric difference, from two sketches in bytes;
+    the longer one is folded to the shorter's classes."""
+    if len(x) < len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(folded ^ y).sum())
 
 
 def prefix_size(n):
@@ -131,7 +151,7 @@ def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def membership(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, sid, parity sketch) of documents, and rows (shingle, seen) of
     columns that several sets of one batch share."""
-    names_of = ["doc_id", "n", "sid", "shingle", "seen", *PARITY]
+    names_of = ["doc_id", "n", "sid", "shingle", "seen", *PARITY, "sketch"]
     none = lambda m: pa.nulls(m, pa.int64())
 
     def wide_rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -140,18 +160,20 @@ def membership(docs: DataFrame) -> DataFrame:
             m = len(h)
             if m:
                 yield pa.RecordBatch.from_arrays(
-                    [none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64()), *[none(m) for _ in PARITY]], names_of
+                    [none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64()), *[none(m) for _ in PARITY], pa.nulls(m, pa.binary())],
+                    names_of,
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts, held = set(), [], 0
         for batch in batches:
-            sizes, names, sets, odd = [], [], [], []
+            sizes, names, sets, odd, long = [], [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py())
                 sizes.append(len(s))
                 names.append(set_id(s) if len(s) else None)
-                odd.append(parity(s))
+                odd.append(parity(s).view(np.int64))
+                long.append(long_sketch(s))
                 if len(s) and names[-1] not in seen:
                     seen.add(names[-1])
                     sets.append(s)
@@ -159,7 +181,8 @@ def membership(docs: DataFrame) -> DataFrame:
             bits = np.stack(odd) if odd else np.zeros((0, len(PARITY)), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)]
-                + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(PARITY))],
+                + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(PARITY))]
+                + [pa.array(long, pa.binary())],
                 names_of,
             )
             if sets:
@@ -170,7 +193,7 @@ def membership(docs: DataFrame) -> DataFrame:
                 seen, parts, held = set(), [], 0
         yield from wide_rows(parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names_of))
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names_of[:-1]) + ", sketch binary")
 
 
 def wide_columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -279,33 +302,6 @@ def table(a, b, n, pos) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([col(a), col(b), col(n), col(pos)], ["a", "b", "n", "pos"])
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, block, items): the shingles of the wanted sets, packed by column block, each
-    set from the one document that ``wanted`` (sid, doc_id) names.  Up to a counted bound
-    the wanted ids are broadcast; beyond it only the named documents are shuffled."""
-    small = wanted.count() <= BROADCAST_IDS
-    ids = F.broadcast(wanted) if small else wanted.hint("shuffle_hash")
-    owner = ids.select("sid", F.col("doc_id").alias("__owner"))
-    named = docs.select("doc_id", "text").join(owner, F.col("doc_id").eqNullSafe(F.col("__owner"))).select("sid", "text")
-    cuts = np.arange(1, COLUMN_BLOCKS, dtype=np.uint64) * np.uint64((1 << 64) // COLUMN_BLOCKS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, np.ndarray] = {}
-            for sid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if sid not in found:
-                    s = shingle_set(t.as_py())
-                    # several rows may bear the owner's doc_id
-                    if len(s) and set_id(s) == sid:
-                        found[sid] = s
-            blocks = [x.tobytes() for s in found.values() for x in np.split(s, np.searchsorted(s, cuts))]
-            names = np.repeat(np.fromiter(found, np.int64, len(found)), COLUMN_BLOCKS)
-            numbers = np.tile(np.arange(COLUMN_BLOCKS, dtype=np.int32), len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(numbers), pa.array(blocks, pa.binary())], ["sid", "block", "items"])
-
-    return named.mapInArrow(run, "sid long, block int, items binary")
-
-
 def sketched(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) that the parity sketches leave possible."""
     side = lambda own, tag: owners.select(F.col("sid").alias(own), F.col("n").alias(f"n{own}"), *[F.col(p).alias(f"{p}{own}") for p in PARITY]).hint(tag)
@@ -317,42 +313,98 @@ def sketched(pairs: DataFrame, owners: DataFrame) -> DataFrame:
 PARITY_BOUND = " + ".join(f"bit_count({p}a ^ {p}b)" for p in PARITY) + " <= na + nb - 2 * ((3 * (na + nb) + 6) div 7)"
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common): overlap of each pair, accumulated over the column blocks."""
-    left = sets.select(F.col("sid").alias("a"), "block", F.col("items").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), "block", F.col("items").alias("y"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "block"]).select("a", "b", "x", "y")
+def narrowed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the long sketches leave possible too; ``rows`` is the
+    membership.  Pairs of short rows pass."""
+    wanted = ends(pairs)
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    known = rows.filter("sketch is not null").join(side, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    one = lambda own: known.select(F.col("sid").alias(own), F.col("n").alias(f"n{own}"), F.col("sketch").alias(f"s{own}"))
+    both = pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common.append(int((q[at] == p).sum()) if len(p) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "common"])
-
-    return both.mapInArrow(run, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-
-
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+            n, m = (batch.column(i).fill_null(0).to_numpy() for i in (2, 3))
+            most = n + m - 2 * needed(n, m)
+            keep = np.ones(len(most), bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                if x.is_valid and y.is_valid:
+                    keep[i] = least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most[i]
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def do_link(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two rows link: their overlap is accumulated block by block, and the pair is
+    discarded when it and what is left stay below the bound."""
+    need, got = needed(len(p), len(q)), 0
+    ends_p, ends_q = ([0, *np.searchsorted(x, BLOCK_CUTS), len(x)] for x in (p, q))
+    for i in range(len(ends_p) - 1):
+        x, y = p[ends_p[i] : ends_p[i + 1]], q[ends_q[i] : ends_q[i + 1]]
+        if len(x) and len(y):
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            got += int((y[at] == x).sum())
+        if got + min(len(p) - ends_p[i + 1], len(q) - ends_q[i + 1]) < need:
+            return False
+    return True
+
+
+def routes(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """(sid, doc_id, a, salt, turn): which rows go where.  The first row of a pair goes, as
+    turn 0, to every task that takes on some of its pairs; second rows have turn 1."""
+    share = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FIRST_PAIRS).cast("int").alias("parts"))
+    first = share.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+    second = pairs.join(share, "a").select(F.col("b").alias("sid"), "a", F.pmod(F.hash("b"), "parts").alias("salt"), F.lit(1).alias("turn"))
+    return first.unionByName(second).join(owners.select("sid", F.col("doc_id").alias("owner")), "sid")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact overlap links them, as a written table."""
-    wanted = written(ends(pairs).join(owners, "sid").select("sid", "n", "doc_id"), "wanted-sets")
-    sets = written(sets_of(docs, wanted.select("sid", "doc_id")), "sets")
-    sizes = lambda own: wanted.select(F.col("sid").alias(own), F.col("n").alias(f"n{own}"))
-    counted = overlaps(pairs, sets).join(sizes("a"), "a").join(sizes("b"), "b")
-    out = written(counted.filter("100 * common >= 75 * (na + nb - common)").select("a", "b"), "links")
-    drop_table(sets)
+    """The pairs (a, b) whose exact overlap links them, as a written table.  Rows of the
+    matrix are made from the one document that owns each and shuffled once."""
+    wanted = written(routes(pairs, owners), "routes")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    named = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("owner"))).select("a", "salt", "turn", "sid", "text")
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, name, items = None, None, b""
+        for batch in batches:
+            keep, sets = [], []
+            for i, (sid, t) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4), strict=True)):
+                text = t.as_py()
+                if text != last:
+                    s = shingle_set(text)
+                    last, name, items = text, set_id(s) if len(s) else None, s.tobytes()
+                if name == sid:  # other rows may bear the owner's doc_id
+                    keep.append(i)
+                    sets.append(items)
+            picked = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[picked.column(j) for j in range(4)], pa.array(sets, pa.binary())], ["a", "salt", "turn", "sid", "items"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, first = None, None
+        for batch in batches:
+            found = []
+            for a, salt, turn, sid, items in zip(*[batch.column(j).to_pylist() for j in range(4)], batch.column(4), strict=True):
+                if turn == 0:
+                    current, first = (a, salt), np.frombuffer(items.as_py(), "<u8")
+                elif current == (a, salt) and do_link(first, np.frombuffer(items.as_buffer(), "<u8")):
+                    found.append((a, sid))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    dealt = named.mapInArrow(rows_of, "a long, salt int, turn int, sid long, items binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "turn")
+    out = written(dealt.mapInArrow(meet, "a long, b long").distinct(), "links")
     drop_table(wanted)
     return out
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+
+
 def open_pairs(members: DataFrame, roots: DataFrame, owners: DataFrame) -> DataFrame:
     """Pairs of sets that share a column, lie in different components and pass the
     bounds.  In a column, members outside the component of its best placed set (the
@@ -391,19 +443,21 @@ def _join(docs: DataFrame) -> DataFrame:
     first = lambda c: F.min(c).alias(c)  # noqa: E731  equal in all rows of a set
     each = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), first("n"), *map(first, PARITY))
     owners = written(each, "owners")
-    pairs = written(sketched(found.filter("n is null").select("a", "b"), owners), "pairs")
+    stars = written(sketched(found.filter("n is null").select("a", "b"), owners), "stars")
+    pairs = written(narrowed(stars, rows), "pairs")
     links = verified(docs, pairs, owners)
     roots = components(links, "a", "b")
     members = found.filter("n is not null").select(F.col("a").alias("column"), F.col("b").alias("sid"), "n", "pos")
     rest = written(open_pairs(members, roots, owners), "open-pairs")
     if not rest.isEmpty():
-        links = links.unionByName(verified(docs, rest, owners))
+        likely = written(narrowed(rest, rows), "likely-pairs")
+        links = links.unionByName(verified(docs, likely, owners))
         roots = components(links, "a", "b")
     named = owners.select("sid", "doc_id", "copies").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     verdict = written(named.join(least, "root").select("sid", "component_id", "copies"), "verdicts")
     out = attach(member, verdict, "sid", "copies")
-    for done in (found, pairs, rest, owners):
+    for done in (found, stars, pairs, rest, owners):
         drop_table(done)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("doc_id"))).alias("component_id"))
 
