@@ -29,15 +29,28 @@ def partial_ratio(a: Column, b: Column) -> Column:
 
 
 def grams(s: Column, n: int) -> Column:
-    """Distinct n-grams of a short string; for long texts use ``gram_sets``."""
+    """Distinct n-grams of a short string; ``gram_sets`` takes long texts."""
     made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(n)))
     return F.when(F.length(s) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def gram_sets(s: pd.Series, n: pd.Series) -> pd.Series:
-    """Sorted distinct n-grams of texts of any length, in Arrow batches."""
-    return pd.Series([sorted({t[i : i + k] for i in range(len(t) - k + 1)}) if t is not None else [] for t, k in zip(s, n, strict=True)])
+#: Bits of a code point.
+POINT_BITS = 21
+
+
+def packed_grams(s: str) -> np.ndarray:
+    """Sorted distinct bigrams and trigrams of a text as integers without collisions:
+    trigrams are three code points side by side, bigrams two of them, negated."""
+    c = codes(s).astype(np.int64)
+    two = (c[:-1] << POINT_BITS) | c[1:]
+    three = (two[:-1] << POINT_BITS) | c[2:]
+    return np.unique(np.concatenate([-1 - two, three]))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def gram_sets(s: pd.Series) -> pd.Series:
+    """``packed_grams`` of texts of any length, in Arrow batches; none for null."""
+    return pd.Series([packed_grams(t) if t is not None else [] for t in s])
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import round4
 from ..functions.similarity import fragment_score, gram_sets, ratio, short_query_boost, suffix_prefix_score
 from ..functions.text import no_spaces, normalise, without_preamble, words
+from ..scratch import written
 
 #: Limits, weights and thresholds of the stages.
 TRIGRAM_WEIGHT, FEWEST_HITS, POOL, SHORTLIST = 0.48, 80, 950, 320
@@ -47,34 +48,43 @@ def top(rows: DataFrame, key: list[str], order: list, k: int, name: str = "rank"
     return ranked.filter(F.col(name) < k)
 
 
-def gram_hits(queries: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
-    """query_id, key, overlap > 0: distinct shared bigrams plus weighted trigrams."""
+#: Gram rows of queries (16 bytes each) up to which they are sent to the targets.
+BROADCAST_GRAMS = 2_000_000
 
-    def exploded(rows: DataFrame, cols: list[str]) -> DataFrame:
-        made = [rows.select(*cols, F.lit(w).alias("w"), F.explode(gram_sets(F.col("ns"), F.lit(n))).alias("gram")) for n, w in ((2, 1.0), (3, TRIGRAM_WEIGHT))]
-        return made[0].unionByName(made[1])
 
-    q = exploded(queries, ["query_id"])
-    t = exploded(targets, key).drop("w")
-    # sizes are counted as integers so that equal overlaps compare equal
-    met = q.join(t, "gram").groupBy("query_id", *key).agg(
-        F.sum((F.col("w") == 1.0).cast("int")).alias("two"), F.sum((F.col("w") != 1.0).cast("int")).alias("three")
+def gram_hits(queries: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+    """query_id, key, overlap > 0: distinct shared bigrams plus weighted trigrams.  The
+    queries' grams are sent to the targets if a count shows them few, else both are
+    shuffled."""
+    q = queries.select("query_id", F.explode(gram_sets("ns")).alias("gram"))
+    t = targets.select(*key, F.explode(gram_sets("ns")).alias("gram"))
+    few = (queries.agg(F.sum(2 * F.length("ns"))).first()[0] or 0) <= BROADCAST_GRAMS
+    # grams are counted as integers so that equal overlaps compare equal
+    met = t.join(F.broadcast(q) if few else q, "gram").groupBy("query_id", *key).agg(
+        F.sum((F.col("gram") < 0).cast("int")).alias("two"), F.sum((F.col("gram") >= 0).cast("int")).alias("three")
     )
     return met.select("query_id", *key, (F.col("two") + F.lit(TRIGRAM_WEIGHT) * F.col("three")).alias("overlap"))
 
 
+def meet_all(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """A query set against the whole corpus, in blocks: the corpus is dealt to blocks once,
+    and every block gets the queries."""
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return asked.join(corpus.withColumn("block", F.pmod(F.hash("grp", "pos"), F.lit(n))), "block").drop("block")
+
+
 def prune(queries: DataFrame, corpus: DataFrame, pool: int = POOL, fewest: int = FEWEST_HITS) -> DataFrame:
-    """query_id, grp, pos, ord: candidates of each query in the order of their overlap;
-    the whole corpus, in its own order, for queries of fewer than 4 characters or with
-    fewer than ``fewest`` hits."""
+    """query_id, grp, pos, ord: candidates of each query, in the order (ord, grp, pos) of
+    their overlap; the whole corpus, in its own order, for queries of fewer than 4
+    characters or with fewer than ``fewest`` hits."""
     q = queries.select("query_id", no_spaces(F.col("text")).alias("ns"))
     c = corpus.select("grp", "pos", no_spaces(F.col("joined")).alias("ns"))
     hits = gram_hits(q.filter(F.length("ns") >= 4), c.filter(F.length("ns") >= 2), ["grp", "pos"])
     counted = hits.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("query_id"))).filter(F.col("n") >= fewest)
     best = top(counted, ["query_id"], [F.desc("overlap"), "grp", "pos"], pool, "ord").select("query_id", "grp", "pos", "ord")
-    rest = q.select("query_id").join(counted.select("query_id").distinct(), "query_id", "left_anti")
-    numbered = c.select("grp", "pos", (F.row_number().over(W.orderBy("grp", "pos")) - 1).alias("ord"))
-    return best.unionByName(rest.join(numbered))
+    rest = q.select("query_id").join(best.select("query_id").distinct(), "query_id", "left_anti")
+    return best.unionByName(meet_all(rest, c.select("grp", "pos")).withColumn("ord", F.lit(0)).select("query_id", "grp", "pos", "ord"))
 
 
 def spans(corpus: DataFrame, longest: int) -> DataFrame:
@@ -129,10 +139,11 @@ def joint_matches(queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> Data
     """The k best singles and spans of each query: MATCH columns, kind and rank.  Groups
     for spans are chosen before fragments are blended in."""
     asked = queries.filter(F.trim("text") != "")
-    pool = prune(asked, corpus).join(corpus.drop("display"), ["grp", "pos"]).join(asked.select("query_id", "text"), "query_id").filter("joined <> ''")
+    found = written(prune(asked, corpus), "candidates")
+    pool = found.join(corpus.drop("display"), ["grp", "pos"]).join(asked.select("query_id", "text"), "query_id").filter("joined <> ''")
     ns = no_spaces(F.col("text"))
-    scored = pool.withColumn("raw", single_score(F.col("text"), ns))
-    ranked = scored.withColumn("r1", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("raw"), "ord")))
+    scored = written(pool.withColumn("raw", single_score(F.col("text"), ns)), "scored-candidates")
+    ranked = scored.withColumn("r1", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("raw"), "ord", "grp", "pos")))
     groups = top(ranked.groupBy("query_id", "grp").agg(F.min("r1").alias("r1")), ["query_id"], ["r1"], TOP_GROUPS, "grp_rank").select("query_id", "grp", "grp_rank")
     ranked = ranked.withColumn("ns_len", F.length(ns))
     long = (F.col("ns_len") >= FRAGMENT_CHARS) & (F.col("ns_len") < F.length(no_spaces(F.col("joined"))) * FRAGMENT_SHARE)
@@ -169,7 +180,7 @@ def prefix_spans(corpus: DataFrame) -> DataFrame:
 def prefix_rescue(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Best prefix spans of queries of 34 characters or more."""
     long = queries.filter(F.length(no_spaces(F.col("text"))) >= PREFIX_CHARS)
-    rows = rescue_score(long.join(prefix_spans(corpus))).filter(F.col("score") >= PREFIX_SCORE)
+    rows = rescue_score(meet_all(long, prefix_spans(corpus))).filter(F.col("score") >= PREFIX_SCORE)
     rows = rows.withColumn("score", round4(F.col("score"))).withColumn("raw_score", round4(F.col("raw")))
     return top(rows, ["query_id"], [F.desc("score"), "grp", "size"], RESCUED).select(*MATCH, "rank")
 
@@ -215,14 +226,15 @@ def running_best(rows: DataFrame) -> DataFrame:
 def best_match(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row per query that has a match: MATCH columns, frag_fit, margin, fit_margin."""
     asked = queries.filter(F.trim("text") != "").select("query_id", "text")
-    joint = joint_matches(asked, corpus)
+    # every later stage starts from these rows: they are made once
+    joint = written(joint_matches(asked, corpus), "joint-matches")
     best = joint.filter("rank = 0").drop("rank", "kind")
     late = F.col("pos_end").isNotNull() & (F.col("pos") > 1)
     doubtful = best.filter(late | (F.col("score") < UNSURE))
     again = asked.join(doubtful.select("query_id"), "query_id", "left_semi")
     mine = doubtful.select("query_id", F.col("grp").alias("b_grp"), F.col("pos").alias("b_pos"), F.col("pos_end").alias("b_end"), F.col("score").alias("b_score"))
-    prefix = prefix_rescue(again, corpus).join(mine, "query_id")
-    anywhere = global_rescue(again, corpus).join(mine, "query_id")
+    prefix = written(prefix_rescue(again, corpus), "prefix-rescues").join(mine, "query_id")
+    anywhere = written(global_rescue(again, corpus), "global-rescues").join(mine, "query_id")
     sized = asked.select("query_id", F.length(no_spaces(F.col("text"))).alias("n_ns"))
     collapse = prefix.join(sized, "query_id").filter(
         F.col("n_ns").between(PREFIX_CHARS, COLLAPSE_LONGEST) & F.col("b_end").isNotNull() & (F.col("b_pos") > 1)
@@ -271,7 +283,7 @@ def best_of_hypotheses(matches: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """query_id, grp, pos, score, rank: plain ratio with every passage."""
-    scored = queries.select("query_id", "text").join(F.broadcast(corpus.select("grp", "pos", "joined")))
+    scored = meet_all(queries.select("query_id", "text"), corpus.select("grp", "pos", "joined"))
     scored = scored.select("query_id", "grp", "pos", ratio(F.col("text"), F.col("joined")).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), "grp", "pos"], k)
 
@@ -314,7 +326,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, hints: DataFrame | None = No
     """Ranked singles and spans over the whole corpus: MATCH columns, bonus, kind, rank.
     ``hints`` is (query_id, grp, pos) of the passage last recited."""
     asked = queries.filter(F.trim("text") != "").select("query_id", "text")
-    pairs = asked.join(F.broadcast(corpus.drop("display")))
+    pairs = meet_all(asked, corpus.drop("display"))
     if hints is None:
         pairs = pairs.withColumn("bonus", F.lit(0.0))
     else:

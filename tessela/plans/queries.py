@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, pitch, similarity, text
 from ..operators import curve, framing, judge, retrieval, scoring, sequences
+from ..scratch import scratch
 from ..streaming import live
 from . import fixtures as fx
 
@@ -407,9 +408,7 @@ def live_gate(spark, sf_dir):
 @query(LIVE)
 def live_gate_stream(spark, sf_dir):
     """The same by Structured Streaming over the blocks as files."""
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessela-stream").rstrip("/") + f"/live-{uuid.uuid4().hex}"
+    base = scratch(spark, "live")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
