@@ -290,23 +290,29 @@ def byte_text(tokens: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else decode_bytes(list(t)) for t in tokens], dtype="object")
 
 
-def timestamp_segments(tokens: list[tuple[str, float | None]], offset: float, chunk: float = 30.0) -> list[tuple[str, float, float]]:
-    """(text, t_start, t_end) between consecutive time stamps; trailing text lasts up to
-    5 s; without stamps one segment spans the chunk.  ``tokens`` are (token, seconds or
-    None)."""
-    if all(s is None for _, s in tokens):
-        text = decode_bytes([t for t, _ in tokens]).strip()
-        return [(text, offset, offset + chunk)] if text else []
-    out, held, start = [], [], None
-    for token, seconds in tokens:
-        if seconds is None:
-            held.append(token)
-            continue
-        text = decode_bytes(held).strip()
-        if start is not None and text:
-            out.append((text, offset + start, offset + seconds))
-        held, start = [], seconds
-    text = decode_bytes(held).strip()
-    if text and start is not None:
-        out.append((text, offset + start, offset + min(chunk, start + 5)))
-    return out
+#: Seconds of a chunk, and of the text after its last time stamp.
+CHUNK_SECONDS, TRAILING_SECONDS = 30.0, 5.0
+
+
+def stamped_segments(tokens: DataFrame, chunk: float = CHUNK_SECONDS) -> DataFrame:
+    """clip_id, seg, text, t_start, t_end: the text between consecutive time stamps.
+    ``tokens`` is (clip_id, i, token, seconds, t_offset); a time stamp has seconds, a byte-
+    level token has null.  Text before the first stamp is dropped, trailing text lasts up
+    to 5 s, and a clip without stamps is one segment as long as the chunk."""
+    w = W.partitionBy("clip_id").orderBy("i")
+    parts = tokens.withColumn("part", F.count("seconds").over(w))
+    word = F.when(F.col("seconds").isNull(), F.struct("i", "token"))
+    held = parts.groupBy("clip_id", "part").agg(
+        F.max("seconds").alias("start"), F.array_sort(F.collect_list(word)).alias("x"), F.max("t_offset").alias("t_offset")
+    )
+    order = W.partitionBy("clip_id").orderBy("part")
+    told = held.select(
+        "clip_id", "part", "start", "t_offset", F.trim(byte_text("x.token")).alias("text"),
+        F.lead("start").over(order).alias("next"), F.max("part").over(W.partitionBy("clip_id")).alias("stamps"),
+    )
+    kept = told.filter((F.col("text") != "") & ((F.col("part") > 0) | (F.col("stamps") == 0)))
+    end = F.when(F.col("stamps") == 0, F.lit(chunk)).otherwise(F.coalesce("next", F.least(F.lit(chunk), F.col("start") + TRAILING_SECONDS)))
+    return kept.select(
+        "clip_id", (F.row_number().over(order) - 1).alias("seg"), "text",
+        (F.col("t_offset") + F.coalesce("start", F.lit(0.0))).alias("t_start"), (F.col("t_offset") + end).alias("t_end"),
+    )

@@ -169,8 +169,12 @@ def test_words_over_runs_cover_words():
 def test_stitching_and_bytes():
     assert sequences.stitch(["a b c d", "c d e", " ", "zz"]) == "a b c d e zz"
     assert sequences.decode_bytes(["Ġx", "Ã©", "<|end|>"]) == " xé"
-    assert sequences.timestamp_segments([("a", None)], 30.0) == [("a", 30.0, 60.0)]
-    assert sequences.timestamp_segments([("", 1.0), ("a", None), ("", 2.0), ("b", None)], 0.0) == [("a", 1.0, 2.0), ("b", 2.0, 7.0)]
+
+
+def test_stamped_segments(spark):
+    rows = [(1, 0, "a", None, 30.0), (2, 0, "", 1.0, 0.0), (2, 1, "a", None, 0.0), (2, 2, "", 2.0, 0.0), (2, 3, "b", None, 0.0), (3, 0, "x", None, 0.0), (3, 1, "", 4.0, 0.0), (3, 2, "y", None, 0.0)]
+    got = sequences.stamped_segments(spark.createDataFrame(rows, "clip_id int, i int, token string, seconds double, t_offset double")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, "a", 30.0, 60.0), (2, 0, "a", 1.0, 2.0), (2, 1, "b", 2.0, 7.0), (3, 0, "y", 4.0, 9.0)]
 
 
 def best_score(e, h, bounds):
