@@ -1,26 +1,27 @@
-"""What several corpus operators share: table access, shared scratch folders,
-text normalisation and tokenizer files.
+"""What several corpus operators share: table access, text normalisation, joins with
+checked broadcasts and tokenizer files.
 
 Text convention: a null text counts as empty.  Identifier convention: rows are
 told apart by their position in a written table (``rid``), so null or repeated
-``doc_id`` values never merge two rows by accident.
+``doc_id`` values never merge two rows by accident.  Operators select the columns they
+read at once; those that give back whole rows name their own columns by ``unused``.
 """
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 import zlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_table, scratch, shared_dir, written
+
+__all__ = ["drop_table", "scratch", "shared_dir", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Set to a folder when a local session (tests) names no spark.checkpoint.dir.
-_local_scratch: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,41 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.  A session that names none may
-    only be a local one, where any folder is shared."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    if not _local_scratch:
-        _local_scratch.append(tempfile.mkdtemp(prefix="spark-tessela-"))
-    return _local_scratch[0]
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives
-    the loss of executors and fixes everything that is not deterministic."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made and that nothing will read again, through
-    Spark's file system layer."""
-    sc = df.sparkSession.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or a longer one that no column of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(name: str = "text") -> Column:

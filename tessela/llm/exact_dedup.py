@@ -1,9 +1,12 @@
 """Exact deduplication over a persistent digest index.
 
-The index is a Parquet table of (digest, keep_id, group_size), bucketed and
-sorted by digest.  New rows are digested once (JVM ``sha2``), reduced to one row
-per digest, and anti-joined with the index by sort-merge on the bucketing key, so
-the index side is neither shuffled nor sorted again; unseen digests are appended.
+The index is a Parquet table of (digest, keep_id, group_size), bucketed and sorted by
+digest; it is only ever appended to.  New rows are digested once (JVM ``sha2``) and
+reduced to one row per digest.  A sort-merge anti-join on the bucketing key finds the
+digests that the index lacks, which are appended with their kept row; for digests that
+it has, a sort-merge join gives the row kept before, and the number of new copies is
+appended.  The index side of both joins is read by buckets and not shuffled; where
+several appends left several files a bucket, Spark sorts a bucket again when it reads it.
 
 Skew: copies are counted with a map-side partial aggregate, so a digest that a
 third of all rows carry sends one row per map task.  To tell rows what their
@@ -13,8 +16,9 @@ key can hold more than a thousandth of the rows.
 
 Defined cases: null text is empty text; of rows with equal digest the largest
 doc_id stays, a null doc_id ranks lowest, and of rows with the same doc_id exactly
-one stays (the last in the written digest table); an empty table gives an empty
-result; only ``doc_id`` and ``text`` are read, so other columns cannot clash.
+one stays (the last in the written digest table); of digests in the index the row kept
+then stays and all new ones go; an empty table gives an empty result; only ``doc_id`` and
+``text`` are read, and ``survivors`` keeps other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, filter_by, scratch, text_of, written
+from .common import ascii_lower, attach, drop_table, filter_by, scratch, text_of, unused, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -43,13 +47,29 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
         )
 
+    def close(self) -> None:
+        """Forgets the table's name; its files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
+        """All appended rows."""
         return self.spark.table(self.name)
 
+    def digests(self) -> DataFrame:
+        """One row a digest: the row kept and the copies counted so far."""
+        return self.table().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
     def unseen(self, grouped: DataFrame) -> DataFrame:
         """Groups whose digest the index lacks."""
         return grouped.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
 
+    def seen(self, grouped: DataFrame) -> DataFrame:
+        """Groups whose digest the index has: digest, keep_id of the row kept before,
+        copies among the new rows and in all."""
+        known = self.digests().withColumnRenamed("group_size", "before")
+        met = grouped.select("digest", F.col("group_size").alias("copies")).hint("merge").join(known, "digest")
+        return met.select("digest", "keep_id", "copies", (F.col("copies") + F.col("before")).alias("group_size"))
+
     def append(self, grouped: DataFrame) -> None:
         (
             grouped.select("digest", "keep_id", "group_size")
@@ -60,28 +80,25 @@ class DigestIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Deduplicates ``docs`` against the index and within itself, appends what is
-        new, and returns one row per input row: rid, doc_id, digest, keep_id,
-        group_size (copies among ``docs``), seen (digest was in the index before),
-        kept."""
+        new, and returns one row per input row: rid, doc_id, digest, keep_id (of the row
+        that stays, perhaps one of an earlier batch), group_size (copies in all batches),
+        seen (digest was in the index before), kept."""
         rows = written(digests(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest"), "digests")
         best = F.max(F.struct(F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid")))
         grouped = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        grouped = grouped.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
+        grouped = written(grouped.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size"), "digest-groups")
         fresh = written(self.unseen(grouped), "fresh-digests")
+        old = written(self.seen(grouped), "seen-digests")
         self.append(fresh)
-        verdict = fresh.select("digest", "keep_id", "keep_rid", "group_size")
-        return decide(rows, verdict)
-
-
-def decide(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Joins each row with the verdict on its digest.  Rows whose digest has no verdict
-    were in the index before."""
-    out = attach(rows, verdict, "digest", "group_size")
-    return out.select(
-        "rid", "doc_id", "digest", "keep_id", "group_size",
-        F.col("group_size").isNull().alias("seen"),
-        F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"),
-    )
+        if not old.isEmpty():
+            self.append(old.select("digest", "keep_id", F.col("copies").alias("group_size")))
+        new = fresh.select("digest", "keep_id", "keep_rid", "group_size", F.col("group_size").alias("copies"), F.lit(False).alias("seen"))
+        again = old.select("digest", "keep_id", F.lit(None).cast("long").alias("keep_rid"), "group_size", "copies", F.lit(True).alias("seen"))
+        out = attach(rows, written(new.unionByName(again), "digest-verdicts"), "digest", "copies")
+        for done in (grouped, fresh, old):
+            drop_table(done)
+        kept = F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False))
+        return out.select("rid", "doc_id", "digest", "keep_id", "group_size", "seen", kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, index_path: str | None = None, buckets: int | None = None) -> DataFrame:
@@ -89,18 +106,22 @@ def dedup(docs: DataFrame, index_path: str | None = None, buckets: int | None =
     folder by default)."""
     spark = docs.sparkSession
     n = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return DigestIndex(spark, index_path or scratch(spark, "digest-index"), n).add(docs)
+    index = DigestIndex(spark, index_path or scratch(spark, "digest-index"), n)
+    out = index.add(docs)
+    index.close()
+    return out
 
 
-def survivors(docs: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were.  Rows that repeat
     both doc_id and digest are one document: one of them stays."""
-    gone = "__digest"
-    verdict = written(dedup(docs).select("doc_id", "digest", "kept"), "verdicts")
-    dropped = written(verdict.groupBy("doc_id", "digest").agg(F.max("kept").alias("k")).filter("not k").select("doc_id", F.col("digest").alias(gone)), "dropped")
+    name = unused("digest", docs)
+    verdict = written(dedup(docs, index_path).select("doc_id", F.col("digest").alias(name), "kept"), "verdicts")
+    each = written(verdict.groupBy("doc_id", name).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")), "document-verdicts")
+    dropped = written(each.filter("not kept").select("doc_id", name), "dropped")
+    repeated = written(each.filter("kept and copies > 1").select("doc_id", name), "repeated")
     digest = F.sha2(ascii_lower(text_of()).cast("binary"), 256)
-    out = filter_by(docs.withColumn(gone, digest), dropped, "left_anti")
-    repeated = written(verdict.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", F.col("digest").alias(gone)), "repeated")
+    out = filter_by(docs.withColumn(name, digest), dropped, "left_anti")
     if not repeated.isEmpty():
-        out = filter_by(out, repeated, "left_anti").unionByName(filter_by(out, repeated, "left_semi").dropDuplicates(["doc_id", gone]))
-    return out.drop(gone)
+        out = filter_by(out, repeated, "left_anti").unionByName(filter_by(out, repeated, "left_semi").dropDuplicates(["doc_id", name]))
+    return out.drop(name)

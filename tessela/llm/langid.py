@@ -14,7 +14,8 @@ all a worker holds.
 Defined cases: a null text or one without a letter is ``und`` with score 0; of
 languages with equally many letters the alphabetically first wins; a script that no
 language was seen to use leaves all languages; repeated rows are labelled alike; with
-nothing to learn from everything is ``und``.
+nothing to learn from everything is ``und``; an empty table gives no rows; only
+``doc_id``, ``text`` and, for learning, ``lang`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -89,6 +90,12 @@ def script_of(points: np.ndarray) -> np.ndarray:
     return alias[np.searchsorted(SCRIPT_STARTS, points, side="right") - 1]
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character where one would become several."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each behind a space, and where each text starts."""
     joined = " " + " ".join(texts) + " "
@@ -118,8 +125,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
     lengths, begin = lengths[order], starts[:-1][order]
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
-    came = np.zeros((n_words, n_langs), np.uint8)
-    own = np.arange(n_langs, dtype=np.uint8)
+    came = np.zeros((n_words, n_langs), np.uint16)
+    own = np.arange(n_langs, dtype=np.uint16)
     if longest:
         value = scores[begin[: active[0]]].astype(np.float64)
         finals = np.zeros((active[0], n_langs))
@@ -131,7 +138,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
             best = value.argmax(1)
             jump = value[np.arange(k), best][:, None] - penalty
             word = begin[:k] + t
-            came[word] = np.where(value >= jump, own, best[:, None].astype(np.uint8))
+            came[word] = np.where(value >= jump, own, best[:, None].astype(np.uint16))
             value = np.maximum(value, jump) + scores[word]
         finals[: len(value)] = value
         state = finals.argmax(1)
@@ -147,7 +154,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, penalty: float) -> np.ndarra
 def label_words(model: LanguageModel, texts: list[str], penalty: float = SWITCH):
     """For a block of texts: (language of each word, its letters, its offset in the
     block, words before each text, text starts)."""
-    points, text_starts = code_points([t.lower() if len(t.lower()) == len(t) else t for t in texts])
+    points, text_starts = code_points([lowered(t) for t in texts])
     at, bucket, first = grams(points)
     if not len(first):
         zero = np.zeros(0, np.int64)
@@ -187,24 +194,41 @@ def predict(model: LanguageModel, texts: list[str]) -> list[tuple[str, float]]:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
-    """Trigram models of every non-null ``lang`` among rows that are not held out."""
+    """Trigram models of every non-null ``lang`` among rows that are not held out.  One
+    pass counts the languages' rows, one counts the trigrams and scripts of the sampled
+    rows where they lie; at most a row for each language and bucket reaches the driver."""
     learn = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     table = np.zeros((BUCKETS, len(langs)), np.float32)
     scripts = np.zeros((len(SCRIPT_STARTS), len(langs)), bool)
+    if not langs:
+        return LanguageModel(langs, table, scripts)
+    number = {lang: j for j, lang in enumerate(langs)}
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / sizes[lang]))])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    for j, lang in enumerate(langs):
-        share = min(1.0, per_lang / sizes[lang])
-        texts = [r["text"].lower() for r in learn.filter((F.col("lang") == lang) & (chance < share)).select("text").limit(2 * per_lang).toLocalIterator()]
-        counts = np.zeros(BUCKETS)
-        used = np.zeros(len(SCRIPT_STARTS))
-        for i in range(0, len(texts), 200):
-            points, _ = code_points(texts[i : i + 200])
-            at, bucket, _ = grams(points)
-            counts += np.bincount(bucket, minlength=BUCKETS)
-            used += np.bincount(script_of(points[at]), minlength=len(SCRIPT_STARTS))
-        table[:, j] = np.log((counts + 0.05) / (counts.sum() + 0.05 * BUCKETS))
+    sample = learn.filter(chance < F.element_at(share, F.col("lang"))).select("lang", "text")
+    width = BUCKETS + len(SCRIPT_STARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                points, _ = code_points([lowered(text.as_py())])
+                at, bucket, _ = grams(points)
+                each = met.setdefault(lang, np.zeros(width, np.int64))
+                np.add.at(each, bucket, 1)
+                np.add.at(each, BUCKETS + script_of(points[at]), 1)
+        for lang, each in met.items():
+            used = np.flatnonzero(each)
+            yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(used), pa.int32()), pa.array(used.astype(np.int32)), pa.array(each[used])], ["j", "bucket", "n"])
+
+    summed = sample.mapInArrow(run, "j int, bucket int, n long").groupBy("j", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(langs), width))
+    counts[summed.j, summed.bucket] = summed.n
+    for j in range(len(langs)):
+        letters, used = counts[j, :BUCKETS], counts[j, BUCKETS:]
+        table[:, j] = np.log((letters + 0.05) / (letters.sum() + 0.05 * BUCKETS))
         scripts[:, j] = used >= max(1.0, 0.005 * used.sum())
     return LanguageModel(langs, table, scripts)
 

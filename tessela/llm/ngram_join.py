@@ -30,7 +30,9 @@ documents join their set's verdict with hot sets by broadcast.
 
 Defined cases: null or wordless text has no shingle, size 0 and is its own component;
 fewer than five words are one shingle; a null doc_id never names a component unless
-all its members are null; repeated rows are equal sets; an empty table gives no rows.
+all its members are null; repeated rows are equal sets; an empty table gives no rows;
+``join`` reads ``doc_id`` and ``text`` only, ``survivors`` keeps other columns whatever
+their names.
 Shingles and sets are told apart by 64-bit hashes.
 """
 
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow_rows, attach, drop_table, written
+from .common import BROADCAST_IDS, arrow_rows, attach, drop_table, unused, written
 from .components import components
 
 WORDS = 5
@@ -465,7 +467,8 @@ def _join(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest doc_id.  Rows with
     a null doc_id stay."""
-    gone = join(docs).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    name = unused("near_copy", docs)
+    gone = join(docs).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     ids = written(gone, "near-copies")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    return docs.join(side, docs["doc_id"] == ids["__gone"], "left_anti")
+    return docs.join(side, docs["doc_id"] == ids[name], "left_anti")

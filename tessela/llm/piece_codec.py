@@ -9,12 +9,16 @@ symbols have changed since are skipped.  What is no piece falls back to bytes.
 No piece of such vocabularies holds a character before a word mark, or a line break;
 that is verified when the vocabulary is loaded, and texts are then cut there without
 changing any merge (otherwise a text is one chunk).  Chunks repeat, so each worker
-keeps two generations of encoded chunks of at most ``CACHE`` entries each: memory is
-bounded whatever the text.  The first ``check_rows`` rows of every Arrow batch are
-compared with the sentencepiece library, ids and decoded text; a difference raises.
+keeps two generations of at most ``CACHE`` chunks of at most ``CACHED_CHARS`` characters
+with their ids and what these ids decode to; longer chunks are done each time.
+
+After every Arrow batch, all chunks that were new in it are given to the sentencepiece
+library as one text with line breaks between, together with the first ``check_rows`` rows;
+ids and decoded text must be equal, or the task fails.
 
 Defined cases: null text is empty text, which has no ids; repeated rows and null
-doc_ids pass through; an empty table gives no rows.
+doc_ids pass through; an empty table gives no rows; only ``doc_id`` and ``text`` are read,
+so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from .common import default_tokenizer, tokenizer_bytes
 
 MARK = "▁"
-CACHE = 500_000
+CACHE, CACHED_CHARS = 400_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _codecs: dict[int, "PieceCodec"] = {}
@@ -60,8 +64,10 @@ class PieceCodec:
         whole = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
         self.cut = re.compile("[^$]*|$" if whole else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
         self.whole = whole
-        self.young: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        #: chunk -> (its ids as decimal text, what they decode to)
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
+        self.new: list[str] = []
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk, by the agenda."""
@@ -95,19 +101,31 @@ class PieceCodec:
                 ids.extend([found[1]] if found else (self.byte_ids[x] for x in s.encode()))
         return ids
 
-    def chunk_ids(self, chunk: str) -> str:
-        """The chunk's ids as decimal text, from the cache if it is there."""
+    def coded(self, chunk: str) -> tuple[str, str]:
+        """A chunk's ids as decimal text and their decoded text, from the cache if they
+        are there."""
         got = self.old.get(chunk)
         if got is None:
             ids = self.merge(chunk)
-            if self.decode(ids, first=False) != chunk.replace(MARK, " "):
-                raise ValueError(f"chunk {chunk!r} does not survive decoding")
-            got = ",".join(map(str, ids))
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[chunk] = got
+            got = ",".join(map(str, ids)), self.decode(ids, first=False)
+            self.new.append(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = got
         return got
 
+    def verify(self, texts: list[str]) -> None:
+        """Raises unless the library agrees on ``texts`` and on all chunks made since the
+        last call."""
+        fresh = "\n".join(self.new).replace(MARK, " ")
+        for text in [*texts, *([fresh] if fresh else [])]:
+            ids, decoded = self.encode_text(text)
+            expected = self.library.encode(text)
+            if ",".join(map(str, expected)) != ids or self.library.decode(expected) != decoded:
+                raise ValueError(f"ids differ from the library's: {text[:80]!r}")
+        self.new.clear()
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
@@ -115,10 +133,10 @@ class PieceCodec:
         return [marked] if self.whole else self.cut.findall(marked)
 
     def encode_text(self, text: str) -> tuple[str, str]:
-        """(decimal ids joined by commas, decoded text)."""
-        chunks, get = self.chunks(text), self.young.get
-        ids = ",".join([get(c) or self.chunk_ids(c) for c in chunks])
-        return ids, "".join(chunks).replace(MARK, " ")[1:]
+        """(decimal ids joined by commas, the text they decode to)."""
+        get = self.young.get
+        found = [get(c) or self.coded(c) for c in self.chunks(text)]
+        return ",".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
 
     def encode(self, text: str) -> list[int]:
         ids = self.encode_text(text)[0]
@@ -158,16 +176,12 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, check_rows:
         own = codec(model.value)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for row, value in enumerate(batch.column(1)):
-                text = value.as_py() or ""
-                ids, decoded = own.encode_text(text)
-                if row < check_rows:
-                    expected = own.library.encode(text)
-                    if ",".join(map(str, expected)) != ids or own.library.decode(expected) != decoded:
-                        raise ValueError(f"ids differ from the library's: {text[:80]!r}")
+            for value in batch.column(1):
+                ids, decoded = own.encode_text(value.as_py() or "")
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(sha(ids))
                 text_sha.append(sha(decoded))
+            own.verify([t.as_py() or "" for t in batch.column(1)[:check_rows]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

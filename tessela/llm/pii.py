@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds; spans are listed in this order after the base kinds.
@@ -320,6 +320,6 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, model: SpanClassifier | None = None) -> DataFrame:
     """``docs`` with the spans of ``text`` masked, columns and null texts as they were."""
     model = model or learn(docs)
-    spans = "__spans"
+    spans = unused("spans", docs)
     text = F.when(F.col("text").isNull(), F.col("text")).when(F.size(spans) > 0, masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return docs.withColumn(spans, accepted(text_of(), model)).withColumn("text", text).drop(spans)

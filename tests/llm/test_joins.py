@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tessela.llm import components, exact_dedup, ngram_join
 
 
@@ -27,12 +29,32 @@ def test_exact_dedup(docs_of):
     assert exact_dedup.dedup(docs_of([])).collect() == [] and exact_dedup.survivors(docs_of([])).collect() == []
 
 
-def test_digest_index_appends(spark, docs_of, tmp_path):
-    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
-    index.add(docs_of([(1, "a"), (2, "b")]))
-    second = index.add(docs_of([(3, "A"), (4, "c"), (5, "c")])).collect()
-    assert {(r.doc_id, r.seen, r.kept) for r in second} == {(3, True, False), (4, False, False), (5, False, True)}
-    assert index.table().count() == 3
+def test_digest_index_over_two_sessions(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    make = lambda session, rows: session.createDataFrame(rows, "doc_id long, text string")
+    first = exact_dedup.DigestIndex(spark, path, 4)
+    assert first.add(make(spark, [(1, "a"), (2, "b"), (0, "A")])).filter("kept").count() == 2
+    first.close()
+    other = spark.newSession()
+    index = exact_dedup.DigestIndex(other, path, 4)
+    second = index.add(make(other, [(3, "A"), (4, "c"), (5, "c"), (None, "b")])).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.seen, r.kept) for r in second} == {
+        (3, 1, 3, True, False), (4, 5, 2, False, False), (5, 5, 2, False, True), (None, 2, 2, True, False),
+    }
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in index.add(make(other, [(6, "a"), (7, "C")])).collect()} == {6: (1, 4), 7: (5, 3)}
+    assert sorted((r.keep_id, r.group_size) for r in index.digests().collect()) == [(1, 4), (2, 2), (5, 3)]
+    plan = index.unseen(index.digests())._jdf.queryExecution().explainString(other._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
+def test_survivors_keep_clashing_columns(docs_of):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, "other words are here and more")]
+    clash = docs_of(rows).withColumn("digest", F.lit("d")).withColumn("digest_", F.lit("e")).withColumn("near_copy", F.col("doc_id") * 2).withColumn("kept", F.lit(7))
+    for module, kept in ((exact_dedup, {2, 3}), (ngram_join, {1, 3})):
+        got = module.survivors(clash)
+        assert got.columns == clash.columns
+        assert {(r.doc_id, r.digest, r.digest_, r.near_copy, r.kept) for r in got.collect()} == {(i, "d", "e", 2 * i, 7) for i in kept}
 
 
 def shingles(text):

@@ -93,3 +93,43 @@ def test_licenses_against_brute_force(docs_of):
     assert sorted((str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.base_labels) for r in got) == want
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert licenses.scan(docs_of([])).collect() == []
+
+
+def test_labels_against_brute_force(docs_of):
+    rng = random.Random(16)
+    known = licenses.templates()
+    filler = "the of and software license without files copy x".split()
+    rows = []
+    for i in range(250):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            part = list(rng.choice(known).words)
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                part[rng.randrange(len(part))] = rng.choice(filler)
+            words += [rng.choice(filler) for _ in range(rng.randrange(4))] + part[rng.choice([0, 0, 0, 2]) :]
+        rows.append((i, " ".join(words).upper() if i % 3 else "\n".join(words)))
+    frame = docs_of(rows)
+    idf = licenses.document_frequencies(frame)
+
+    def standing(t, ws):
+        for s in range(len(ws) - len(t.words) + 1):
+            same = [x == y for x, y in zip(ws[s:], t.words, strict=False)]
+            rare = sum(same[k] for k in licenses.indexed(t, idf))
+            if all(same) or not t.exact and sum(same) >= licenses.SUPPORT * len(t.words) and rare >= 2:
+                return True
+        return False
+
+    for r in licenses.scan(frame).collect():
+        ws = rows[r.doc_id][1].lower().split()
+        found = {t.name for t in known if standing(t, ws)}
+        want = sorted({label for label, needed in licenses.rules() if found >= set(needed)})
+        assert r.labels == ",".join(want) and (r.score > 0) == bool(found)
+
+
+def test_scans_ignore_other_columns(docs_of):
+    rows = [(1, "MIT License, a@b.co"), (2, None)]
+    clash = docs_of(rows).withColumn("words", F.lit("x")).withColumn("hits", F.lit(1)).withColumn("spans", F.lit("y")).withColumn("kind", F.lit("z"))
+    assert [(r.base_labels, r.n_words) for r in licenses.scan(clash).orderBy("doc_id").collect()] == [("mit", 5), ("", 0)]
+    assert [r.n_email for r in pii.annotate(clash).orderBy("doc_id").collect()] == [1, 0]
+    got = pii.redact(clash)
+    assert got.columns == clash.columns and [(r.text, r.spans, r.kind) for r in got.orderBy("doc_id").collect()] == [("MIT License, [EMAIL]", "y", "z"), (None, "y", "z")]
