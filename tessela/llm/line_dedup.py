@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line is lower-cased (A-Z) and trimmed; its shingles are all runs of ``SHINGLE``
-characters, hashed to 64 bits.  Distinct lines are exploded to shingles and aggregated to
-a MinHash signature: for each of ``BANDS`` * ``ROWS`` masks the least shingle hash after
+characters, hashed to 64 bits.  Lines are exploded to shingles and aggregated to a MinHash
+signature: for each of ``BANDS`` * ``ROWS`` masks the least shingle hash after
 XOR with the mask.  The masks differ in their top bits, so that the minima come from
 different parts of the hash range; each equals that of another line with a chance of the
 Jaccard similarity.  ``ROWS`` neighbouring minima make a bucket key: at a similarity of
@@ -10,16 +10,22 @@ Jaccard similarity.  ``ROWS`` neighbouring minima make a bucket key: at a simila
 ``FEW`` different shingles is short or repetitive; each of these shingles is one more key
 of it, which lines with few shingles cannot miss.
 
-Within a bucket every line is paired with one centre.  Pairs that agree in fewer than
-``AGREE`` minima are given up (of pairs at 0.75 three in a thousand; lines of few shingles
-are exempt); exact Jaccard over the shingles decides the others; links are united by
-distributed star contractions; in buckets whose lines still lie in several components the
-lines outside the centre's component meet the others under the same two tests.  One line
-of a component stays: the earliest by (doc_id, line number).
+Lines that share a bucket also get the size of their shingle set and a parity sketch: for
+each of ``SKETCH`` classes of shingles, whether the set has an odd number of them.  Bits
+that differ bound the difference of two sets from below, so a pair whose sketches differ
+too much for the similarity is given up without a loss; so is one that agrees in fewer
+than ``AGREE`` minima (of pairs at 0.75 three in a thousand are lost by this; lines of few
+shingles are exempt).
 
-Signatures and texts are made for distinct lines only (copies are merged map-side); only
-64-bit keys are shuffled, texts only for distinct lines and lines that are in a pair.
-Lines join their component's verdict with hot lines by broadcast.
+Within a bucket every line is paired with one centre.  Exact Jaccard over the shingles
+decides the pairs that are left; links are united by distributed star contractions; in
+buckets whose lines still lie in several components the lines outside the centre's
+component meet the others under the same tests.  One line of a component stays: the
+earliest by (doc_id, line number).
+
+Only keys, minima and sketches are shuffled, texts only for lines that share a bucket;
+copies are merged map-side first.  Lines join their component's verdict with hot lines by
+broadcast.
 
 Defined cases: null text has no lines; blank lines are kept and belong to no component;
 a line shorter than a shingle is its own only shingle; of lines with the same doc_id and
@@ -41,6 +47,8 @@ SIMILARITY = 0.75
 ROWS, BANDS, AGREE = 2, 6, 5
 #: Up to so many different shingles behind the minima, these are keys too.
 FEW = 9
+#: Bits of a parity sketch, held in longs.
+SKETCH = 1024
 
 
 def masks() -> list[int]:
@@ -50,6 +58,7 @@ def masks() -> list[int]:
 
 
 MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
+PARITY = [f"p{j}" for j in range(SKETCH // 64)]
 
 
 def normal(line: Column) -> Column:
@@ -70,11 +79,6 @@ def shingle_hash(points: str, start: str) -> str:
     return f"xxhash64(substring({points}, 4 * {start} + 1, {4 * SHINGLE}))"
 
 
-def shingles(points: str, last: str) -> Column:
-    """Hashes of the distinct shingles of the line in columns ``points`` and ``last``."""
-    return F.expr(f"array_distinct(transform(sequence(0, {last}), i -> {shingle_hash(points, 'i')}))")
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (normalised), lid (null for blank lines)."""
     each = docs.filter("text is not null").select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
@@ -82,14 +86,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.withColumn("lid", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
+def shingle_rows(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, h: a row for each place of a shingle in column ``line``."""
+    placed = lines.select(*keys, points_of(F.col("line")).alias("points"), last_start(F.col("line")).alias("last"))
+    each = placed.select(*keys, "points", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("start"))
+    return each.select(*keys, F.expr(shingle_hash("points", "start")).alias("h"))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """lid, the minima, few (there are few shingles behind them) of distinct lines."""
-    placed = lines.select("lid", points_of(F.col("line")).alias("points"), last_start(F.col("line")).alias("last"))
-    each = placed.select("lid", "points", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("start")).select("lid", F.expr(shingle_hash("points", "start")).alias("h"))
-    least = each.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(name) for name, m in zip(MINIMA, masks(), strict=True)])
+    """lid, the minima, few (there are few shingles behind them) of each distinct line."""
+    least = shingle_rows(lines, "lid").groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(name) for name, m in zip(MINIMA, masks(), strict=True)])
     return least.withColumn("few", F.size(behind()) <= FEW)
 
 
+def sketches(lines: DataFrame) -> DataFrame:
+    """lid, n (distinct shingles), parity sketch of distinct lines: dealt by line once, a
+    line's shingles meet in one task."""
+    sets = shingle_rows(lines.repartition("lid"), "lid").distinct()
+    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(len(PARITY) - 1)), F.expr("shiftleft(1L, int(h & 63))")
+    return sets.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0)).alias(p) for j, p in enumerate(PARITY)])
+
+
 def behind() -> Column:
     """The different shingles behind the minima."""
     return F.array_distinct(F.array(*[F.col(name).bitwiseXOR(F.lit(m)) for name, m in zip(MINIMA, masks(), strict=True)]))
@@ -109,10 +126,14 @@ def bucket_members(signed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key")
 
 
-def agreeing(x: str, y: str) -> str:
-    """Condition on two signatures whose columns end in ``x`` and ``y``."""
+def may_be_similar(x: str, y: str, least: float) -> str:
+    """Condition on two lines whose columns end in ``x`` and ``y``: sets of n and m
+    shingles with a similarity of s have at least s (n + m) / (1 + s) in common."""
     same = " + ".join(f"int({m}{x} = {m}{y})" for m in MINIMA)
-    return f"(few{x} OR few{y} OR {same} >= {AGREE})"
+    differ = " + ".join(f"bit_count({p}{x} ^ {p}{y})" for p in PARITY)
+    n, m = f"n{x}", f"n{y}"
+    sizes = f"least({n}, {m}) >= {least} * greatest({n}, {m})"
+    return f"({sizes}) AND (few{x} OR few{y} OR {same} >= {AGREE}) AND {differ} <= ({n} + {m}) * {(1 - least) / (1 + least)!r} + 1e-6"
 
 
 def suffixed(signed: DataFrame, tail: str) -> DataFrame:
@@ -120,38 +141,39 @@ def suffixed(signed: DataFrame, tail: str) -> DataFrame:
 
 
 def similar(lines: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose lines have a Jaccard similarity of ``least`` or more."""
+    """The pairs (a, b) whose lines have a Jaccard similarity of ``least`` or more, as a
+    written table.  A pair's two texts come to one task, are exploded to shingles there,
+    and the shingles that both have are counted."""
     ids = written(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = lines.join(side, "lid", "left_semi")
-    one = lambda own, x: texts.select(F.col("lid").alias(own), points_of(F.col("line")).alias(x), last_start(F.col("line")).alias(f"{x}_last"))
-    both = pairs.join(one("b", "y"), "b").join(one("a", "x"), "a")
-    sets = both.select("a", "b", shingles("x", "x_last").alias("x"), shingles("y", "y_last").alias("y"))
-    met = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
-    out = written(met.filter(F.col("k") >= least * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), "line-links")
+    texts = lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "lid", "left_semi")
+    side = lambda own, tag: pairs.select("a", "b", F.col(own).alias("lid"), F.lit(tag).alias("side")).join(texts, "lid")
+    dealt = side("a", 1).unionByName(side("b", 2)).repartition("a", "b")
+    met = shingle_rows(dealt, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    common = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("every"), F.sum((F.col("sides") == 3).cast("int")).alias("k"))
+    out = written(common.filter(F.col("k") >= least * F.col("every")).select("a", "b"), "line-links")
     drop_table(ids)
     return out
 
 
-def star_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's centre with its other lines, where signatures agree."""
-    pairs = members.filter("lid <> hub").select(F.col("hub").alias("a"), F.col("lid").alias("b")).distinct()
-    both = pairs.join(suffixed(signed, "_x").withColumnRenamed("lid_x", "a"), "a").join(suffixed(signed, "_y").withColumnRenamed("lid_y", "b"), "b")
-    return both.filter(F.expr(agreeing("_x", "_y"))).select("a", "b")
+def star_pairs(members: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre with its other lines that may be similar."""
+    pairs = members.filter("lid <> hub").select(F.col("hub").alias("lid_x"), F.col("lid").alias("lid_y")).distinct()
+    both = pairs.join(suffixed(known, "_x"), "lid_x").join(suffixed(known, "_y"), "lid_y")
+    return both.filter(F.expr(may_be_similar("_x", "_y", least))).select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b"))
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """Further pairs of lines that share a bucket and lie in different components.  The
     centre has met all lines of its bucket; the lines outside its component meet all
-    others, and only pairs whose signatures agree come out."""
+    others, and only pairs that may be similar come out."""
     labelled = members.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     at_hub = F.max(F.when(F.col("lid") == F.col("hub"), F.col("root")))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), at_hub.alias("centre"), F.count(F.lit(1)).alias("k"))
     still = labelled.join(split.filter("lo <> hi and k > 2").select("key", "centre"), "key").filter("lid <> hub")
-    still = still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")).join(signed, "lid")
+    still = still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")).join(known, "lid")
     still = written(still, "open-buckets")
     met = suffixed(still.filter("outside"), "_x").join(suffixed(still, "_y"), F.col("key_x") == F.col("key_y"))
-    met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {agreeing('_x', '_y')}"))
+    met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {may_be_similar('_x', '_y', least)}"))
     return met.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).distinct()
 
 
@@ -159,13 +181,18 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line: doc_id, line_no, component_doc_id and component_line_no (the line
     that stays; null for blank lines), component_size (lines in all), kept."""
     rows = written(lines_of(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "line_no", "lid"), "line-rows")
-    lines = written(lines_of(docs).filter("lid is not null").select("lid", "line").distinct(), "distinct-lines")
-    signed = written(signatures(lines), "signatures")
+    each = lines_of(docs).filter("lid is not null").select("lid", "line")
+    signed = written(signatures(each), "signatures")
     members = written(bucket_members(signed), "bucket-members")
-    pairs = written(star_pairs(members, signed), "star-pairs")
+    shared = written(members.select("lid").distinct(), "shared-lines")
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
+    lines = written(each.join(side, "lid", "left_semi").distinct(), "lines")
+    known = written(signed.join(sketches(lines), "lid"), "known-lines")
+    drop_table(signed)
+    pairs = written(star_pairs(members, known, similarity), "star-pairs")
     links = similar(lines, pairs, similarity)
     roots = components(links, "a", "b")
-    rest = written(open_pairs(members, roots, signed), "open-pairs")
+    rest = written(open_pairs(members, roots, known, similarity), "open-pairs")
     if not rest.isEmpty():
         links = links.unionByName(similar(lines, rest, similarity))
         roots = components(links, "a", "b")
@@ -176,7 +203,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     each = written(each, "line-groups")
     best = each.groupBy("root").agg(F.min("first").alias("stay"), F.sum("copies").alias("component_size"))
     verdict = written(each.join(best, "root").select("lid", "copies", "stay", "component_size"), "line-verdicts")
-    for done in (lines, signed, members, pairs, rest, each):
+    for done in (lines, known, members, shared, pairs, rest, each):
         drop_table(done)
     out = attach(rows, verdict, "lid", "copies")
     return out.select(
