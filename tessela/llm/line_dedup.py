@@ -10,20 +10,20 @@ Jaccard similarity.  ``ROWS`` neighbouring minima make a bucket key: at a simila
 ``FEW`` different shingles is short or repetitive; each of these shingles is one more key
 of it, which lines with few shingles cannot miss.
 
-Lines that share a bucket also get the size of their shingle set and a parity sketch: for
-each of ``SKETCH`` classes of shingles, whether the set has an odd number of them.  Bits
-that differ bound the difference of two sets from below, so a pair whose sketches differ
-too much for the similarity is given up without a loss; so is one that agrees in fewer
-than ``AGREE`` minima (of pairs at 0.75 three in a thousand are lost by this; lines of few
-shingles are exempt).
+Pairs that agree in fewer than ``AGREE`` minima are given up (of pairs at 0.75 three in a
+thousand are lost by this; lines of few shingles are exempt).  Lines of other pairs also
+get a bitmap: which of ``BITS`` classes of shingles they meet.  Bits that differ bound the
+difference of two shingle sets from below, so pairs whose bitmaps differ too much for the
+similarity are given up without a loss.
 
 Within a bucket every line is paired with one centre.  Exact Jaccard over the shingles
-decides the pairs that are left; links are united by distributed star contractions; in
+decides the pairs that are left; links are united by distributed star contractions.  In
 buckets whose lines still lie in several components the lines outside the centre's
-component meet the others under the same tests.  One line of a component stays: the
-earliest by (doc_id, line number).
+component meet the others under the same tests; of these pairs each line's best agreeing
+one is decided first, then those that the new links leave in different components.  One
+line of a component stays: the earliest by (doc_id, line number).
 
-Only keys, minima and sketches are shuffled, texts only for lines that share a bucket;
+Only keys, minima and bitmaps are shuffled, texts only for lines that share a bucket;
 copies are merged map-side first.  Lines join their component's verdict with hot lines by
 broadcast.
 
@@ -47,8 +47,8 @@ SIMILARITY = 0.75
 ROWS, BANDS, AGREE = 2, 6, 5
 #: Up to so many different shingles behind the minima, these are keys too.
 FEW = 9
-#: Bits of a parity sketch, held in longs.
-SKETCH = 1024
+#: Bits of a bitmap, held in longs.
+BITS = 1024
 
 
 def masks() -> list[int]:
@@ -58,7 +58,7 @@ def masks() -> list[int]:
 
 
 MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
-PARITY = [f"p{j}" for j in range(SKETCH // 64)]
+BITMAP = [f"b{j}" for j in range(BITS // 64)]
 
 
 def normal(line: Column) -> Column:
@@ -86,6 +86,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.withColumn("lid", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
+def shingles(points: str, last: str) -> Column:
+    """Hashes of the distinct shingles of the line in columns ``points`` and ``last``."""
+    return F.expr(f"array_distinct(transform(sequence(0, {last}), i -> {shingle_hash(points, 'i')}))")
+
+
 def shingle_rows(lines: DataFrame, *keys: str) -> DataFrame:
     """keys, h: a row for each place of a shingle in column ``line``."""
     placed = lines.select(*keys, points_of(F.col("line")).alias("points"), last_start(F.col("line")).alias("last"))
@@ -99,12 +104,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.withColumn("few", F.size(behind()) <= FEW)
 
 
-def sketches(lines: DataFrame) -> DataFrame:
-    """lid, n (distinct shingles), parity sketch of distinct lines: dealt by line once, a
-    line's shingles meet in one task."""
-    sets = shingle_rows(lines.repartition("lid"), "lid").distinct()
-    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(len(PARITY) - 1)), F.expr("shiftleft(1L, int(h & 63))")
-    return sets.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0)).alias(p) for j, p in enumerate(PARITY)])
+def bitmaps(lines: DataFrame) -> DataFrame:
+    """lid, places (of shingles; at least as many as distinct ones), bitmap of distinct
+    lines."""
+    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(len(BITMAP) - 1)), F.expr("shiftleft(1L, int(h & 63))")
+    bits = [F.coalesce(F.bit_or(F.when(word == j, bit)), F.lit(0)).alias(b) for j, b in enumerate(BITMAP)]
+    return shingle_rows(lines, "lid").groupBy("lid").agg(F.count(F.lit(1)).alias("places"), *bits)
 
 
 def behind() -> Column:
@@ -126,55 +131,90 @@ def bucket_members(signed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key")
 
 
-def may_be_similar(x: str, y: str, least: float) -> str:
-    """Condition on two lines whose columns end in ``x`` and ``y``: sets of n and m
-    shingles with a similarity of s have at least s (n + m) / (1 + s) in common."""
-    same = " + ".join(f"int({m}{x} = {m}{y})" for m in MINIMA)
-    differ = " + ".join(f"bit_count({p}{x} ^ {p}{y})" for p in PARITY)
-    n, m = f"n{x}", f"n{y}"
-    sizes = f"least({n}, {m}) >= {least} * greatest({n}, {m})"
-    return f"({sizes}) AND (few{x} OR few{y} OR {same} >= {AGREE}) AND {differ} <= ({n} + {m}) * {(1 - least) / (1 + least)!r} + 1e-6"
+def agreement(x: str, y: str) -> str:
+    """Number of equal minima of two lines whose columns end in ``x`` and ``y``."""
+    return " + ".join(f"int({m}{x} = {m}{y})" for m in MINIMA)
+
+
+def agreeing(x: str, y: str) -> str:
+    return f"(few{x} OR few{y} OR {agreement(x, y)} >= {AGREE})"
+
+
+def near(x: str, y: str, least: float) -> str:
+    """Condition on bitmaps: of sets of n and m shingles with a similarity of s, at most
+    (1 - s) / (1 + s) of n + m are in only one."""
+    differ = " + ".join(f"bit_count({b}{x} ^ {b}{y})" for b in BITMAP)
+    return f"{differ} <= (places{x} + places{y}) * {(1 - least) / (1 + least)!r} + 1e-6"
 
 
 def suffixed(signed: DataFrame, tail: str) -> DataFrame:
     return signed.select(*[F.col(c).alias(c + tail) for c in signed.columns])
 
 
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose lid is in the written table ``ids``."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "lid", "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct()
+
+
 def similar(lines: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose lines have a Jaccard similarity of ``least`` or more, as a
-    written table.  A pair's two texts come to one task, are exploded to shingles there,
-    and the shingles that both have are counted."""
-    ids = written(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
-    texts = lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "lid", "left_semi")
-    side = lambda own, tag: pairs.select("a", "b", F.col(own).alias("lid"), F.lit(tag).alias("side")).join(texts, "lid")
-    dealt = side("a", 1).unionByName(side("b", 2)).repartition("a", "b")
-    met = shingle_rows(dealt, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-    common = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("every"), F.sum((F.col("sides") == 3).cast("int")).alias("k"))
-    out = written(common.filter(F.col("k") >= least * F.col("every")).select("a", "b"), "line-links")
+    written table."""
+    ids = written(ends(pairs), "line-ids")
+    texts = of_ids(lines, ids)
+    one = lambda own, x: texts.select(F.col("lid").alias(own), points_of(F.col("line")).alias(x), last_start(F.col("line")).alias(f"{x}_last"))
+    both = pairs.select("a", "b").join(one("b", "y"), "b").join(one("a", "x"), "a")
+    sets = both.select("a", "b", shingles("x", "x_last").alias("x"), shingles("y", "y_last").alias("y"))
+    met = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
+    out = written(met.filter(F.col("k") >= least * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), "line-links")
     drop_table(ids)
     return out
 
 
-def star_pairs(members: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's centre with its other lines that may be similar."""
+def star_pairs(members: DataFrame, signed: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre with its other lines that may be similar, as a
+    written table."""
     pairs = members.filter("lid <> hub").select(F.col("hub").alias("lid_x"), F.col("lid").alias("lid_y")).distinct()
-    both = pairs.join(suffixed(known, "_x"), "lid_x").join(suffixed(known, "_y"), "lid_y")
-    return both.filter(F.expr(may_be_similar("_x", "_y", least))).select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b"))
+    both = pairs.join(suffixed(signed, "_x"), "lid_x").join(suffixed(signed, "_y"), "lid_y").filter(F.expr(agreeing("_x", "_y")))
+    agreed = written(both.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")), "agreeing-pairs")
+    ids = written(ends(agreed), "line-ids")
+    maps = written(bitmaps(of_ids(lines, ids)), "bitmaps")
+    met = agreed.join(suffixed(maps, "_x").withColumnRenamed("lid_x", "a"), "a").join(suffixed(maps, "_y").withColumnRenamed("lid_y", "b"), "b")
+    out = written(met.filter(F.expr(near("_x", "_y", least))).select("a", "b"), "star-pairs")
+    for done in (agreed, ids, maps):
+        drop_table(done)
+    return out
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Further pairs of lines that share a bucket and lie in different components.  The
-    centre has met all lines of its bucket; the lines outside its component meet all
-    others, and only pairs that may be similar come out."""
+def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """(a, b, agreed): further pairs of lines that share a bucket and lie in different
+    components, as a written table.  The centre has met all lines of its bucket; the lines
+    outside its component meet all others, and only pairs that may be similar come out."""
     labelled = members.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
     at_hub = F.max(F.when(F.col("lid") == F.col("hub"), F.col("root")))
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), at_hub.alias("centre"), F.count(F.lit(1)).alias("k"))
     still = labelled.join(split.filter("lo <> hi and k > 2").select("key", "centre"), "key").filter("lid <> hub")
-    still = still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")).join(known, "lid")
-    still = written(still, "open-buckets")
-    met = suffixed(still.filter("outside"), "_x").join(suffixed(still, "_y"), F.col("key_x") == F.col("key_y"))
-    met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {may_be_similar('_x', '_y', least)}"))
-    return met.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b")).distinct()
+    still = written(still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")), "open-members")
+    ids = written(still.select("lid").distinct(), "line-ids")
+    known = of_ids(signed, ids).join(bitmaps(of_ids(lines, ids)), "lid")
+    told = written(still.join(known, "lid"), "open-buckets")
+    met = suffixed(told.filter("outside"), "_x").join(suffixed(told, "_y"), F.col("key_x") == F.col("key_y"))
+    met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {agreeing('_x', '_y')} AND {near('_x', '_y', least)}"))
+    pairs = met.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b"), F.expr(agreement("_x", "_y")).alias("agreed"))
+    out = written(pairs.distinct(), "open-pairs")
+    for done in (still, ids, told):
+        drop_table(done)
+    return out
+
+
+def between_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    root_of = lambda own: roots.select(F.col("node").alias(own), F.col("root").alias(f"root_{own}"))
+    both = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -185,16 +225,18 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = written(signatures(each), "signatures")
     members = written(bucket_members(signed), "bucket-members")
     shared = written(members.select("lid").distinct(), "shared-lines")
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
-    lines = written(each.join(side, "lid", "left_semi").distinct(), "lines")
-    known = written(signed.join(sketches(lines), "lid"), "known-lines")
-    drop_table(signed)
-    pairs = written(star_pairs(members, known, similarity), "star-pairs")
+    lines = written(of_ids(each, shared).distinct(), "lines")
+    pairs = star_pairs(members, signed, lines, similarity)
     links = similar(lines, pairs, similarity)
     roots = components(links, "a", "b")
-    rest = written(open_pairs(members, roots, known, similarity), "open-pairs")
+    rest = open_pairs(members, roots, signed, lines, similarity)
     if not rest.isEmpty():
-        links = links.unionByName(similar(lines, rest, similarity))
+        best = rest.groupBy("b").agg(F.max_by("a", F.struct("agreed", "a")).alias("a")).select("a", "b")
+        first = written(best, "best-pairs")
+        links = links.unionByName(similar(lines, first, similarity))
+        roots = components(links, "a", "b")
+        left = written(between_roots(rest.join(first, ["a", "b"], "left_anti"), roots), "left-pairs")
+        links = links.unionByName(similar(lines, left, similarity))
         roots = components(links, "a", "b")
     # nulls last: a flag leads the order
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "rid")
@@ -203,7 +245,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     each = written(each, "line-groups")
     best = each.groupBy("root").agg(F.min("first").alias("stay"), F.sum("copies").alias("component_size"))
     verdict = written(each.join(best, "root").select("lid", "copies", "stay", "component_size"), "line-verdicts")
-    for done in (lines, known, members, shared, pairs, rest, each):
+    for done in (lines, signed, members, shared, pairs, rest, each):
         drop_table(done)
     out = attach(rows, verdict, "lid", "copies")
     return out.select(
