@@ -1,22 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart, one on toxic and one on ordinary
-labelled text.  A window (a lower-cased run of letters) is compressed with each; the
-difference of the two lengths is its gain.  The toxic dictionary is trained on the
-windows that recur in toxic texts and are absent from the ordinary ones, and both
-share a base trained on ordinary text, so that ordinary windows cost the same in
-either and the gain is quiet where nothing is wrong.  How many windows of a text gain
-at least each calibrated number of bytes feeds a logistic curve fitted on labelled
-rows that neither dictionary has seen.
+Two zstandard dictionaries are trained apart, one on toxic and one on ordinary labelled
+text.  A window is compressed with each; the difference of the two lengths is its gain.
+Windows are the words of a text (lower-cased runs of letters) and, around every word that
+gains, the stretch of ``AROUND`` words on either side.  The toxic dictionary is trained on
+the words that toxic texts use at least ``LIFT`` times as often as ordinary ones, in the
+order of the texts; both share a base trained on ordinary text, so that ordinary windows
+cost the same in either and the gain is quiet where nothing is wrong.
+
+The thresholds are calibrated on labelled rows that neither dictionary has seen: they are
+``QUANTILES`` of the largest gains of ordinary texts.  How many windows of a text gain at
+least each threshold feeds a logistic curve fitted on the same rows.
 
 Fitting uses at most ``per_class`` labelled rows of each class (those of the smallest
-hash of doc_id); the class shares are counted over all labelled rows.  Windows repeat,
-so a worker keeps gains of at most ``CACHE`` windows.  Scoring is a narrow pass.
+hash of doc_id), one text of at most ``LEARN_CHARS`` characters each: that bounds what
+reaches the driver.  The class shares are counted over all labelled rows.  Words repeat,
+so a worker keeps gains of at most ``CACHE`` words.  Scoring is a narrow pass over whole
+texts.
 
 Defined cases: null, empty and letterless texts have no window and get the score of a
 text without gains; null labels are not learned from; repeated rows are scored alike;
-with no labelled rows of either class every score is the share of toxic labels (0 if
-there are none).
+of several texts with one doc_id one is learned from; with no labelled rows of either
+class every score is the share of toxic labels (0 if there are none); an empty table gives
+no rows; only ``doc_id`` and ``text`` of documents are read, and ``reject`` keeps other
+columns whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +44,13 @@ from .common import held_out
 
 PER_CLASS = 4000
 THRESHOLD = 0.3
-GAINS = (2, 3, 4, 5, 6)
+#: Calibrated thresholds: quantiles of the largest gains of ordinary texts.
+QUANTILES = (0.3, 0.6, 0.8, 0.95, 0.99)
+#: Rate in toxic over rate in ordinary texts from which a word trains the toxic dictionary.
+LIFT = 100.0
+#: Words on either side of a gaining word that make a longer window.
+AROUND = 4
+LEARN_CHARS = 20_000
 CACHE = 300_000
 BASE_BYTES, TOXIC_BYTES, LEVEL = 32_768, 16_384, 9
 #: Bytes after each window, also in both dictionaries: the compressor looks for no
@@ -51,6 +64,7 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray  # intercept first
+    thresholds: tuple[int, ...] = ()  # of words, then of longer windows
 
 
 _scorers: dict[int, "Scorer"] = {}
@@ -85,17 +99,44 @@ class Scorer:
             got = self.gains[window] = len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
         return got
 
-    def features(self, text: str | None) -> np.ndarray:
-        get, found = self.gains.get, []
-        for w in windows(text):
+    def gains_of(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Positive gains of words, and the gains of the longer windows around them."""
+        words, get = windows(text), self.gains.get
+        found, wide, reached = [], [], 0
+        for i, w in enumerate(words):
             g = get(w)
             if g is None:
                 g = self.gain(w)
-            if g >= GAINS[0]:
+            if g > 0:
                 found.append(g)
-        counts = np.array([sum(g >= least for g in found) for least in GAINS], dtype=float)
-        largest = float(max(found, default=0))
-        return np.concatenate([np.log1p(counts), np.minimum(counts, 2.0), [largest]])
+                if i >= reached:  # windows do not overlap in their centres
+                    raw = f" {' '.join(words[max(0, i - AROUND) : i + AROUND + 1])} ".encode() + TAIL
+                    wide.append(len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw)))
+                    reached = i + AROUND + 1
+        return found, wide
+
+
+def features(gains: tuple[list[int], list[int]], thresholds: tuple[int, ...]) -> np.ndarray:
+    """Counts of windows that gain at least each threshold, and the largest gains."""
+    half = len(thresholds) // 2
+    out = []
+    for found, least in zip(gains, (thresholds[:half], thresholds[half:]), strict=True):
+        counts = np.array([sum(g >= t for g in found) for t in least], dtype=float)
+        out += [np.log1p(counts), np.minimum(counts, 2.0), [float(max(found, default=0))]]
+    return np.concatenate(out)
+
+
+def calibrated(ordinary: list[tuple[list[int], list[int]]]) -> tuple[int, ...]:
+    """Thresholds from the gains of ordinary texts: rising, at least 1."""
+    out: list[int] = []
+    for kind in (0, 1):
+        largest = [max(g[kind], default=0) for g in ordinary] or [0]
+        least = 1
+        for q in QUANTILES:
+            least = max(least, int(np.ceil(np.quantile(largest, q))))
+            out.append(least)
+            least += 1
+    return tuple(out)
 
 
 def scorer(model: ToxicityModel) -> Scorer:
@@ -121,8 +162,9 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     kept = [windows(t) for t in ordinary]
     known = Counter(w for ws in kept for w in set(ws))
     seen = Counter(w for t in toxic for w in set(windows(t)))
-    telling = lambda t: [f" {w} ".encode() for w in sorted(set(windows(t))) if w not in known and seen[w] >= least]
     least = 3 if len(toxic) >= 100 else 1
+    rate = lambda w: (seen[w] / len(toxic)) / ((known[w] + 0.1) / len(ordinary))
+    telling = lambda t: [f" {w} ".encode() for w in sorted(set(windows(t))) if seen[w] >= least and rate(w) >= LIFT]
     base = train_dictionary(BASE_BYTES, [" ".join(ws).encode() for ws in kept if ws], k=24, d=6)
     special = train_dictionary(TOXIC_BYTES, [w for t in toxic for w in telling(t)], k=24, d=6)
     return base + TAIL, base + special + TAIL
@@ -156,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
         return flat
     pick = lambda c: learn.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     ids = pick(1).unionByName(pick(0)).select("doc_id", "toxic")
-    got = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text", F.xxhash64("text").alias("h"))
-    rows = sorted((r["h"], r["toxic"], r["text"]) for r in got.collect())
+    short = docs.select("doc_id", "text").filter(F.length("text") <= LEARN_CHARS)
+    one = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted((r["h"], r["toxic"], r["text"]) for r in one.select("toxic", "text", F.xxhash64("text").alias("h")).collect())
     # copies of one text fall on one side
     first = [r for r in rows if r[0] % 3]
     second = [r for r in rows if not r[0] % 3]
@@ -165,15 +208,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
         return flat
     ordinary, toxic = train_dictionaries([r[2] for r in first if r[1]], [r[2] for r in first if not r[1]])
     own = Scorer(ordinary, toxic)
-    x = np.array([own.features(r[2]) for r in second])
+    gains = [own.gains_of(r[2]) for r in second]
+    thresholds = calibrated([g for g, r in zip(gains, second, strict=True) if not r[1]])
+    x = np.array([features(g, thresholds) for g in gains])
     y = np.array([float(r[1]) for r in second])
     m1, m0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     weight = np.where(y == 1, n1 / m1, n0 / m0)
-    return ToxicityModel(ordinary, toxic, fit_logistic(x, y, weight * len(y) / weight.sum()))
+    return ToxicityModel(ordinary, toxic, fit_logistic(x, y, weight * len(y) / weight.sum()), thresholds)
 
 
 def probability(model: ToxicityModel, own: Scorer | None, text: str | None) -> float:
-    z = model.weights[0] + (own.features(text) @ model.weights[1:] if own else 0.0)
+    z = model.weights[0] + (features(own.gains_of(text), model.thresholds) @ model.weights[1:] if own else 0.0)
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessela.llm import langid, toxicity
 from tessela.llm.common import py_held_out
@@ -73,3 +74,50 @@ def test_toxicity_of_held_out_rows(spark):
     assert left == {i for i, r in got.items() if not r.predicted}
     flat = toxicity.fit(df, lab.filter("toxic = 0"))
     assert {round(r.score, 6) for r in toxicity.score_documents(df, flat).collect()} == {0.0}
+
+
+def test_gains_are_differences_of_compressed_lengths():
+    import zstandard
+
+    rng = random.Random(5)
+    ordinary = [say(rng, "aa", 40) for _ in range(60)]
+    toxic = [t + " " + " ".join(rng.choice(["vorgath", "snelpik"]) for _ in range(5)) for t in ordinary[:20]]
+    base, special = toxicity.train_dictionaries(toxic, ordinary)
+    own = toxicity.Scorer(base, special)
+    params = zstandard.ZstdCompressionParameters.from_level(
+        toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+    )
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(f" {window} ".encode() + toxicity.TAIL))
+
+    gain = lambda window: length(window, base) - length(window, special)
+    for text in [*toxic[:10], *ordinary[:5], "", None, "vorgath", "Vorgath 12 SNELPIK!"]:
+        words = toxicity.windows(text)
+        found, wide = own.gains_of(text)
+        assert found == [g for g in map(gain, words) if g > 0]
+        centres, reached = [], 0
+        for i, w in enumerate(words):
+            if gain(w) > 0 and i >= reached:
+                centres.append(" ".join(words[max(0, i - toxicity.AROUND) : i + toxicity.AROUND + 1]))
+                reached = i + toxicity.AROUND + 1
+        assert wide == [gain(c) for c in centres]
+    assert own.gains_of("vorgath snelpik")[0]
+    levels = toxicity.calibrated([([], []), ([3], [2, 5])] * 10)
+    assert all(1 <= a < b for half in (levels[:5], levels[5:]) for a, b in zip(half, half[1:], strict=False))
+
+
+def test_models_on_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "c d", "y")], "doc_id long, text string, score string").withColumn("toxic", F.lit(3)).withColumn("lang", F.lit("aa"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score_documents(docs.filter("false"), model).collect() == []
+    assert toxicity.reject(docs, model).columns == docs.columns
+    assert toxicity.score_documents(docs, model).count() == 2
+    assert toxicity.fit(docs.filter("false"), labels.filter("false")).weights.shape == (1,)
+    long = spark.createDataFrame([(5, "ka to " * 200_000)], "doc_id long, text string")
+    assert 0 <= toxicity.score_documents(long, model).first().score <= 1
+    many = spark.createDataFrame([(i, (chr(97 + i % 300 // 26) + chr(97 + i % 300 % 26)) * 3, f"l{i % 300:03}") for i in range(3000)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(many, langid.fit(many)).collect()}
+    assert len(set(found.values())) > 256
