@@ -12,13 +12,15 @@ expression again.
 
 Positions are found natively: ``split`` gives what lies between matches and
 ``regexp_extract_all`` the matches; running sums of their lengths are the offsets, in
-code points.  Before matching, single separators inside digit runs and host names are
+code points, and bodies and contexts are taken from these pieces.  Before matching, single separators inside digit runs and host names are
 replaced one for one by a control character, so that every pattern is a run of a
 character class: matching takes linear time and no recursion on texts of any length.
 
 Defined cases: null text is empty text; null and repeated doc_ids pass through, one
 row each; a text without a candidate gets zero counts, the digest of the empty string
-and no spans; U+0001 in a text is an ordinary character; an empty table gives no rows.
+and no spans; U+0001 in a text is an ordinary character; an empty table gives no rows;
+``annotate`` reads ``doc_id`` and ``text`` only, ``redact`` keeps other columns whatever
+their names.
 """
 
 from __future__ import annotations
@@ -77,7 +79,30 @@ GUARDS = {
 }
 
 
-SPAN = "array<struct<start:int,end:int>>"
+SPAN = "array<struct<start:int,end:int,body:string,before:string,after:string>>"
+#: Values of a running sum that are folded at a time.
+FOLDED = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of integers.  A fold copies what it has gathered, so only
+    stretches of ``FOLDED`` values are folded, and then moved by the sums before them."""
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    more = lambda acc, x: F.concat(acc, F.array(last(acc) + x))
+    none = F.array().cast("array<int>")
+    count = F.ceil(F.size(values) / F.lit(FOLDED)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.aggregate(F.slice(values, c * FOLDED + 1, F.lit(FOLDED)), none, more))
+
+    def moved(own):
+        before = F.aggregate(own, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(last(acc) + last(p))))
+        return let(before, lambda b: F.flatten(F.transform(own, lambda p, c: F.transform(p, lambda x: x + F.get(b, c)))))
+
+    return F.when(F.size(values) > 0, let(parts, moved)).otherwise(none)
 
 
 def prepared(kind: str, text: Column) -> Column:
@@ -90,20 +115,30 @@ def prepared(kind: str, text: Column) -> Column:
 
 
 def matches(kind: str, text: Column) -> Column:
-    """Array of (start, end) of every match of a pattern, left to right."""
-    t = prepared(kind, text)
-    found = F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))
-    between = F.split(t, PATTERNS[kind], -1)
-    gaps = F.transform(between, lambda s: F.length(s))
-    empty = F.array().cast(SPAN)
+    """Array of (start, end, body, before, after) of every match of a pattern, left to
+    right: what it holds, up to ``CONTEXT`` characters before it and one after it, of those
+    outside other matches.  All pieces come from cutting the text once."""
 
-    def step(acc, pair):
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + pair["0"]
-        end = start + F.length(pair["1"])
-        return F.concat(acc, F.array(F.struct(start.alias("start"), end.alias("end"))))
+    def placed(t):
+        found, gaps = F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)), F.split(t, PATTERNS[kind], -1)
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-    return F.aggregate(pairs, empty, step)
+        def spans(cut):
+            found, gaps = cut["found"], cut["gaps"]
+            ends = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m)))
+            shown = lambda c: F.translate(c, SEP, "." if kind == "email" else " ")
+
+            def one(x, i):
+                return F.struct(
+                    (x["end"] - F.length(x["m"])).alias("start"), x["end"].alias("end"), shown(x["m"]).alias("body"),
+                    shown(F.right(x["gap"], F.lit(CONTEXT))).alias("before"), shown(F.left(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.lit(1))).alias("after"),
+                )
+
+            zipped = F.arrays_zip(ends.alias("end"), found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+            return F.transform(zipped, one)
+
+        return let(F.struct(found.alias("found"), gaps.alias("gaps")), spans)
+
+    return let(prepared(kind, text), placed)
 
 
 def digits_of(body: Column) -> Column:
@@ -146,14 +181,9 @@ def candidates(text: Column) -> Column:
 
     def widen(kind: str):
         def one(m):
-            start, end = m["start"], m["end"]
-            # a pattern's body may hold stand-ins; the labelers see the text itself
-            body = F.substr(text, start + 1, end - start)
-            before = F.lower(F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-            after = F.substr(text, end + 1, F.lit(1))
             return F.struct(
-                F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), body.alias("body"),
-                before.alias("before"), after.alias("after"), well_formed(kind, body).alias("valid"),
+                F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["body"].alias("body"),
+                F.lower(m["before"]).alias("before"), m["after"].alias("after"), well_formed(kind, m["body"]).alias("valid"),
             )
 
         found = F.when(text.rlike(GUARDS[kind]), matches(kind, text)).otherwise(F.array().cast(SPAN))
@@ -214,11 +244,16 @@ class SpanClassifier:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+#: Right votes of either kind that every labeler is credited with beforehand.
+PRIOR_VOTES = 4.0
+
+
 def fit_votes(patterns: Iterable[tuple[str, tuple[int, ...], int]], names: list[str], rounds: int = 30) -> SpanClassifier:
     """Expectation-maximisation over counts of vote patterns, then the classifier.
 
     Labelers are taken as independent given the truth.  The start follows the majority
-    of votes, so a labeler that mostly agrees with the others ends reliable."""
+    of votes, so a labeler that mostly agrees with the others ends reliable; Dirichlet
+    priors of ``PRIOR_VOTES`` right votes favour labelers that are better than chance."""
     rows = [(k, v, n) for k, v, n in patterns if n > 0]
     kinds = sorted({k for k, _, _ in rows})
     post = [min(0.95, max(0.05, (1 + sum(x == 1 for x in v)) / (2 + sum(x >= 0 for x in v)))) for _, v, _ in rows]
@@ -230,12 +265,10 @@ def fit_votes(patterns: Iterable[tuple[str, tuple[int, ...], int]], names: list[
         for j, name in enumerate(names):
             for truth in (0, 1):
                 mass = [0.5, 0.5, 0.5]
+                mass[1 + truth] += PRIOR_VOTES
                 for (_, v, n), p in zip(rows, post, strict=True):
                     mass[v[j] + 1] += n * (p if truth else 1 - p)
                 rate[name, truth] = [m / sum(mass) for m in mass]
-            # a labeler is never believed to be worse than chance
-            if rate[name, 1][2] < rate[name, 0][2]:
-                rate[name, 1], rate[name, 0] = rate[name, 0], rate[name, 1]
         for i, (k, v, _) in enumerate(rows):
             z = math.log(prior[k] / (1 - prior[k]))
             z += sum(math.log(rate[name, 1][v[j] + 1] / rate[name, 0][v[j] + 1]) for j, name in enumerate(names))
