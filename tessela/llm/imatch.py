@@ -15,18 +15,23 @@ bound is why it may be a literal set; nothing is joined with it.
 
 To set each document beside the next one (descending doc_id), documents are dealt to
 buckets of doc_id ranges: quantile cells by a decision tree over at most ``CELLS``
-bounds, each cut into equal widths of about ``BUCKET_ROWS`` rows.  A bucket's first
+bounds, each cut into equal widths of about ``BUCKET_ROWS`` rows; a doc_id (or null) that
+takes up several quantiles is cut by text hash into as many buckets.  A bucket's first
 document is also sent, as a guest, to the bucket before it.  Everything after that one
 exchange of texts (neighbours, terms, components, likeness) stays in the bucket.
 
-Defined cases: null text is empty text; null doc_ids come after all others, repeated
-ones are ordered by text hash; the only document follows itself; a text without a
-lexicon term is fingerprinted by the md5 of all its terms and by the components of them
-all, and is compared by these with other such texts only; an empty table gives no rows.
+Defined cases: null text is empty text; null doc_ids come after all others, equal
+ones are ordered by text hash, descending (rows that repeat both meet in one bucket); the
+only document follows itself; a text without a lexicon term is fingerprinted by the md5 of
+all its terms and by the components of them all, and is compared by these with other such
+texts only; an empty table gives no rows; only ``doc_id`` and ``text`` are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,22 +101,32 @@ def cell_of(key: Column, bounds: list[int]) -> Column:
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key, bucket of every row; buckets rise with the key."""
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_KEY))
-    rows = docs.select("doc_id", text_of().alias("text"), key.alias("key"))
+    """doc_id, text, key, bucket of every row; buckets rise with the key, a struct of
+    doc_id and text hash."""
+    number = F.coalesce(F.col("doc_id"), F.lit(NULL_KEY))
+    rows = docs.select("doc_id", text_of().alias("text"), number.alias("number"))
     n = rows.count()
     cells = max(1, min(CELLS, n // BUCKET_ROWS))
     shares = [i / cells for i in range(1, cells)]
-    found = rows.select(F.percentile_approx("key", shares, 10_000).alias("q")).first()["q"] if shares and n else []
+    found = rows.select(F.percentile_approx("number", shares, 10_000).alias("q")).first()["q"] if shares and n else []
     bounds = sorted(set(found or []))
-    cell = cell_of(F.col("key"), bounds)
+    cell = cell_of(F.col("number"), bounds).cast("long")
     subs = max(1, n // (BUCKET_ROWS * max(1, len(bounds) + 1)))
-    if subs == 1:
-        return rows.withColumn("bucket", cell.cast("long"))
     edges = F.array(*[F.lit(b) for b in [NULL_KEY, *bounds, (1 << 63) - 1]])
-    lo, hi = F.element_at(edges, cell + 1).cast("double"), F.element_at(edges, cell + 2).cast("double")
-    sub = F.least(F.floor((F.col("key").cast("double") - lo) / (hi - lo + 1) * subs), F.lit(subs - 1))
-    return rows.withColumn("bucket", cell.cast("long") * subs + sub)
+    lo, hi = F.element_at(edges, (cell + 1).cast("int")).cast("double"), F.element_at(edges, (cell + 2).cast("int")).cast("double")
+    sub = F.least(F.floor((F.col("number").cast("double") - lo) / (hi - lo + 1) * subs), F.lit(subs - 1))
+    bucket = cell * subs + sub if subs > 1 else cell
+    # a number that is a bound several times is the least of its cell: its parts come first
+    heavy = {b: k * subs for b, k in Counter(found or []).items() if k > 1}
+    h = F.xxhash64("text")
+    if heavy:
+        most = max(heavy.values())
+        share = h.cast("double") / F.lit(2.0**64) + 0.5
+        part = F.lit(most)
+        for b, k in heavy.items():
+            part = F.when(F.col("number") == b, F.least(F.floor(share * k), F.lit(k - 1))).otherwise(part)
+        bucket = bucket * (most + 1) + part
+    return rows.select("doc_id", "text", F.struct("number", h.alias("h")).alias("key"), bucket.cast("long").alias("bucket"))
 
 
 def guests(rows: DataFrame) -> DataFrame:
@@ -119,16 +134,17 @@ def guests(rows: DataFrame) -> DataFrame:
     document is followed by that key's document."""
     tops = written(rows.groupBy("bucket").agg(F.max("key").alias("top")), "bucket-tops")
     per = tops.count() // 1000 + 1  # buckets are ordered in runs of about a thousand
-    run = F.floor(F.col("bucket") / F.lit(per)) if per > 1 else F.lit(0)
-    w = W.partitionBy("run").orderBy("bucket")
-    inside = tops.withColumn("run", run).withColumn("host", F.lead("bucket").over(w))
-    firsts = {r["run"]: r["b"] for r in tops.withColumn("run", run).groupBy("run").agg(F.min("bucket").alias("b")).collect()}
+    low, high = tops.agg(F.min("bucket"), F.max("bucket")).first()
+    width = ((high or 0) - (low or 0)) // 1000 + 1 if per > 1 else (high or 0) - (low or 0) + 1
+    inside = tops.withColumn("run", F.floor((F.col("bucket") - F.lit(low or 0)) / F.lit(width)))
+    firsts = {r["run"]: r["b"] for r in inside.groupBy("run").agg(F.min("bucket").alias("b")).collect()}
     order = sorted(firsts)
     after = {r: firsts[order[(i + 1) % len(order)]] for i, r in enumerate(order)}
     step = F.lit(None).cast("long")
     for r, b in after.items():
         step = F.when(F.col("run") == r, F.lit(b)).otherwise(step)
-    return inside.select("bucket", "top", F.coalesce("host", step).alias("host"))
+    following = F.lead("bucket").over(W.partitionBy("run").orderBy("bucket"))
+    return inside.select("bucket", "top", F.coalesce(following, step).alias("host"))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -142,7 +158,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))
     sent = met.withColumn("at", F.explode(F.when(F.col("key") == F.col("top"), F.array(own, guest)).otherwise(F.array(own))))
     placed = sent.select(F.col("at.bucket").alias("bucket"), F.col("at.guest").alias("guest"), "key", "doc_id", "text")
-    w = W.partitionBy("bucket").orderBy("guest", F.desc("key"), F.xxhash64("text"))
+    w = W.partitionBy("bucket").orderBy("guest", F.desc("key"))
     return placed.select("bucket", "guest", F.row_number().over(w).alias("rn"), "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 

@@ -2,6 +2,10 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from tessela.llm import imatch
 
@@ -46,3 +50,63 @@ def test_texts_without_a_lexicon_term_are_compared_by_all_terms(docs_of):
     rows = [(i, " ".join(f"only{i}x{j}" for j in range(40))) for i in range(3)]
     bare = imatch.fingerprint_pairs(docs_of(rows)).collect()
     assert all(r.fingerprint.startswith(imatch.BARE) and 0 < r.near_edited < 1 and r.near_next == 0 for r in bare)
+
+
+def parts_of(spark, terms):
+    """subset -> codes of a text's terms, from the hashes of each term."""
+    frame = spark.createDataFrame([(t,) for t in sorted(terms)] or [("",)], "w string")
+    rows = frame.select("w", F.xxhash64("w", F.lit(7)).alias("h"), F.pmod(F.xxhash64("w", F.lit(11)), F.lit(1 << imatch.CODE_BITS)).alias("low")).collect()
+    out = {}
+    for r in rows:
+        for level in range(imatch.LEVELS):
+            if not level or (r.h >> 40) % imatch.THIN**level == 0:
+                subset = level * imatch.GROUPS + (r.h >> 8 * level) % imatch.GROUPS
+                out.setdefault(r.w, []).append((subset, r.low))
+    return out
+
+
+def test_likeness_against_brute_force(spark, docs_of):
+    rng = random.Random(18)
+    vocab = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 2, 8, 30, 60])))) for i in range(120)]
+    low, high = 0.02, 0.3
+    words = lambda t: {w for w in re.split(imatch.SEPARATORS, t.lower()) if w}
+    df = Counter(w for _, t in rows for w in words(t))
+    band = {w for w, n in df.items() if max(2, low * len(rows)) <= n <= max(2, high * len(rows))}
+    codes = parts_of(spark, set(df) | {f for _, t in rows for f in words(t)})
+    down = sorted(rows, reverse=True)
+    cut = {}
+    for (i, t), (_, nxt) in zip(down, down[1:] + down[:1], strict=True):
+        half = len(t) // 2
+        cut[i] = t[: len(t) - half] + nxt[:half]
+    codes |= parts_of(spark, {w for t in cut.values() for w in words(t)})
+
+    def components(text):
+        kept = words(text) & band
+        out = {}
+        for w in kept or words(text):
+            for subset, c in codes[w]:
+                out.setdefault(subset, set()).add(c)
+        return bool(kept), out, frozenset(words(text))
+
+    def like(x, y):
+        (kx, a, wx), (ky, b, wy) = components(x), components(y)
+        if kx == ky and a == b and (kx or wx == wy):
+            return 1.0
+        filled = set(a) | set(b)
+        return sum(a.get(s) == b.get(s) for s in filled) / len(filled) if kx == ky and filled else 0.0
+
+    got = {r.doc_id: r for r in imatch.fingerprint_pairs(docs_of(rows), low, high).collect()}
+    for (i, t), (_, nxt) in zip(down, down[1:] + down[:1], strict=True):
+        assert abs(got[i].near_edited - like(t, cut[i])) < 1e-9 and abs(got[i].near_next - like(t, nxt)) < 1e-9
+
+
+def test_one_doc_id_for_many_rows_is_cut_into_buckets(docs_of, monkeypatch):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 10)
+    rows = [(None, f"a b {i} c") for i in range(150)] + [(7, f"d e {i}") for i in range(100)] + [(i, f"f {i}") for i in range(100, 200)]
+    frame = docs_of(rows).withColumn("key", F.lit("k")).withColumn("bucket", F.lit("b"))
+    sizes = [r["count"] for r in imatch.bucketed(frame).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 350 and max(sizes) < 40
+    got = imatch.fingerprint_pairs(frame).collect()
+    # every row has one next row: the edited texts are those of a ring
+    assert len(got) == 350 and Counter(r.doc_id for r in got)[7] == 100

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tessela.llm import pii, toxicity
 
 from .test_encoding import check_packing
@@ -49,3 +50,25 @@ def test_pipeline(spark, docs_of, tmp_path):
 
     packed = corpus_pipeline.run(spark, base).collect()
     check_packing(packed, kept["PII"])
+
+
+def test_stages_on_odd_tables(spark, docs_of, tmp_path):
+    base = str(tmp_path)
+    rows = [(None, "a b"), (7, None), (7, None), (8, "A B"), (9, "word " * 60_000), (10, "ip 1.2.3.4")]
+    docs = docs_of(rows)
+    for name in ("score", "digest", "spans", "near_copy", "toxic", "words"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    for full in (True, False):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs if full else docs.filter("false"), base)
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert len(got) >= 3 if full else got == []
+            assert all(r.score == "score" and r.digest == "digest" and r.words == "words" for r in got)
+            if full and name == "exact dedup":
+                assert sorted((str(r.doc_id), (r.text or "")[:4]) for r in got) == [("10", "ip 1"), ("7", ""), ("8", "A B"), ("9", "word")]
+            if full and name == "PII":
+                assert {r.doc_id: (r.text, r.n_chars) for r in got}[10] == ("ip [IP]", 7)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), base).collect() == []
