@@ -57,7 +57,7 @@ LOCAL_WIDE = 2
 #: Bytes of postings that a block is meant to hold.
 BLOCK_BYTES = 8 << 20
 #: Rows of an Arrow batch, and shingles that a worker holds before it sends on.
-ARROW_ROWS, HELD = 1000, 3_000_000
+ARROW_ROWS, HELD = 1000, 2_400_000
 #: Bits of every row's parity sketch, held in longs; longer sketches have two bits a column.
 SKETCH = 512
 PARITY = [f"p{i}" for i in range(SKETCH // 64)]

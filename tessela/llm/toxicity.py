@@ -51,7 +51,7 @@ LIFT = 100.0
 #: Words on either side of a gaining word that make a longer window.
 AROUND = 4
 LEARN_CHARS = 20_000
-CACHE = 300_000
+CACHE = 200_000
 BASE_BYTES, TOXIC_BYTES, LEVEL = 32_768, 16_384, 9
 #: Bytes after each window, also in both dictionaries: the compressor looks for no
 #: match in the last bytes of its input.
