@@ -12,9 +12,10 @@ of it, which lines with few shingles cannot miss.
 
 Pairs that agree in fewer than ``AGREE`` minima are given up (of pairs at 0.75 three in a
 thousand are lost by this; lines of few shingles are exempt).  Lines of other pairs also
-get a bitmap: which of ``BITS`` classes of shingles they meet.  Bits that differ bound the
-difference of two shingle sets from below, so pairs whose bitmaps differ too much for the
-similarity are given up without a loss.
+get the size of their shingle set and its parity sketch: for each of ``BITS`` classes of
+shingles, whether the set has an odd number of them.  Bits that differ bound the difference
+of two sets from below, so pairs whose sketches differ too much for the similarity are
+given up without a loss.
 
 Within a bucket every line is paired with one centre.  Exact Jaccard over the shingles
 decides the pairs that are left; links are united by distributed star contractions.  In
@@ -23,7 +24,7 @@ component meet the others under the same tests; of these pairs each line's best
 one is decided first, then those that the new links leave in different components.  One
 line of a component stays: the earliest by (doc_id, line number).
 
-Only keys, minima and bitmaps are shuffled, texts only for lines that share a bucket;
+Only keys, minima and sketches are shuffled, texts only for lines that share a bucket;
 copies are merged map-side first.  Lines join their component's verdict with hot lines by
 broadcast.
 
@@ -47,7 +48,7 @@ SIMILARITY = 0.75
 ROWS, BANDS, AGREE = 2, 6, 5
 #: Up to so many different shingles behind the minima, these are keys too.
 FEW = 9
-#: Bits of a bitmap, held in longs.
+#: Bits of a parity sketch, held in longs.
 BITS = 1024
 
 
@@ -58,7 +59,7 @@ def masks() -> list[int]:
 
 
 MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
-BITMAP = [f"b{j}" for j in range(BITS // 64)]
+PARITY = [f"p{j}" for j in range(BITS // 64)]
 
 
 def normal(line: Column) -> Column:
@@ -104,12 +105,13 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.withColumn("few", F.size(behind()) <= FEW)
 
 
-def bitmaps(lines: DataFrame) -> DataFrame:
-    """lid, places (of shingles; at least as many as distinct ones), bitmap of distinct
-    lines."""
-    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(len(BITMAP) - 1)), F.expr("shiftleft(1L, int(h & 63))")
-    bits = [F.coalesce(F.bit_or(F.when(word == j, bit)), F.lit(0)).alias(b) for j, b in enumerate(BITMAP)]
-    return shingle_rows(lines, "lid").groupBy("lid").agg(F.count(F.lit(1)).alias("places"), *bits)
+def sketches(lines: DataFrame) -> DataFrame:
+    """lid, n (distinct shingles), parity sketch of distinct lines: dealt by line once, a
+    line's shingles meet in one task."""
+    sets = shingle_rows(lines.repartition("lid"), "lid").distinct()
+    word, bit = F.shiftright("h", 6).bitwiseAND(F.lit(len(PARITY) - 1)), F.expr("shiftleft(1L, int(h & 63))")
+    odd = [F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0)).alias(p) for j, p in enumerate(PARITY)]
+    return sets.groupBy("lid").agg(F.count(F.lit(1)).alias("n"), *odd)
 
 
 def behind() -> Column:
@@ -141,10 +143,11 @@ def agreeing(x: str, y: str) -> str:
 
 
 def near(x: str, y: str, least: float) -> str:
-    """Condition on bitmaps: of sets of n and m shingles with a similarity of s, at most
-    (1 - s) / (1 + s) of n + m are in only one."""
-    differ = " + ".join(f"bit_count({b}{x} ^ {b}{y})" for b in BITMAP)
-    return f"{differ} <= (places{x} + places{y}) * {(1 - least) / (1 + least)!r} + 1e-6"
+    """Condition on sketches: of sets of n and m shingles with a similarity of s, the larger
+    has at most m / s, and at most (1 - s) / (1 + s) of n + m are in only one."""
+    differ = " + ".join(f"bit_count({p}{x} ^ {p}{y})" for p in PARITY)
+    sizes = f"least(n{x}, n{y}) >= {least} * greatest(n{x}, n{y})"
+    return f"{sizes} AND {differ} <= (n{x} + n{y}) * {(1 - least) / (1 + least)!r} + 1e-6"
 
 
 def suffixed(signed: DataFrame, tail: str) -> DataFrame:
@@ -181,7 +184,7 @@ def star_pairs(members: DataFrame, signed: DataFrame, lines: DataFrame, least: f
     both = pairs.join(suffixed(signed, "_x"), "lid_x").join(suffixed(signed, "_y"), "lid_y").filter(F.expr(agreeing("_x", "_y")))
     agreed = written(both.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")), "agreeing-pairs")
     ids = written(ends(agreed), "line-ids")
-    maps = written(bitmaps(of_ids(lines, ids)), "bitmaps")
+    maps = written(sketches(of_ids(lines, ids)), "sketches")
     met = agreed.join(suffixed(maps, "_x").withColumnRenamed("lid_x", "a"), "a").join(suffixed(maps, "_y").withColumnRenamed("lid_y", "b"), "b")
     out = written(met.filter(F.expr(near("_x", "_y", least))).select("a", "b"), "star-pairs")
     for done in (agreed, ids, maps):
@@ -199,7 +202,7 @@ def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, lines: D
     still = labelled.join(split.filter("lo <> hi and k > 2").select("key", "centre"), "key").filter("lid <> hub")
     still = written(still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")), "open-members")
     ids = written(still.select("lid").distinct(), "line-ids")
-    known = of_ids(signed, ids).join(bitmaps(of_ids(lines, ids)), "lid")
+    known = of_ids(signed, ids).join(sketches(of_ids(lines, ids)), "lid")
     told = written(still.join(known, "lid"), "open-buckets")
     met = suffixed(told.filter("outside"), "_x").join(suffixed(told, "_y"), F.col("key_x") == F.col("key_y"))
     met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {agreeing('_x', '_y')} AND {near('_x', '_y', least)}"))
