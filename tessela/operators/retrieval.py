@@ -165,6 +165,10 @@ def joint_matches(queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> Data
     return top(single.unionByName(span), ["query_id"], [F.desc("score"), "o1", "o2", "o3"], k).drop("o1", "o2", "o3")
 
 
+#: The same under the name of the text entry point.
+match_texts = joint_matches
+
+
 def rescue_score(rows: DataFrame) -> DataFrame:
     """Adds raw and score: the ratio, moved towards the fragment fit."""
     raw = rows.withColumn("raw", ratio(F.col("text"), F.col("joined")))
