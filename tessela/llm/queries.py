@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity
+from . import exact_dedup, filter_audit, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity
 from .common import documents, table
 
 
@@ -53,6 +53,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Lower-cases A-Z only, in DuckDB.
@@ -89,4 +94,34 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.other = p.a)
         SELECT r.doc_id, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, min(other) AS component_id
         FROM r JOIN g ON g.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op13_filter_audit": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+                   CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS failed
+            FROM t LEFT JOIN marks USING (doc_id)),
+        c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, failed),
+        o AS (SELECT '' AS filter_order UNION ALL
+              SELECT filter_order || l FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(filter_order, l)),
+        s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS letter, filter_order[1:i - 1] AS earlier
+              FROM o, (SELECT unnest(range(1, 6)) AS i) WHERE length(filter_order) = 5),
+        m AS (SELECT s.*, c.*, contains(failed, letter) AS hit,
+                     earlier <> '' AND translate(failed, earlier, '') <> failed AS gone FROM s, c),
+        g AS (
+            SELECT part, filter_order, step, letter,
+                   CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (failed = letter), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(bad) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+            FROM m GROUP BY part, filter_order, step, letter)
+        SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g""",
 }
