@@ -40,9 +40,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made and that nothing will read again, through
-    Spark's file system layer."""
-    sc = df.sparkSession.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder through Spark's file system layer."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and that nothing will read again."""
+    drop_path(df.sparkSession, df.scratch_path)
