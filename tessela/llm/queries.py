@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, filter_audit, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity
+from . import exact_dedup, filter_audit, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity, warc
 from .common import documents, table
 
 
@@ -53,6 +53,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_history(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -94,6 +100,18 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.other = p.a)
         SELECT r.doc_id, any_value(CAST(len(gs) AS BIGINT)) AS n_shingles, min(other) AS component_id
         FROM r JOIN g ON g.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+        d AS (SELECT page_id, strlen(x) AS n, sha1(x) AS h, min(page_id) OVER (PARTITION BY x) AS first FROM p),
+        v AS (SELECT *, list_transform(string_split(h, ''), lambda c: instr('0123456789abcdef', c) - 1) AS g FROM d),
+        q AS (SELECT *, list_transform(range(0, 8), lambda i: ((((g[5 * i + 1] * 16 + g[5 * i + 2]) * 16 + g[5 * i + 3]) * 16
+                    + g[5 * i + 4]) * 16 + g[5 * i + 5])::BIGINT) AS parts,
+                    first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM v)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(parts, lambda b: array_to_string(list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((b >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+        FROM q""",
     "op13_filter_audit": r"""
         WITH RECURSIVE t AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
