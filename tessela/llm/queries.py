@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, filter_audit, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, toxicity, warc
+from . import exact_dedup, filter_audit, imatch, langid, licenses, line_dedup, ngram_join, packing, pii, piece_codec, token_alignment, toxicity, warc
 from .common import documents, table
 
 
@@ -53,6 +53,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(token_alignment.align(documents(spark, sf_dir)))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_history(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_token_alignment": op11_token_alignment,
     "op12_warc": op12_warc,
     "op13_filter_audit": op13_filter_audit,
 }
