@@ -19,6 +19,7 @@ from ..functions.arrays import round4
 from ..functions.similarity import fragment_score, gram_sets, ratio, short_query_boost, suffix_prefix_score
 from ..functions.text import no_spaces, normalise, without_preamble, words
 from ..scratch import written
+from .nearest import nearest
 
 #: Limits, weights and thresholds of the stages.
 TRIGRAM_WEIGHT, FEWEST_HITS, POOL, SHORTLIST = 0.48, 80, 950, 320
@@ -286,10 +287,9 @@ def best_of_hypotheses(matches: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, grp, pos, score, rank: plain ratio with every passage."""
-    scored = meet_all(queries.select("query_id", "text"), corpus.select("grp", "pos", "joined"))
-    scored = scored.select("query_id", "grp", "pos", ratio(F.col("text"), F.col("joined")).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), "grp", "pos"], k)
+    """query_id, grp, pos, score, rank: the k passages of the best plain ratio, by an exact
+    index search."""
+    return nearest(queries, corpus, k, ["grp", "pos"])[0].select("query_id", "grp", "pos", "score", "rank")
 
 
 def next_passage(corpus: DataFrame) -> DataFrame:
