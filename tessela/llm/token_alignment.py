@@ -43,6 +43,7 @@ ROWS = 500
 MARK = "▁"
 #: A packed end is a long of end, side (one bit) and number on its side.
 NUMBER_BITS = 31
+NUMBER = (1 << NUMBER_BITS) - 1
 
 _sides: dict[int, object] = {}
 
@@ -59,9 +60,10 @@ class ByteSide:
         for piece, i in ranks.items():
             self.sizes[i] = len(piece)
 
-    def tokens(self, text: str) -> tuple[np.ndarray, bytes]:
-        ids = self.encoding.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32)
-        return ids, self.encoding.decode_bytes(ids.tolist())
+    def tokens(self, text: str) -> np.ndarray:
+        """Ids of a space and the text; the vocabulary has every byte, and the split pattern
+        every character, so that their bytes are the text's."""
+        return self.encoding.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32)
 
 
 class PieceSide:
@@ -106,10 +108,10 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for value in batch.column(1):
                 text = value.as_py()
                 if text:
-                    whole = (" " + text).encode()
-                    (ia, ba), (ib, bb) = a.tokens(text), b.tokens(text)
-                    if ba == bb == whole:
-                        rows.append((ia, np.cumsum(a.sizes[ia], dtype=np.int32), ib, np.cumsum(b.sizes[ib], dtype=np.int32)))
+                    whole, ia, (ib, made) = (" " + text).encode(), a.tokens(text), b.tokens(text)
+                    a_ends, b_ends = np.cumsum(a.sizes[ia], dtype=np.int32), np.cumsum(b.sizes[ib], dtype=np.int32)
+                    if a_ends[-1] == len(whole) and made == whole:
+                        rows.append((ia, a_ends, ib, b_ends))
                         continue
                 rows.append((none,) * 4)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(lists([r[k] for r in rows]) for k in range(4))], names)
@@ -117,74 +119,72 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def merged_ends(a_ends: Column, b_ends: Column) -> Column:
-    """Both sides' ends in order, A first where they are equal, packed as (end, side,
-    number on its side)."""
-    a = F.transform(a_ends, lambda e, i: F.shiftleft(e.cast("long"), NUMBER_BITS + 1) + i)
-    b = F.transform(b_ends, lambda e, i: F.shiftleft(e.cast("long"), NUMBER_BITS + 1) + i + F.lit(1 << NUMBER_BITS))
-    return F.sort_array(F.concat(a, b))
+def packed(ends: str, side_bit: int) -> Column:
+    return F.transform(ends, lambda e, i: e * F.lit(1 << (NUMBER_BITS + 1)) + (i + F.lit(side_bit)))
 
 
-def meetings(ends: str) -> Column:
-    """For every packed end in column ``ends`` the pair (A number, B number) of the tokens
-    over the stretch that it closes, packed as A << 31 | B.  A B end equal to the A end
-    before it closes no stretch but a group: it gives -1 - (pair of the tokens it ends)."""
-    number = F.lit((1 << NUMBER_BITS) - 1)
+def meetings(merged: str) -> Column:
+    """For every packed end in column ``merged`` (both sides in order, A first where they are
+    equal) the tokens over the stretch that it closes, as A number << 31 | B number.  A B
+    end equal to the A end before it closes no stretch but a group: it gives the numbers
+    of tokens used so far, packed alike and negated."""
+    number, one_less = F.lit(NUMBER), F.lit(NUMBER).cast("long")
 
     def meet(v: Column, p: Column) -> Column:
-        own = v.bitwiseAND(number)
-        is_b = F.shiftright(v, NUMBER_BITS).bitwiseAND(F.lit(1)) == 1
-        tied = F.shiftright(F.get(ends, p - 1), NUMBER_BITS + 1) == F.shiftright(v, NUMBER_BITS + 1)
-        pair = F.shiftleft(p - own, NUMBER_BITS) + own
-        closes = F.coalesce(tied, F.lit(False))
-        return F.when(is_b, F.when(closes, F.lit((1 << NUMBER_BITS) - 1) - pair).otherwise(pair)).otherwise(F.shiftleft(own, NUMBER_BITS) + p - own)
+        # with k = 2^31: A number i at place p is i * k + (p - i), B number j is (p - j) * k + j
+        own = v.bitwiseAND(number) * one_less
+        tied = F.get(merged, p - 1).bitwiseXOR(v) < F.lit(1 << (NUMBER_BITS + 1))
+        at = p * F.lit(1 << NUMBER_BITS)
+        return F.when(v.bitwiseAND(F.lit(1 << NUMBER_BITS)) == 0, own + p).when(tied, own - at - 1).otherwise(at - own)
 
-    return F.transform(ends, meet)
+    return F.transform(merged, meet)
 
 
-def group_text(bounds: str, a_names: str, b_names: str) -> Column:
-    """``a1,a2|b1;a3|b2,b3``: ids of every group; ``bounds`` holds each group's last tokens
-    as packed pairs."""
-    number = (1 << NUMBER_BITS) - 1
+def group_texts(used: str, a_names: str, b_names: str) -> Column:
+    """``a1,a2|b1`` for every group; ``used`` holds the packed numbers of tokens used up to
+    its end."""
+    number = F.lit(NUMBER)
+    a_number, b_number = lambda x: F.shiftright(x, NUMBER_BITS).cast("int"), lambda x: x.bitwiseAND(number).cast("int")
 
     def ids(names: str, first: Column, last: Column) -> Column:
-        return F.when(first == last, F.get(names, last)).otherwise(F.array_join(F.slice(names, first + 1, last - first + 1), ","))
+        return F.array_join(F.slice(names, first + 1, last - first), ",")
 
-    def group(x: Column, g: Column) -> Column:
-        before = F.coalesce(F.get(bounds, g - 1), F.lit(-1).cast("long"))
-        start_a = F.when(g == 0, F.lit(0)).otherwise((F.shiftright(before, NUMBER_BITS) + 1).cast("int"))
-        start_b = F.when(g == 0, F.lit(0)).otherwise((before.bitwiseAND(F.lit(number)) + 1).cast("int"))
-        last_a, last_b = F.shiftright(x, NUMBER_BITS).cast("int"), x.bitwiseAND(F.lit(number)).cast("int")
-        return F.concat(ids(a_names, start_a, last_a), F.lit("|"), ids(b_names, start_b, last_b))
+    def group(before: Column, x: Column) -> Column:
+        one = F.concat(F.get(a_names, a_number(before)), F.lit("|"), F.get(b_names, b_number(before)))
+        more = F.concat(ids(a_names, a_number(before), a_number(x)), F.lit("|"), ids(b_names, b_number(before), b_number(x)))
+        return F.when(x - before == F.lit((1 << NUMBER_BITS) + 1), one).otherwise(more)
 
-    return F.array_join(F.transform(bounds, group), ";")
+    starts = F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col(used)), F.lit(1), F.size(used))
+    return F.zip_with(starts, used, group)
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """Per row of ``tokens``: rid, doc_id, n_a, n_b, n_groups, n_links, groups (text), and
-    ``links``, the id pair of every link as A id << 32 | B id."""
-    number = F.lit((1 << NUMBER_BITS) - 1)
+def aligned(tokens: DataFrame, b_size: int, hashed: bool = False) -> DataFrame:
+    """Per row of ``tokens``: rid, doc_id, n_a, n_b, n_groups, n_links, groups (their text or
+    its SHA-256), and ``links``, for every link A id * ``b_size`` + B id."""
+    text = F.array_join(group_texts("used", "a_names", "b_names"), ";")
     step = tokens.withColumns({
-        "rid": F.monotonically_increasing_id(), "common": F.array_intersect("a_ends", "b_ends"), "ends": merged_ends(F.col("a_ends"), F.col("b_ends")),
+        "rid": F.monotonically_increasing_id(), "common": F.array_intersect("a_ends", "b_ends"),
+        "merged": F.sort_array(F.concat(packed("a_ends", 0), packed("b_ends", 1 << NUMBER_BITS))),
         "a_names": F.col("a_ids").cast("array<string>"), "b_names": F.col("b_ids").cast("array<string>"),
-    }).withColumn("met", meetings("ends"))
-    step = step.withColumns({"pairs": F.filter("met", lambda x: x >= 0), "bounds": F.transform(F.filter("met", lambda x: x < 0), lambda x: -1 - x)})
+    }).withColumn("met", meetings("merged"))
+    step = step.withColumns({"pairs": F.filter("met", lambda x: x >= 0), "used": F.transform(F.filter("met", lambda x: x < 0), lambda x: -x)})
+    if hashed:
+        text = F.when(F.size("a_ids") == 0, F.lit("")).otherwise(F.sha2(text.cast("binary"), 256))
 
     def ids(x: Column) -> Column:
-        a, b = F.get("a_ids", F.shiftright(x, NUMBER_BITS).cast("int")), F.get("b_ids", x.bitwiseAND(number).cast("int"))
-        return F.shiftleft(a.cast("long"), 32) + b
+        return F.get("a_ids", F.shiftright(x, NUMBER_BITS).cast("int")) * F.lit(b_size) + F.get("b_ids", x.bitwiseAND(F.lit(NUMBER)).cast("int"))
 
     return step.select(
         "rid", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("common").cast("long").alias("n_groups"),
-        F.size("pairs").cast("long").alias("n_links"), group_text("bounds", "a_names", "b_names").alias("groups"), F.transform("pairs", ids).alias("links"),
+        F.size("pairs").cast("long").alias("n_links"), text.alias("groups"), F.transform("pairs", ids).alias("links"),
     )
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
+def pair_counts(links: DataFrame, b_size: int) -> DataFrame:
     """(pair, n, best) of every id pair in ``links`` (links): how many links hold it, and
     whether no other pair of its B id has more."""
     counts = written(links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
-    b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    b = F.col("pair") % b_size
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     out = counts.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     return written(out, "pairs")
@@ -204,19 +204,21 @@ def link_sums(links: DataFrame, pairs: DataFrame, hot_pairs: int) -> DataFrame:
     return known.unionByName(rest).groupBy("rid").agg(F.sum("best_sum").alias("n_best"), F.sum("n_sum").alias("count_sum"))
 
 
-def align(docs: DataFrame, a_tokenizer: str | None = None, b_tokenizer: str | None = None, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def align(docs: DataFrame, a_tokenizer: str | None = None, b_tokenizer: str | None = None, hot_pairs: int = HOT_PAIRS, hashed: bool = False) -> DataFrame:
     """Aligned tokenisations of ``docs`` (doc_id, text): the columns of ``aligned``, n_best
-    and count_sum, written as a table.  Tokenizer files (a ``.tiktoken`` rank file, a piece
-    model) are read by the driver."""
-    tokens = tokenised(docs, a_tokenizer or default_tokenizer("byte_bpe_50k.tiktoken"), b_tokenizer or default_tokenizer("piece_bpe_32k.model"))
+    and count_sum.  Tokenizer files (a ``.tiktoken`` rank file, a piece model) are read by
+    the driver.  ``hashed`` keeps of the groups' text its SHA-256 only ('' without tokens)."""
+    b_path = b_tokenizer or default_tokenizer("piece_bpe_32k.model")
+    b_size = len(PieceSide(tokenizer_bytes(b_path)).sizes)
+    tokens = tokenised(docs, a_tokenizer or default_tokenizer("byte_bpe_50k.tiktoken"), b_path)
     with arrow_rows(docs.sparkSession, ROWS):
-        own = written(aligned(tokens), "alignment", compression="zstd")
-    pairs = pair_counts(own)
+        own = written(aligned(tokens, b_size, hashed), "alignment", compression="zstd")
+    pairs = pair_counts(own, b_size)
     sums = link_sums(own, pairs, hot_pairs)
     return own.join(sums, "rid", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """What the query returns of ``align``: numbers, and the groups as a hash."""
-    sha = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", sha.alias("groups_sha256"))
+def digest(docs: DataFrame, **options) -> DataFrame:
+    """What the query returns: the numbers, and the groups as a hash."""
+    found = align(docs, hashed=True, **options)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))

@@ -65,7 +65,7 @@ def spans(tokens):
 
 
 def found(docs, **options):
-    rows = ta.digest(ta.align(docs, **options)).collect()
+    rows = ta.digest(docs, **options).collect()
     return sorted((str(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in rows)
 
 
@@ -99,3 +99,9 @@ def test_long_text_stays_linear(docs_of):
     text = "antidisestablishmentarianism und Donaudampfschifffahrt " * 20_000
     got = found(docs_of([(1, text)]))[0]
     assert got[4] == got[1] + got[2] - got[3] and got[5] <= got[4]
+
+
+def test_groups_as_text(docs_of):
+    got = {r.doc_id: r for r in ta.align(docs_of([(1, "unbelievable"), (2, None)])).collect()}
+    want = brute([(1, "unbelievable")])[0]
+    assert hashlib.sha256(got[1].groups.encode()).hexdigest() == want[7] and got[2].groups == "" and len(got[1].links) == got[1].n_links
