@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import first_argmax
 from ..functions.text import WORD_MARK, normalise
+from .intervals import overlaps, points_inside
 
 ACCEPT_MEAN, GAP_FILLED = -6.0, 0.8
+#: Letters that a word and a token share at least.
+TOUCH = 1e-6
 NOTHING = -1e30
 
 
@@ -103,55 +106,51 @@ def align_tokens(frames: DataFrame, targets: DataFrame, blank: int) -> DataFrame
     return frames.join(targets, "clip_id").groupBy("clip_id").applyInPandas(one, schema)
 
 
-def times_from_tokens(words: list[str], word_letters: list[int], token_letters: list[int], first, last, frame_seconds: float) -> list[tuple[str, float, float]] | None:
-    """Timed words from token spans: a word takes the tokens that touch its letter range;
-    words without letters join their neighbour."""
-    total, total_w = sum(token_letters), sum(word_letters)
-    if not total or not total_w:
-        return None
-    ends = np.cumsum(token_letters)
-    begins = ends - token_letters
-    real = np.flatnonzero(ends > begins)
-    out: list[list] = []
-    waiting: list[str] = []
-    at = 0
-    for word, n in zip(words, word_letters, strict=True):
-        a, b = at * total / total_w, (at + n) * total / total_w
-        at += n
-        if not n:
-            if out:
-                out[-1][0] += " " + word
-            else:
-                waiting.append(word)
-            continue
-        hit = real[(ends[real] > a + 1e-6) & (begins[real] < b - 1e-6)]
-        if not len(hit):
-            return None
-        out.append([" ".join([*waiting, word]), float(first[hit[0]]) * frame_seconds, float(last[hit[-1]] + 1) * frame_seconds])
-        waiting = []
-    for left, right in zip(out, out[1:], strict=False):
-        if 0 < right[1] - left[2] < GAP_FILLED:
-            left[2] = right[1]
-    for left, right in zip(out, out[1:], strict=False):
-        right[1] = max(right[1], left[1])
-    return [(w, a, max(a, b)) for w, a, b in out]
+TIMED = "clip_id {key}, i int, word string, t_start double, t_end double"
 
 
-TIMED = "clip_id {key}, i int, word string, t_start double, t_end double"
+def token_ranges(spans: DataFrame) -> DataFrame:
+    """Adds t_from and t_to, a token's range of letters in its clip, to (clip_id, k,
+    letters, ...)."""
+    w = W.partitionBy("clip_id").orderBy("k")
+    rows = spans.withColumn("t_to", F.sum("letters").over(w))
+    return rows.withColumn("t_from", F.col("t_to") - F.col("letters"))
 
 
-def word_times(spans: DataFrame, passages: DataFrame, frame_seconds: float) -> DataFrame:
-    """TIMED rows.  ``spans`` is (clip_id, k, first, last, letters), ``passages``
-    (clip_id, words, word_letters)."""
-    kind = dict(spans.dtypes)["clip_id"]
+def word_ranges(passages: DataFrame, totals: DataFrame) -> DataFrame:
+    """clip_id, n, word, size, place, w_from, w_to of (clip_id, words, word_letters): a word's
+    range of letters, scaled to the token letters in ``totals``.  Words without letters
+    have an empty range and the place of the word before them (after, for the first)."""
+    each = passages.select("clip_id", F.posexplode(F.arrays_zip("words", "word_letters")).alias("n", "x"))
+    each = each.select("clip_id", "n", F.col("x.words").alias("word"), F.col("x.word_letters").alias("size"))
+    w = W.partitionBy("clip_id").orderBy("n")
+    each = each.withColumns({"after": F.sum("size").over(w), "place": F.greatest(F.sum((F.col("size") > 0).cast("int")).over(w), F.lit(1)) - 1})
+    every = each.groupBy("clip_id").agg(F.sum("size").alias("all_words")).filter("all_words > 0").join(totals.filter("all_tokens > 0"), "clip_id")
+    scale = lambda c: c * F.col("all_tokens") / F.col("all_words")
+    ranges = {"w_from": scale(F.col("after") - F.col("size")), "w_to": scale(F.col("after"))}
+    return each.join(every, "clip_id").withColumns(ranges).select("clip_id", "n", "word", "size", "place", "w_from", "w_to")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values("k")
-        got = times_from_tokens(list(r.words.iloc[0]), list(r.word_letters.iloc[0]), r.letters.to_list(), r["first"].to_numpy(), r["last"].to_numpy(), frame_seconds)
-        made = [(r.clip_id.iloc[0], i, *x) for i, x in enumerate(got or [])]
-        return pd.DataFrame(made, columns=["clip_id", "i", "word", "t_start", "t_end"])
 
-    return spans.join(passages, "clip_id").groupBy("clip_id").applyInPandas(one, TIMED.format(key=kind))
+def word_times(spans: DataFrame, passages: DataFrame, frame_seconds: float) -> DataFrame:
+    """TIMED rows.  ``spans`` is (clip_id, k, first, last, letters), ``passages``
+    (clip_id, words, word_letters).
+
+    A word takes the tokens that touch its letter range (an interval join); words without
+    letters join a neighbour.  Short gaps are closed, then starts and ends
+    never fall.  A clip in which a word meets no token has no rows."""
+    tokens = token_ranges(spans)
+    words = word_ranges(passages, spans.groupBy("clip_id").agg(F.sum("letters").alias("all_tokens")))
+    real = words.filter("size > 0").select("clip_id", "place", "w_from", "w_to")
+    met = overlaps(real, tokens.select("clip_id", "k", "first", "last", "t_from", "t_to"), ["clip_id"], ("w_from", "w_to"), ("t_from", "t_to"), TOUCH)
+    first, last = F.min_by("r.first", "r.k"), F.max_by("r.last", "r.k")
+    placed = met.groupBy("clip_id", F.col("l.place").alias("place")).agg((first * frame_seconds).alias("s"), ((last + 1) * frame_seconds).alias("e"))
+    held = words.groupBy("clip_id", "place").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("x"))
+    rows = held.join(placed, ["clip_id", "place"], "left")
+    w = W.partitionBy("clip_id").orderBy("place")
+    gap = F.lead("s").over(w) - F.col("e")
+    rows = rows.withColumn("closed", F.when((gap > 0) & (gap < GAP_FILLED), F.lead("s").over(w)).otherwise(F.col("e")))
+    rows = rows.withColumns({"t_start": F.max("s").over(w), "missing": F.max(F.col("s").isNull()).over(W.partitionBy("clip_id"))}).filter("not missing")
+    return rows.select("clip_id", F.col("place").cast("int").alias("i"), F.array_join("x.word", " ").alias("word"), "t_start", F.greatest("t_start", "closed").alias("t_end"))
 
 
 #: Fixed value: steps of the round robin that evens shares out.
@@ -218,8 +217,10 @@ def segment_words(segments: DataFrame, words: Column) -> DataFrame:
 
 
 def active_word(timed: DataFrame, heads: DataFrame) -> DataFrame:
-    """The words that the playheads (clip_id, t) stand in: t_start <= t < t_end."""
-    return heads.join(timed, "clip_id").filter((F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end")))
+    """The words that the playheads (clip_id, t) stand in: t_start <= t < t_end.  Columns of
+    both, by an interval join."""
+    met = points_inside(heads, timed, ["clip_id"], "t", ("t_start", "t_end"))
+    return met.select("clip_id", *(F.col(f"l.{c}") for c in heads.columns if c != "clip_id"), *(F.col(f"r.{c}") for c in timed.columns if c != "clip_id"))
 
 
 #: Limits of the overlap of two transcripts.

@@ -136,10 +136,7 @@ def test_greedy_decoding(spark):
     assert {r.clip_id: r.text for r in sequences.ids_to_text(ids, vocab).collect()} == {1: "a ab", 2: ""}
 
 
-def test_word_times():
-    got = sequences.times_from_tokens(["*", "ab", "*", "cd"], [0, 2, 0, 2], [1, 1, 2], [0, 2, 5], [1, 3, 6], 0.1)
-    assert [w for w, _, _ in got] == ["* ab *", "cd"] and np.allclose([g[1:] for g in got], [(0, 0.5), (0.5, 0.7)])
-    assert sequences.times_from_tokens(["a"], [0], [1], [0], [0], 1) is None
+def test_shares_over_runs():
     assert list(sequences.shares(2, [1, 1, 1, 1])) == [1, 1, 1, 1] and list(sequences.shares(7, [1, 1, 1])) == [3, 2, 2]
     assert sequences.words_over_runs(["a", "b"], [(0.0, 1.0)], 9.0) == [("a", 0.0, 0.5), ("b", 0.5, 1.0)]
 
