@@ -5,6 +5,7 @@ Floating results are rounded by floor(x * 1e6 + 0.5) / 1e6 on both sides.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -405,18 +406,25 @@ def live_gate(spark, sf_dir):
     return live.gated_batch(live_blocks(spark, sf_dir)).select("clip_id", "seq", r6(F.col("peak") + 1.23456789e-8).alias("peak"), "voiced")
 
 
-@query(LIVE)
-def live_gate_stream(spark, sf_dir):
-    """The same by Structured Streaming over the blocks as files."""
-    base = scratch(spark, "live")
+@contextlib.contextmanager
+def rocksdb_state(spark):
+    """The state store that stateful processors need, while a stream runs."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+@query(LIVE)
+def live_gate_stream(spark, sf_dir):
+    """The same by Structured Streaming over the blocks as files."""
+    base = scratch(spark, "live")
+    with rocksdb_state(spark):
         live_blocks(spark, sf_dir).write.parquet(f"{base}/in")
         gated = live.gated_stream(live.block_stream(spark, f"{base}/in", 1000))
         run = gated.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(live.GATED).parquet(f"{base}/out").select("clip_id", "seq", r6(F.col("peak") + 1.23456789e-8).alias("peak"), "voiced")

@@ -3,15 +3,18 @@ clip gates the blocks.
 
 Blocks are (clip_id, seq, t, rms, freq, clarity).  The maximum starts at 0 and becomes
 max(decay * maximum, rms) with every block in ``seq`` order; a block is voiced if its rms
-reaches ``gate`` times the maximum and its clarity passes.  No block is dropped: a slow
-consumer is held back by the source's rate (``maxFilesPerTrigger``).
+reaches ``gate`` times the maximum and its clarity passes.  A slow consumer is held back
+by the source's rate (``maxFilesPerTrigger``), or sheds load: while the model works on a block
+of a clip, that clip's blocks are left out, and do not count for its maximum either
+(``shed_stream``, in front of the gate).
 
-State is one double per clip in the state store, so a restarted query goes on where it
-stopped.  The batch form has a closed expression over a window.
+State is a few numbers per clip in the state store, so a restarted query goes on where
+it stopped.  The batch form has a closed expression over a window.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -25,6 +28,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 DECAY, GATE = 0.985, 0.28
 MODEL_CONFIDENCE, FALLBACK_CLARITY = 0.5, 0.3
 BLOCKS = "clip_id long, seq long, t double, rms double, freq double, clarity double"
+SHED = BLOCKS + ", taken boolean, dropped long"
+BLOCK_NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
 GATED = "clip_id long, seq long, t double, rms double, freq double, peak double, voiced boolean"
 
 
@@ -87,6 +92,53 @@ def gated_stream(blocks: DataFrame, model: bool = False) -> DataFrame:
     )
 
 
+def shed_rows(rows: pd.DataFrame, free: float, dropped: int, service: float) -> tuple[pd.DataFrame, float, int]:
+    """A clip's blocks in ``seq`` order with taken and dropped, when the model is free from
+    ``free`` on and needs ``service`` seconds for a block."""
+    out = rows.sort_values("seq")
+    taken, counts = [], []
+    for t in out.t:
+        takes = t >= free
+        free, dropped = (t + service, dropped) if takes else (free, dropped + 1)
+        taken.append(takes)
+        counts.append(dropped)
+    return out[BLOCK_NAMES].assign(taken=taken, dropped=counts), free, dropped
+
+
+class OneInFlight(StatefulProcessor):
+    """Keeps of each clip when the model is free again, and how many blocks were dropped."""
+
+    def __init__(self, service: float):
+        self.service = service
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.flight = handle.getValueState("flight", "free double, dropped long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        free, dropped = self.flight.get() if self.flight.exists() else (-math.inf, 0)
+        out, free, dropped = shed_rows(pd.concat(list(rows)), free, dropped, self.service)
+        self.flight.update((free, dropped))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def shed_stream(blocks: DataFrame, service: float) -> DataFrame:
+    """SHED rows of a stream of BLOCKS: one block of a clip is in flight at a time, for
+    ``service`` seconds on the clock of ``t``; blocks that arrive meanwhile are not ``taken``, and
+    ``dropped`` counts those of the clip so far.  Blocks of a clip arrive in ``seq`` order."""
+    register_pickle_by_value(sys.modules[__name__])
+    return blocks.groupBy("clip_id").transformWithStateInPandas(
+        statefulProcessor=OneInFlight(service), outputStructType=SHED, outputMode="Append", timeMode="None"
+    )
+
+
+def shed_batch(blocks: DataFrame, service: float) -> DataFrame:
+    """The same of a table."""
+    return blocks.groupBy("clip_id").applyInPandas(lambda rows: shed_rows(rows, -math.inf, 0, service)[0], SHED)
+
+
 def to_curve(gated: DataFrame) -> DataFrame:
     """clip_id, t, seq, semi of the live curve."""
     from ..functions.arrays import hz_to_midi
