@@ -26,8 +26,10 @@ cannot clash.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_
 HOT_PAIRS = 200_000
 ROWS = 500
 MARK = "▁"
+CACHE, CACHED_CHARS = 300_000, 64
 #: A packed end is a long of end, side (one bit) and number on its side.
 NUMBER_BITS = 31
 NUMBER = (1 << NUMBER_BITS) - 1
@@ -67,7 +70,12 @@ class ByteSide:
 
 
 class PieceSide:
-    """Piece vocabulary with byte fallback, which puts a space in front itself."""
+    """Piece vocabulary with byte fallback, which puts a space in front itself.
+
+    No piece has a character before a word mark, or a line break (checked when the model is
+    loaded; else a text is one chunk), so that texts can be cut there: chunks repeat, and each
+    is encoded by the library once while it is among the last ``CACHE`` to 2 * ``CACHE`` short
+    ones."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -76,10 +84,34 @@ class PieceSide:
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.pieces = [bytes([int(n[1:-1], 16)]) if sp.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         self.sizes = np.array([len(p) for p in self.pieces], np.int32)
+        self.whole = any(MARK in n.lstrip(MARK) or "\n" in n for n in names)
+        self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
+        self.young: dict[str, tuple[list[int], bytes]] = {}
+        self.old: dict[str, tuple[list[int], bytes]] = {}
+
+    def encoded(self, chunk: str) -> tuple[list[int], bytes]:
+        got = self.old.get(chunk)
+        if got is None:
+            if chunk[0] == MARK:
+                ids = self.library.encode(chunk[1:].replace(MARK, " "))
+                ids = ids if len(chunk) > 1 else [self.library.piece_to_id(MARK)]
+            else:  # what a line break puts in front: a mark and its byte
+                ids = self.library.encode("\n" + chunk)[2:]
+            got = ids, b"".join([self.pieces[i] for i in ids])
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = got
+        return got
 
     def tokens(self, text: str) -> tuple[np.ndarray, bytes]:
-        ids = self.library.encode(text)
-        return np.array(ids, np.int32), b"".join([self.pieces[i] for i in ids])
+        if self.whole:
+            ids = self.library.encode(text)
+            return np.array(ids, np.int32), b"".join([self.pieces[i] for i in ids])
+        get = self.young.get
+        found = [get(c) or self.encoded(c) for c in self.cut.findall(MARK + text.replace(" ", MARK))]
+        ids = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32)
+        return ids, b"".join([f[1] for f in found])
 
 
 def side(kind: type, file: bytes):
@@ -146,8 +178,9 @@ def group_texts(used: str, a_names: str, b_names: str) -> Column:
     number = F.lit(NUMBER)
     a_number, b_number = lambda x: F.shiftright(x, NUMBER_BITS).cast("int"), lambda x: x.bitwiseAND(number).cast("int")
 
-    def ids(names: str, first: Column, last: Column) -> Column:
-        return F.array_join(F.slice(names, first + 1, last - first), ",")
+    def ids(names: str, first: Column, end: Column) -> Column:
+        # not slice, which copies all of the array it cuts from
+        return F.array_join(F.transform(F.sequence(first, end - 1), lambda i: F.get(names, i)), ",")
 
     def group(before: Column, x: Column) -> Column:
         one = F.concat(F.get(a_names, a_number(before)), F.lit("|"), F.get(b_names, b_number(before)))
