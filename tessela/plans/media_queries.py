@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, resample
 from ..scratch import drop_path, scratch, written
 from ..sources import audio, capture
 from ..streaming import live
@@ -82,3 +82,22 @@ def shed_blocks_stream(spark, sf_dir):
         taken = spark.read.schema(live.SHED).parquet(f"{base}/taken")
     gated = live.gated_batch(taken.select(*live.BLOCK_NAMES), model=True).select("clip_id", "seq", "peak")
     return gated.join(taken.select("clip_id", "seq", "dropped"), ["clip_id", "seq"]).select("clip_id", "seq", "dropped", r6(F.col("peak") + 1.23456789e-8).alias("peak"))
+
+
+FROM, TO, WIDE = 25, 16, 50
+
+
+@query(f"""WITH q AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, value / 250.0 - 1.0 AS x FROM events),
+    c AS (SELECT clip_id, count(*) AS n FROM q GROUP BY 1),
+    o AS (SELECT clip_id, unnest(range(CAST(ceil(n * {TO} / {FROM}.0) AS BIGINT))) AS m FROM c),
+    t AS (SELECT clip_id, m, unnest(range(m * {FROM} // {TO} - {WIDE}, m * {FROM} // {TO} + {WIDE} + 2)) AS k FROM o),
+    d AS (SELECT clip_id, m, k, CAST(m * {FROM} AS DOUBLE) / {TO} - k AS d FROM t),
+    w AS (SELECT clip_id, m, k, CASE WHEN d = 0 THEN 1.0 ELSE sin(pi() * d * {TO} / {FROM}) / (pi() * d * {TO} / {FROM}) END
+              * (CAST(0.42 AS DOUBLE) + CAST(0.5 AS DOUBLE) * cos(pi() * d / {WIDE}) + CAST(0.08 AS DOUBLE) * cos(2 * pi() * d / {WIDE})) AS w FROM d WHERE abs(d) < {WIDE})
+    SELECT clip_id, m, {s6('sum(w * coalesce(x, 0)) / sum(w) + 1.23456789e-8')} AS y FROM w LEFT JOIN q USING (clip_id, k) GROUP BY clip_id, m""")
+def filtered_clips(spark, sf_dir):
+    """Clips at another rate through the band-limited filter, in blocks."""
+    clips = fx.clips(spark, sf_dir, FROM).withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / 64).cast("int"))))
+    blocks = clips.select("clip_id", F.col("seq").cast("long").alias("seq"), F.col("sr").cast("int").alias("sr"), F.slice("samples", F.col("seq") * 64 + 1, F.lit(64)).alias("samples"))
+    made = resample.resample_blocks(blocks, 64, TO)
+    return made.select("clip_id", "first", F.posexplode("samples").alias("i", "y")).select("clip_id", (F.col("first") + F.col("i")).alias("m"), r6(F.col("y") + 1.23456789e-8).alias("y"))
