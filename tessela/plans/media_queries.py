@@ -3,9 +3,11 @@ files, which are read back in parts and as a live stream."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays, resample
+from ..operators import network
 from ..scratch import drop_path, scratch, written
 from ..sources import audio, capture
 from ..streaming import live
@@ -101,3 +103,24 @@ def filtered_clips(spark, sf_dir):
     blocks = clips.select("clip_id", F.col("seq").cast("long").alias("seq"), F.col("sr").cast("int").alias("sr"), F.slice("samples", F.col("seq") * 64 + 1, F.lit(64)).alias("samples"))
     made = resample.resample_blocks(blocks, 64, TO)
     return made.select("clip_id", "first", F.posexplode("samples").alias("i", "y")).select("clip_id", (F.col("first") + F.col("i")).alias("m"), r6(F.col("y") + 1.23456789e-8).alias("y"))
+
+
+#: A small network with weights by rule: one convolution of 3 filters, 8 wide, and 4 units.
+SMALL = [network.Conv("c", 2), network.Dense("d")]
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings),
+    p AS (SELECT vec_id, o, f, k, o * 2 + k - 3 AS i FROM (SELECT DISTINCT vec_id FROM e), (SELECT unnest(range(32)) AS o), (SELECT unnest(range(3)) AS f), (SELECT unnest(range(8)) AS k)),
+    c AS (SELECT vec_id, o, f, greatest(0, sum(coalesce(x, 0) * sin(k * 1.3::DOUBLE + f * 0.7::DOUBLE)) + 0.1::DOUBLE * f) AS y FROM p LEFT JOIN e USING (vec_id, i) GROUP BY 1, 2, 3),
+    n AS (SELECT vec_id, o // 2 AS t, f, max((y - 0.2::DOUBLE) / sqrt(1.5::DOUBLE + 0.001::DOUBLE) * (1 + f) - 0.5::DOUBLE) AS y FROM c GROUP BY 1, 2, 3)
+    SELECT vec_id, u, {s6('1 / (1 + exp(-(sum(y * cos((t * 3 + f) * 0.9::DOUBLE + u)) + 0.05::DOUBLE * u)))')} AS a
+    FROM n, (SELECT CAST(unnest(range(4)) AS INTEGER) AS u) GROUP BY vec_id, u""")
+def network_activations(spark, sf_dir):
+    """Vectors as frames of a small network of the pitch network's kind."""
+    k, f, u, i = np.arange(8)[:, None], np.arange(3.0), np.arange(4.0), np.arange(48)[:, None]
+    w = {"c/kernel": np.sin(k * 1.3 + f * 0.7).reshape(8, 1, 1, 3), "c/bias": 0.1 * f, "c/gamma": 1 + f, "c/beta": np.full(3, -0.5)}
+    w |= {"c/moving_mean": np.full(3, 0.2), "c/moving_variance": np.full(3, 1.5), "d/kernel": np.cos(i * 0.9 + u), "d/bias": 0.05 * u}
+    table = spark.createDataFrame([(n, list(v.shape), v.ravel().tolist()) for n, v in w.items()], "name string, shape array<int>, values array<double>")
+    frames = fx.load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    made = network.activations(frames, table, SMALL)
+    return made.select("vec_id", F.posexplode("a").alias("u", "a")).select("vec_id", "u", r6("a").alias("a"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of weight files that the driver reads at once.
+MOST_BYTES = 200_000_000
+
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value) rows of one JSON object with arbitrary keys."""
@@ -35,3 +42,25 @@ def decode_mismatches(decoded: DataFrame, corpus: DataFrame) -> DataFrame:
     none = F.coalesce(F.size("ids"), F.lit(0)) <= 0
     wrong = (F.coalesce("text", F.lit("")) != "") & (F.col("expected") != "") & (F.col("text") != F.col("expected"))
     return both.filter(none | wrong).select("grp", "pos", F.when(none, "no token ids").otherwise("decoded text differs").alias("problem"))
+
+
+def layer_weights(spark: SparkSession, folder: str, manifest: str = "model.json", prefix: str = "") -> DataFrame:
+    """(name, shape, values) of the single precision weights of a saved network: the manifest
+    lists groups of binary files and, in order, what lies in them.  Names lose ``prefix``, and
+    normalisation layers count as parts of the layer in front."""
+    groups = json.loads(spark.read.text(f"{folder}/{manifest}", wholetext=True).first()[0])["weightsManifest"]
+    parts = spark.read.format("binaryFile").load([f"{folder}/{p}" for g in groups for p in g["paths"]])
+    if (total := parts.agg(F.sum("length")).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"{total} bytes of weights; at most {MOST_BYTES} are read at once")
+    content = {r.path.rpartition("/")[2]: bytes(r.content) for r in parts.select("path", "content").collect()}
+    rows = []
+    for group in groups:
+        raw, at = b"".join(content[p.rpartition("/")[2]] for p in group["paths"]), 0
+        for w in group["weights"]:
+            n = math.prod(w["shape"])
+            if w["dtype"] != "float32":
+                raise ValueError(f"{w['name']}: {w['dtype']} weights are not read")
+            name = w["name"].removeprefix(prefix).replace("_BN/", "/")
+            rows.append((name, list(w["shape"]), np.frombuffer(raw, "<f4", n, at).tolist()))
+            at += 4 * n
+    return spark.createDataFrame(rows, "name string, shape array<int>, values array<float>")
