@@ -6,7 +6,7 @@ aligned on its own inside an Arrow batch, so nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,47 +50,122 @@ def first_best(options: np.ndarray) -> np.ndarray:
     return np.argmax(options >= options.max(0) - NEAR, axis=0)
 
 
-def align(expected: list[str], heard: list[str], boundaries: set[int] = frozenset()) -> list[tuple[int | None, int | None]]:
-    """(expected index, heard index) steps of the best affine-gap alignment.  A gap in
-    the heard words opens at half price where a passage ends; paired states win ties,
-    then gaps in the heard words; the two kinds of gap never follow each other.
-
-    Whole rows of the table are filled at a time: a gap in the expected words is a
-    running maximum along the row.  ``came`` keeps, for each state of each position, the
-    state before it, so the path is read off without scores."""
-    m, n = len(expected), len(heard)
-    if not m or not n:
-        return [(i, None) for i in range(m)] + [(None, j) for j in range(n)]
-    words, cost = score_table(expected, heard), EXTEND * np.arange(n + 1)
-    came = np.zeros((3, m + 1, n + 1), np.int8)
-    ended = np.zeros((m + 1, n + 1), np.int8)
-    above = np.full((3, n + 1), -np.inf)
-    for i in range(m + 1):
-        here = np.full((3, n + 1), -np.inf)
+def similar_words(expected: list[str], heard: list[str]) -> Callable[[int], np.ndarray]:
+    """Row by row what ``score_table`` holds, without the table: words are compared only
+    where the letters that both have allow a score above the least."""
+    rows, at = np.unique(np.array(expected, dtype=object), return_inverse=True)
+    cols, to = np.unique(np.array(heard, dtype=object), return_inverse=True)
+    letters = {c: k for k, c in enumerate(sorted(set("".join(cols))))}
+    counts, sizes = np.zeros((len(cols), len(letters)), np.int16), np.array([len(c) for c in cols])
+    for k, word in enumerate(cols):
+        for c in word:
+            counts[k, letters[c]] += 1
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def found(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.zeros(len(letters), np.int16)
+        for c in rows[k]:
+            if c in letters:
+                own[letters[c]] += 1
+        shared, both = np.minimum(counts, own).sum(1), sizes + len(rows[k])
+        near = np.flatnonzero((2 * shared > FUZZY * both - NEAR) | (both == 0))
+        return near, np.array([word_score(rows[k], cols[x]) for x in near], float)
+
+    def row(i: int) -> np.ndarray:
+        k = at[i]
+        if k not in known:
+            known[k] = found(k)
+        out = np.full(len(cols), -1.0)
+        out[known[k][0]] = known[k][1]
+        return out[to]
+
+    return row
+
+
+class Aligner:
+    """Rows of the alignment table of m expected and n heard words.  A row holds the best
+    score of each state at each position; ``came`` the state before it."""
+
+    def __init__(self, m: int, words: Callable[[int], np.ndarray], boundaries: set[int]):
+        self.m, self.words, self.boundaries = m, words, boundaries
+
+    def row(self, i: int, above: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row i over columns 0..n, from the row above.  A gap in the expected words is a
+        running maximum along the row."""
+        here, came = np.full((3, n + 1), -np.inf), np.zeros((3, n + 1), np.int8)
         if i:
-            ended[i - 1] = first_best(above)
-            here[PAIR, 1:] = above.max(0)[:-1] + words[i - 1]
-            came[PAIR, i, 1:] = ended[i - 1, :-1]
-            gaps = np.stack([above[DROP] + EXTEND, above[PAIR] + (OPEN / 2 if i in boundaries else OPEN)])
+            here[PAIR, 1:] = above.max(0)[:n] + self.words(i - 1)[:n]
+            came[PAIR, 1:] = first_best(above[:, : n + 1])[:n]
+            gaps = np.stack([above[DROP, : n + 1] + EXTEND, above[PAIR, : n + 1] + (OPEN / 2 if i in self.boundaries else OPEN)])
             if i == 1:  # before the first word a gap opens at full price
                 gaps[1, 0] = OPEN
             here[DROP] = gaps.max(0)
-            came[DROP, i] = np.where(first_best(gaps) == 0, DROP, PAIR)
+            came[DROP] = np.where(first_best(gaps) == 0, DROP, PAIR)
         else:
             here[PAIR, 0] = 0.0
         # extra[j] is the best paired[k], k < j, with a gap from k to j
-        opened = here[PAIR, :-1] + OPEN
-        here[EXTRA, 1:] = np.maximum.accumulate(opened - cost[:-1]) + cost[:-1]
+        cost = EXTEND * np.arange(n + 1)
+        here[EXTRA, 1:] = np.maximum.accumulate(here[PAIR, :-1] + OPEN - cost[:-1]) + cost[:-1]
         with np.errstate(invalid="ignore"):
             longer = here[EXTRA, 1:-1] + EXTEND >= here[EXTRA, 2:] - NEAR
-        came[EXTRA, i, 2:] = np.where(longer & np.isfinite(here[EXTRA, 1:-1]), EXTRA, PAIR)
-        above = here
-    ended[m] = first_best(above)
-    at, state, steps = np.array([m, n]), ended[m, n], []
-    while at.any():
-        before = at - MOVES[state]
-        steps.append(tuple(int(x) if moved else None for x, moved in zip(before, MOVES[state], strict=True)))
-        at, state = before, came[state, at[0], at[1]]
+        came[EXTRA, 2:] = np.where(longer & np.isfinite(here[EXTRA, 1:-1]), EXTRA, PAIR)
+        return here, came
+
+    def rows(self, low: int, above: np.ndarray | None, high: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i in range(low + 1, high + 1):
+            above, came = self.row(i, above, n)
+            yield i, above, came
+
+    def path(self, low: int, above: np.ndarray | None, high: int, j: int, state: int, steps: list) -> tuple[int, int]:
+        """Appends the steps, last first, that lead from row ``high``, column j and ``state`` up
+        to row ``low``, and returns column and state there.  Above ``LEAF`` rows only the
+        rows at ``PARTS`` cuts are kept; each part is filled again when its path is wanted, no
+        wider than the path needs."""
+        if high - low <= LEAF:
+            came = {i: c for i, _, c in self.rows(low, above, high, j)}
+            i = high
+            while i > low and (i or j):
+                down, right = MOVES[state]
+                before = int(came[i][state, j])
+                steps.append((i - 1 if down else None, j - 1 if right else None))
+                i, j, state = i - int(down), j - int(right), before
+            return j, state
+        size = -(-(high - low) // PARTS)
+        cuts, kept = range(low + size, high, size), {low: above}
+        for i, here, _ in self.rows(low, above, cuts[-1], j):
+            if (i - low) % size == 0:
+                kept[i] = here
+        for first, last in zip([*reversed(cuts), low], [high, *reversed(cuts)], strict=True):
+            start = kept.pop(first)
+            j, state = self.path(first, start if start is None else start[:, : j + 1], last, j, state, steps)
+        return j, state
+
+
+#: Cells up to which all word scores are in one table; rows filled with their origins kept;
+#: parts that longer stretches of rows are cut into.
+TABLE_CELLS, LEAF, PARTS = 4_000_000, 256, 16
+
+
+def align(expected: list[str], heard: list[str], boundaries: set[int] = frozenset()) -> list[tuple[int | None, int | None]]:
+    """(expected index, heard index) steps of the best affine-gap alignment.  A gap in
+    the heard words opens at half price where a passage ends; paired states win ties,
+    then gaps in the heard words; the two kinds of gap never follow each other.
+
+    Memory grows with the rows' length, not with the table: see ``Aligner.path``."""
+    m, n = len(expected), len(heard)
+    if not m or not n:
+        return [(i, None) for i in range(m)] + [(None, j) for j in range(n)]
+    if m * n <= TABLE_CELLS:
+        table = score_table(expected, heard)
+        words = table.__getitem__
+    else:
+        words = similar_words(expected, heard)
+    own = Aligner(m, words, set(boundaries))
+    # the state that the best path ends in is seen at the end of the last row
+    for _, last, _ in own.rows(-1, None, m, n):
+        pass
+    steps: list[tuple[int | None, int | None]] = []
+    own.path(-1, None, m, n, int(first_best(last)[n]), steps)
     return steps[::-1]
 
 
