@@ -6,13 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, nearest, sequences
 from . import fixtures as fx
-from .queries import digest, query, r6, s6
+from .queries import LOSS, digest, query, r6, s6
 from .text_queries import ASCII_SQL, ratio_sql
 
-#: Every fifth letter of a run is lost.
-LOSS = "([A-Za-z]{4})[A-Za-z]"
-
-
 @query(rf"""WITH q AS (SELECT item_id AS query_id, regexp_replace({ASCII_SQL}, '{LOSS}', '\1', 'g') AS q FROM benchmark
         UNION ALL SELECT item_id + 1000000, substr({ASCII_SQL}, 1, 60) FROM benchmark),
     p AS (SELECT conv_id AS grp, turn AS pos, {ASCII_SQL} AS p FROM conversations UNION ALL SELECT -1 - item_id, 0, {ASCII_SQL} FROM benchmark),

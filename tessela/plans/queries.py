@@ -323,11 +323,28 @@ def nearest_passages(spark, sf_dir):
     return got.select("query_id", "grp", "pos", r6("score").alias("score"), "rank")
 
 
-@query("""SELECT item_id AS query_id, CAST(item_id // 5 AS BIGINT) AS grp, CAST(item_id % 5 + 1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS pos_end, 1.0::DOUBLE AS score, 1.0::DOUBLE AS frag_fit FROM benchmark""")
+#: Every fifth letter of a run is lost.
+LOSS = "([A-Za-z]{4})[A-Za-z]"
+
+
+@query(rf"""WITH b AS (SELECT item_id, item_id // 5 AS grp, item_id % 5 + 1 AS pos, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark),
+    q AS (SELECT item_id AS query_id, regexp_replace(text, '{LOSS}', '\1', 'g') AS q FROM b
+          UNION ALL SELECT 1000000 + x.grp, regexp_replace(x.text || ' ' || y.text, '{LOSS}', '\1', 'g') FROM b x JOIN b y ON x.grp = y.grp AND x.pos = 1 AND y.pos = 2),
+    s AS (SELECT grp, pos, size, list(text) OVER w AS l, list(pos) OVER w AS p FROM b, unnest(range(1, 7)) AS u(size)
+          WINDOW w AS (PARTITION BY grp, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+    t AS (SELECT grp, pos, CASE WHEN size > 1 THEN p[size] END AS pos_end, size, array_to_string(list_slice(l, 1, size), ' ') AS t FROM s WHERE len(l) >= size),
+    r AS (SELECT query_id, grp, pos, pos_end, size, floor((length(q) + length(t) - levenshtein(q, t)) / (length(q) + length(t)) * 1e4 + 0.5) / 1e4 AS score FROM q, t)
+    SELECT query_id, grp, pos, pos_end, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, size, grp, pos) AS k FROM r) WHERE k = 1""")
 def best_passages(spark, sf_dir):
-    """Every benchmark passage finds itself."""
-    q = fx.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.best_match(q, fx.benchmark_corpus(spark, sf_dir)).select("query_id", "grp", "pos", "pos_end", "score", "frag_fit")
+    """Passages, and the first two of each group joined, with letters lost, find their own."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    rows = fx.benchmark_corpus(spark, sf_dir)
+    corpus = rows.withColumns({c: F.regexp_replace(c, r"[^\x00-\x7F]", "?") for c in ("display", "joined")})
+    items = fx.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), plain.alias("text"))
+    two = corpus.filter("pos <= 2").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "joined"))).alias("x")).filter("size(x) = 2 and x[0].pos = 1")
+    both = items.unionByName(two.select((F.col("grp") + 1_000_000).alias("query_id"), F.array_join("x.joined", " ").alias("text")))
+    found = retrieval.best_match(both.withColumn("text", F.regexp_replace("text", LOSS, "$1")), corpus)
+    return found.select("query_id", "grp", "pos", "pos_end", "score")
 
 
 @query("SELECT item_id, doc_id, 1.0::DOUBLE AS fit FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
