@@ -10,7 +10,7 @@ from ..functions import arrays, resample
 from ..operators import network
 from ..scratch import drop_path, scratch, written
 from ..sources import audio, capture
-from ..streaming import live
+from ..streaming import live, sink
 from . import fixtures as fx
 from .queries import POINTS, live_blocks, query, r6, rocksdb_state, s6
 
@@ -124,3 +124,13 @@ def network_activations(spark, sf_dir):
     frames = fx.load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
     made = network.activations(frames, table, SMALL)
     return made.select("vec_id", F.posexplode("a").alias("u", "a")).select("vec_id", "u", r6("a").alias("a"))
+
+
+@query(f"""WITH {POINTS} SELECT clip_id, seq, {s6('t')} AS t, {s6('rms')} AS rms FROM pts""")
+def sunk_blocks(spark, sf_dir):
+    """Blocks that went through the table sink of a stream, in several batches."""
+    base = scratch(spark, "sink")
+    live_blocks(spark, sf_dir).repartition(6, "clip_id").write.parquet(f"{base}/in")
+    rows = live.block_stream(spark, f"{base}/in", 2)
+    sink.table_stream(rows, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink.read_table(spark, f"{base}/out", live.BLOCKS).select("clip_id", "seq", r6("t").alias("t"), r6("rms").alias("rms"))
