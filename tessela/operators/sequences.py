@@ -38,7 +38,7 @@ def greedy_ids(frames: DataFrame, blank: int) -> DataFrame:
 
 def ids_to_text(decoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """clip_id, text: tokens of (id, token) joined, word marks as spaces, normalised."""
-    each = decoded.select("clip_id", F.posexplode_outer("ids").alias("i", "id")).join(F.broadcast(vocab), "id", "left")
+    each = decoded.select("clip_id", F.posexplode_outer("ids").alias("i", "id")).join(vocab, "id", "left")
     token = F.when(F.coalesce("token", F.lit("")).isin("", "<unk>", "<blank>"), "").otherwise(F.col("token"))
     got = each.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("i", token.alias("token")))).alias("x"))
     return got.select("clip_id", normalise(F.replace(F.array_join("x.token", ""), F.lit(WORD_MARK), F.lit(" "))).alias("text"))
