@@ -73,6 +73,14 @@ def log_mel_of(samples: np.ndarray, frames: int = FRAMES) -> np.ndarray:
     return (np.maximum(out, out.max() - 8.0) + 4.0) / 4.0
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def log_mel(samples: pd.Series) -> pd.Series:
-    return pd.Series([log_mel_of(s).tolist() for s in samples])
+def log_mels(frames: int):
+    """``log_mel_of`` with that many frames, in Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def run(samples: pd.Series) -> pd.Series:
+        return pd.Series([log_mel_of(s, frames).tolist() for s in samples])
+
+    return run
+
+
+log_mel = log_mels(FRAMES)

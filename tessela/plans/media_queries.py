@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import arrays, resample
+from ..functions import arrays, pitch, resample
 from ..operators import network
 from ..scratch import drop_path, scratch, written
 from ..sources import audio, capture
@@ -134,3 +134,27 @@ def sunk_blocks(spark, sf_dir):
     rows = live.block_stream(spark, f"{base}/in", 2)
     sink.table_stream(rows, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return sink.read_table(spark, f"{base}/out", live.BLOCKS).select("clip_id", "seq", r6("t").alias("t"), r6("rms").alias("rms"))
+
+
+#: Frames of these short clips.
+MEL_FRAMES = 12
+
+
+@query(f"""WITH o AS (SELECT label AS clip_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
+    s AS (SELECT clip_id, r * 64 + i AS n, x FROM (SELECT clip_id, r, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM o) WHERE r * 64 + i < {MEL_FRAMES * 160}),
+    j AS (SELECT clip_id, f, j, CASE WHEN p < 0 THEN -p WHEN p >= {MEL_FRAMES * 160} THEN 2 * {MEL_FRAMES * 160 - 1} - p ELSE p END AS n
+          FROM (SELECT clip_id, f, j, f * 160 + j - 200 AS p FROM (SELECT DISTINCT clip_id FROM s), (SELECT unnest(range({MEL_FRAMES})) AS f), (SELECT unnest(range(400)) AS j))),
+    w AS (SELECT clip_id, f, j, x * (0.5 - 0.5 * cos(2 * pi() * j / 399)) AS x FROM j JOIN s USING (clip_id, n)),
+    d AS (SELECT clip_id, f, k, power(sum(x * cos(2 * pi() * k * j / 400)), 2) + power(sum(x * sin(2 * pi() * k * j / 400)), 2) AS p FROM w, (SELECT unnest(range(201)) AS k) GROUP BY 1, 2, 3),
+    a AS (SELECT m, 401 * 700 * (power(10, m * 2595 * log10(1 + 8000 / 700.0::DOUBLE) / 81 / 2595) - 1) / 16000 AS at FROM (SELECT unnest(range(82)) AS m)),
+    b AS (SELECT l.m AS mel, k, greatest(0, least((k - l.at) / (c.at - l.at), (h.at - k) / (h.at - c.at))) AS g
+          FROM a l JOIN a c ON c.m = l.m + 1 JOIN a h ON h.m = l.m + 2, (SELECT unnest(range(201)) AS k)),
+    e AS (SELECT clip_id, f, mel, log10(greatest(sum(g * p), 1e-10)) AS v FROM d JOIN b USING (k) GROUP BY 1, 2, 3)
+    SELECT CAST(clip_id AS BIGINT) AS clip_id, CAST(mel AS INTEGER) AS mel, CAST(f AS INTEGER) AS frame,
+           {s6('(greatest(v, max(v) OVER (PARTITION BY clip_id) - 8) + 4) / 4 + 1.23456789e-8')} AS v FROM e""")
+def log_mel_frames(spark, sf_dir):
+    """Vectors of a label, one after the other, as a clip of 16 kHz."""
+    rows = fx.load(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("clip_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    clips = rows.select("clip_id", F.flatten("x.embedding").cast("array<double>").alias("samples"))
+    mels = clips.select("clip_id", F.posexplode(pitch.log_mels(MEL_FRAMES)("samples")).alias("mel", "row"))
+    return mels.select("clip_id", "mel", F.posexplode("row").alias("frame", "v")).select("clip_id", "mel", "frame", r6(F.col("v") + 1.23456789e-8).alias("v"))
