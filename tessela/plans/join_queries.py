@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, nearest, sequences
+from ..operators import intervals, nearest, retrieval, sequences
 from . import fixtures as fx
 from .queries import LOSS, digest, query, r6, s6
 from .text_queries import ASCII_SQL, ratio_sql
@@ -75,3 +75,25 @@ def token_word_times(spark, sf_dir):
     spans = tokens.select("clip_id", "k", (F.col("k") * 2).alias("first"), (F.col("k") * 2).alias("last"), F.lit(3).alias("letters"))
     got = sequences.word_times(spans, clips, 0.1)
     return got.select("clip_id", "i", digest(F.col("word")).alias("word"), r6("t_start").alias("t_start"), r6("t_end").alias("t_end"))
+
+
+WORDS_SQL = r"list_filter(regexp_split_to_array({0}, '[\t-\r ]+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH b AS (SELECT item_id // 5 AS grp, item_id % 5 + 1 AS pos, item_id, {ASCII_SQL} AS text FROM benchmark),
+    q AS (SELECT item_id AS query_id, regexp_replace(text, '{LOSS}', '\1', 'g') AS q FROM b),
+    s AS (SELECT grp, pos, size, list(text) OVER w AS l, list(pos) OVER w AS p FROM b, unnest(range(1, 4)) AS u(size)
+          WINDOW w AS (PARTITION BY grp, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+    t AS (SELECT grp, pos, p[size] AS pos_end, size, array_to_string(list_slice(l, 1, size), ' ') AS t FROM s WHERE len(l) >= size),
+    m AS (SELECT *, {WORDS_SQL.format('q')} AS qw, {WORDS_SQL.format('t')} AS tw FROM q, t),
+    h AS (SELECT *, array_to_string(list_slice(qw, 1, least(len(qw), len(tw))), ' ') AS qh, array_to_string(list_slice(tw, 1, least(len(qw), len(tw))), ' ') AS th FROM m),
+    r AS (SELECT query_id, grp, pos, pos_end, size, greatest({ratio_sql('q', 't')}, {ratio_sql('qh', 'th')}) AS score FROM h)
+    SELECT query_id, grp, pos, pos_end, {s6('score')} AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, size > 1, grp, pos, size) AS k FROM r) WHERE k = 1""")
+def matched_passages(spark, sf_dir):
+    """Damaged passages among single passages and spans, by the whole text and by as many
+    leading words."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    corpus = fx.benchmark_corpus(spark, sf_dir).withColumns({c: plain(c) for c in ("display", "joined")})
+    asked = fx.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(plain("text"), LOSS, "$1").alias("text"))
+    return retrieval.match_passage(asked, corpus).select("query_id", "grp", "pos", "pos_end", r6("score").alias("score"))
