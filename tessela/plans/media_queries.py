@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays, pitch, resample
-from ..operators import network
+from ..operators import decoding, network
 from ..scratch import drop_path, scratch, written
 from ..sources import audio, capture
 from ..streaming import live, sink
@@ -158,3 +158,24 @@ def log_mel_frames(spark, sf_dir):
     clips = rows.select("clip_id", F.flatten("x.embedding").cast("array<double>").alias("samples"))
     mels = clips.select("clip_id", F.posexplode(pitch.log_mels(MEL_FRAMES)("samples")).alias("mel", "row"))
     return mels.select("clip_id", "mel", F.posexplode("row").alias("frame", "v")).select("clip_id", "mel", "frame", r6(F.col("v") + 1.23456789e-8).alias("v"))
+
+
+#: Tokens of a small vocabulary; the last one ends a text.
+TOKENS, MOST = 12, 20
+
+
+@query(f"""WITH RECURSIVE g AS (
+        SELECT vec_id, embedding, 0 AS step, 1 AS id, CAST([] AS INTEGER[]) AS ids FROM embeddings
+        UNION ALL SELECT vec_id, embedding, step + 1, best, CASE WHEN best = {TOKENS - 1} THEN ids ELSE list_append(ids, best) END
+        FROM (SELECT *, CAST(list_position(sc, list_max(sc)) - 1 AS INTEGER) AS best FROM (
+            SELECT *, list_transform(range({TOKENS}), lambda v: sin(id * 1.7::DOUBLE + v * 0.9::DOUBLE) + cos(step * 0.6::DOUBLE + v) + embedding[v + 1]::DOUBLE) AS sc
+            FROM g WHERE step < {MOST} AND id <> {TOKENS - 1})))
+    SELECT vec_id, array_to_string(ids, ',') AS ids FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY step DESC) = 1""")
+def decoded_tokens(spark, sf_dir):
+    """Vectors as features of a small step model."""
+    i, v = np.arange(TOKENS)[:, None], np.arange(TOKENS)
+    w = {"next/table": np.sin(i * 1.7 + v * 0.9), "step/table": np.cos(np.arange(MOST)[:, None] * 0.6 + v)}
+    table = spark.createDataFrame([(n, list(x.shape), x.ravel().tolist()) for n, x in w.items()], "name string, shape array<int>, values array<double>")
+    rows = fx.load(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, TOKENS).alias("features"))
+    made = decoding.decode(rows, table, decoding.TableModel, [1], TOKENS - 1, MOST)
+    return made.select("vec_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
