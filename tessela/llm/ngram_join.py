@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, arrow_rows, attach, drop_table, unused, written
@@ -150,10 +150,15 @@ def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return h[c + 1 >= LOCAL_WIDE], c[c + 1 >= LOCAL_WIDE] + 1
 
 
+def text_hash() -> Column:
+    """Tells rows apart that share a doc_id, or have none."""
+    return F.xxhash64("text")
+
+
 def membership(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sid, parity sketch) of documents, and rows (shingle, seen) of
-    columns that several sets of one batch share."""
-    names_of = ["doc_id", "n", "sid", "shingle", "seen", *PARITY, "sketch"]
+    """Rows (doc_id, text_hash, n, sid, parity sketch) of documents, and rows (shingle,
+    seen) of columns that several sets of one batch share."""
+    names_of = ["doc_id", "text_hash", "n", "sid", "shingle", "seen", *PARITY, "sketch"]
     none = lambda m: pa.nulls(m, pa.int64())
 
     def wide_rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +167,7 @@ def membership(docs: DataFrame) -> DataFrame:
             m = len(h)
             if m:
                 yield pa.RecordBatch.from_arrays(
-                    [none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64()), *[none(m) for _ in PARITY], pa.nulls(m, pa.binary())],
+                    [none(m), none(m), none(m), none(m), pa.array(h.view(np.int64)), pa.array(c, pa.int64()), *[none(m) for _ in PARITY], pa.nulls(m, pa.binary())],
                     names_of,
                 )
 
@@ -182,7 +187,7 @@ def membership(docs: DataFrame) -> DataFrame:
             k = len(sizes)
             bits = np.stack(odd) if odd else np.zeros((0, len(PARITY)), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)]
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), none(k), none(k)]
                 + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(PARITY))]
                 + [pa.array(long, pa.binary())],
                 names_of,
@@ -195,7 +200,7 @@ def membership(docs: DataFrame) -> DataFrame:
                 seen, parts, held = set(), [], 0
         yield from wide_rows(parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names_of[:-1]) + ", sketch binary")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, ", ".join(f"{c} long" for c in names_of[:-1]) + ", sketch binary")
 
 
 def wide_columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +366,7 @@ def routes(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     share = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FIRST_PAIRS).cast("int").alias("parts"))
     first = share.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("turn"))
     second = pairs.join(share, "a").select(F.col("b").alias("sid"), "a", F.pmod(F.hash("b"), "parts").alias("salt"), F.lit(1).alias("turn"))
-    return first.unionByName(second).join(owners.select("sid", F.col("doc_id").alias("owner")), "sid")
+    return first.unionByName(second).join(owners.select("sid", F.col("doc_id").alias("owner"), "owner_hash"), "sid")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -369,7 +374,9 @@ def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
     matrix are made from the one document that owns each and shuffled once."""
     wanted = written(routes(pairs, owners), "routes")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    named = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("owner"))).select("a", "salt", "turn", "sid", "text")
+    own = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    mine = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_hash"))
+    named = own.join(side, mine).select("a", "salt", "turn", "sid", "text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, name, items = None, None, b""
@@ -380,7 +387,7 @@ def verified(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
                 if text != last:
                     s = shingle_set(text)
                     last, name, items = text, set_id(s) if len(s) else None, s.tobytes()
-                if name == sid:  # other rows may bear the owner's doc_id
+                if name == sid:  # other texts may have its hash
                     keep.append(i)
                     sets.append(items)
             picked = batch.take(pa.array(keep, pa.int64()))
@@ -443,7 +450,8 @@ def _join(docs: DataFrame) -> DataFrame:
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * POSTING.itemsize // (4 * BLOCK_BYTES), 1)
     found = written(products(postings(docs, wide, n_blocks), n_blocks), "products")
     first = lambda c: F.min(c).alias(c)  # noqa: E731  equal in all rows of a set
-    each = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), first("n"), *map(first, PARITY))
+    owner_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    each = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), owner_hash.alias("owner_hash"), F.count(F.lit(1)).alias("copies"), first("n"), *map(first, PARITY))
     owners = written(each, "owners")
     stars = written(sketched(found.filter("n is null").select("a", "b"), owners), "stars")
     pairs = written(narrowed(stars, rows), "pairs")

@@ -137,3 +137,25 @@ def test_components(spark):
                 todo.append(x)
         assert root == min(reach)
     assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_rows_without_ids_meet_by_their_texts(docs_of):
+    """Near copies without doc_id link with each other and with rows that have one."""
+    rng = random.Random(13)
+    rows, want = [], []
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        near = " ".join([*words[:-1], "changed"])
+        other = None if i % 2 else 1000 - i
+        rows += [(None, " ".join(words)), (other, near)]
+        want += [("None", str(other)), (str(other), str(other))]
+    docs = docs_of(rows)
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.join(docs).collect())
+    assert got == sorted(want)
+    # each text that is needed is fetched once: rows without ids do not meet each other's routes
+    owners = docs.select(F.xxhash64("text").alias("sid"), "doc_id", F.xxhash64("text").alias("owner_hash"))
+    pairs = owners.alias("x").join(owners.alias("y"), F.expr("x.sid < y.sid")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).limit(200)
+    wanted = ngram_join.routes(pairs, owners)
+    own = docs.withColumn("text_hash", ngram_join.text_hash())
+    met = own.join(wanted, own.doc_id.eqNullSafe(wanted.owner) & (own.text_hash == wanted.owner_hash))
+    assert met.count() == wanted.count()
