@@ -31,9 +31,16 @@ def query(sql: str | None = None):
     return register
 
 
+#: Doubles from here on have no fraction.
+WHOLE = 2.0**53
+
+
 def r6(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 1e6 + 0.5) / 1e6
+    """Six decimals.  Spark's floor is a long, so values without a fraction (and NaN) are kept.
+    The array holds the value, so that it is computed once."""
+    x = (F.col(c) if isinstance(c, str) else c) * 1e6 + 0.5
+    whole = F.transform(F.array(x), lambda v: F.when(F.abs(v) < WHOLE, F.floor(v).cast("double")).otherwise(v))
+    return F.get(whole, F.lit(0)) / 1e6
 
 
 def s6(expr: str) -> str:

@@ -181,3 +181,14 @@ def test_live_gate_equals_a_loop(spark, model):
         peak[c] = max(0.985 * peak.get(c, 0.0), rms)
         ok = clarity > 0.5 if model else clarity >= 0.3 and freq > 0
         assert math.isclose(got[c, i].peak, peak[c], rel_tol=1e-9, abs_tol=1e-300) and got[c, i].voiced == (rms >= peak[c] * 0.28 and ok)
+
+
+def test_rounding_keeps_values_beyond_the_range_of_longs(spark):
+    from tessela.plans.queries import r6
+
+    values = [1.5, -2.3456785, 0.0000005, 9.3e12, -9.3e12, 3.449824130292015e18, 9.183126665614334e119, float("inf")]
+    made = spark.createDataFrame([(v,) for v in values], "v double").select(r6("v").alias("r"), r6(F.col("v")).alias("s"))
+    assert [r.r for r in made.collect()] == [np.floor(v * 1e6 + 0.5) / 1e6 for v in values]
+    assert [r.s for r in made.collect()] == [r.r for r in made.collect()]
+    odd = spark.sql("SELECT double('NaN') AS v UNION ALL SELECT NULL").select(r6("v").alias("r")).collect()
+    assert sorted(str(r.r) for r in odd) == ["None", "nan"]
