@@ -44,58 +44,116 @@ def ids_to_text(decoded: DataFrame, vocab: DataFrame) -> DataFrame:
     return got.select("clip_id", normalise(F.replace(F.array_join("x.token", ""), F.lit(WORD_MARK), F.lit(" "))).alias("text"))
 
 
+#: Bytes of steps back that are held at once.
+BACK_BYTES = 32 << 20
+
+
+class Trellis:
+    """States blank, t1, blank, t2, ... over frames; only those that a whole path can pass.
+
+    A frame goes at most two states on, so frame t has states up to 2 t + 1, and from lower
+    ones than ``low(t)`` the end is out of reach.  These bounds move together: what a state in
+    them follows is in them too, and the scores are those of the whole table."""
+
+    def __init__(self, lp: np.ndarray, target: list[int], blank: int):
+        self.n, self.size = len(lp), 2 * len(target) + 1
+        self.wide = lp.astype(np.float64)
+        top = self.wide.max(1)
+        self.norm = (top + np.log(np.exp(self.wide - top[:, None]).sum(1))).astype(np.float32).astype(np.float64)
+        self.label = np.full(self.size, blank)
+        self.label[1::2] = target
+        self.skip = np.zeros(self.size, bool)
+        self.skip[3::2] = self.label[3::2] != self.label[1:-2:2]
+
+    def low(self, t: int) -> int:
+        return max(0, self.size - 2 - 2 * (self.n - 1 - t))
+
+    def high(self, t: int) -> int:
+        return min(self.size, 2 * t + 2)
+
+    def width(self) -> int:
+        return min(self.size, 2 * (self.n - self.size // 2) + 2)
+
+    def emit(self, t: int, states) -> np.ndarray:
+        return self.wide[t, self.label[states]] - self.norm[t]
+
+    def start(self) -> np.ndarray:
+        return self.emit(0, slice(self.low(0), self.high(0))).astype(np.float32)
+
+    def step(self, t: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of frame t from those of the one before, and the steps back."""
+        low, high, before = self.low(t), self.high(t), self.low(t - 1)
+        held = np.full(high - low + 2, NOTHING, np.float32)
+        first = max(low - 2, before)
+        part = score[first - before : high - before]
+        held[first - low + 2 : first - low + 2 + len(part)] = part
+        best, back = held[2:].copy(), np.zeros(high - low, np.uint8)
+        take = held[1:-1] > best
+        best[take], back[take] = held[1:-1][take], 1
+        take = self.skip[low:high] & (held[:-2] > best)
+        best[take], back[take] = held[:-2][take], 2
+        made = (best.astype(np.float64) + self.emit(t, slice(low, high))).astype(np.float32)
+        return np.where(best <= NOTHING / 2, np.float32(NOTHING), made), back
+
+    def path(self) -> np.ndarray | None:
+        """The state of every frame.  Scores at cuts are kept, and the steps back of a part are
+        made when the path comes to it."""
+        part = max(BACK_BYTES // self.width(), int(self.n**0.5), 1)
+        kept, score = {}, self.start()
+        for t in range(1, self.n):
+            if (t - 1) % part == 0:
+                kept[t - 1] = score
+            score, _ = self.step(t, score)
+        ends = np.full(2, NOTHING, np.float32)
+        for i, state in enumerate((self.size - 1, self.size - 2)):
+            if state < self.high(self.n - 1):
+                ends[i] = score[state - self.low(self.n - 1)]
+        if ends.max() <= NOTHING / 2:
+            return None
+        path = np.empty(self.n, np.int64)
+        path[-1] = self.size - 1 - int(ends.argmax())
+        for cut in sorted(kept, reverse=True):
+            last, score, backs = min(cut + part, self.n - 1), kept[cut], []
+            for t in range(cut + 1, last + 1):
+                score, back = self.step(t, score)
+                backs.append(back)
+            for t in range(last, cut, -1):
+                path[t - 1] = path[t] - backs[t - cut - 1][path[t] - self.low(t)]
+        return path
+
+
 def forced_alignment(lp: np.ndarray, target: list[int], blank: int) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(first frame, last frame, mean best log-probability) of each target token along
     the best path through blank, t1, blank, t2, ..., or None without a path.  Scores are
     single precision; staying wins ties, then the nearer state; a tie at the end goes to
-    the last blank."""
-    n, size = len(lp), 2 * len(target) + 1
+    the last blank.  Memory grows with the frames and the targets, not with their product."""
+    n = len(lp)
     if not target or n < len(target):
         return None
-    wide = lp.astype(np.float64)
-    top = wide.max(1)
-    norm = (top + np.log(np.exp(wide - top[:, None]).sum(1))).astype(np.float32)
-    label = np.full(size, blank)
-    label[1::2] = target
-    skip = np.zeros(size, bool)
-    skip[3::2] = label[3::2] != label[1:-2:2]
-    emit = wide[:, label] - norm[:, None].astype(np.float64)
-    score = np.full(size, NOTHING, np.float32)
-    score[:2] = emit[0, :2]
-    back = np.zeros((n, size), np.uint8)
-    for t in range(1, n):
-        best = score.copy()
-        one = np.concatenate([[np.float32(NOTHING)], score[:-1]])
-        take = one > best
-        best[take], back[t, take] = one[take], 1
-        two = np.concatenate([np.full(2, NOTHING, np.float32), score[:-2]])
-        take = skip & (two > best)
-        best[take], back[t, take] = two[take], 2
-        score = np.where(best <= NOTHING / 2, np.float32(NOTHING), (best.astype(np.float64) + emit[t]).astype(np.float32))
-    ends = score[[size - 1, size - 2]]
-    if ends.max() <= NOTHING / 2:
+    trellis = Trellis(lp, target, blank)
+    path = trellis.path()
+    if path is None:
         return None
-    path = np.empty(n, np.int64)
-    path[-1] = size - 1 - int(ends.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = path[t] - back[t, path[t]]
     # states never fall along the path, so a token's frames are one stretch of it
     own = 2 * np.arange(len(target)) + 1
     first, last = np.searchsorted(path, own, "left"), np.searchsorted(path, own, "right") - 1
     if (last < first).any():
         return None
-    on_path = pd.Series(emit[np.arange(n), path]).groupby(path).max()
+    on_path = pd.Series(trellis.emit(np.arange(n), path)).groupby(path).max()
     return first, last, float(on_path[own].mean())
 
 
 def align_tokens(frames: DataFrame, targets: DataFrame, blank: int) -> DataFrame:
-    """clip_id, k, id, first, last, mean_lp, accepted for each token of (clip_id, ids)."""
+    """clip_id, k, id, first, last, mean_lp, accepted for each token of (clip_id, ids).  A
+    clip's ids travel once, not with each frame."""
     kind = dict(frames.dtypes)["clip_id"]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         cols = ["clip_id", "k", "id", "first", "last", "mean_lp", "accepted"]
+        if rows.empty or asked.empty:
+            return pd.DataFrame(columns=cols)
         r = rows.sort_values("t")
-        ids = [int(x) for x in r.ids.iloc[0]]
+        ids = [int(x) for x in asked.ids.iloc[0]]
         got = forced_alignment(np.stack(r.lp.to_list()), ids, blank)
         if got is None:
             return pd.DataFrame(columns=cols)
@@ -103,7 +161,9 @@ def align_tokens(frames: DataFrame, targets: DataFrame, blank: int) -> DataFrame
         return pd.DataFrame({"clip_id": r.clip_id.iloc[0], "k": range(len(ids)), "id": ids, "first": a, "last": b, "mean_lp": m, "accepted": m > ACCEPT_MEAN}, columns=cols)
 
     schema = f"clip_id {kind}, k int, id int, first int, last int, mean_lp double, accepted boolean"
-    return frames.join(targets, "clip_id").groupBy("clip_id").applyInPandas(one, schema)
+    # new names, as the targets may come from the frames
+    known = lambda rows, *more: rows.filter("clip_id is not null").select(F.col("clip_id").alias("clip_id"), *more).groupBy("clip_id")
+    return known(frames, "t", "lp").cogroup(known(targets, "ids")).applyInPandas(one, schema)
 
 
 TIMED = "clip_id {key}, i int, word string, t_start double, t_end double"
