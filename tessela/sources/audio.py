@@ -2,8 +2,8 @@
 
 Blocks are read in parts: files are listed without their content, a task reads a file's
 header, and the ranges of blocks that a query wants are planned as rows (about
-``SEGMENT_BYTES`` each), dealt to tasks and read alone.  So a long file is read by many tasks, a
-time range reads its own bytes, and a query without samples reads none.
+``SEGMENT_BYTES`` each), dealt to tasks and read alone.  So a long file is read by many tasks, many
+short ones by a few, a time range reads its own bytes, and a query without samples reads none.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from . import riff
 
 BLOCK = 4096
 SEGMENT_BYTES = 8 << 20
+#: What opening a file costs, in bytes read.
+OPEN_BYTES = 32 << 10
+#: Values of a batch that a task hands over.
+BATCH_VALUES = 1 << 18
 HEADERS = "clip_id string, sr int, channels int, width int, floating boolean, data_at long, frames long, closed boolean"
 BLOCKS = "clip_id string, seq long, t double, sr int, samples array<double>"
 
@@ -39,7 +43,9 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype({"sr": "Int32", "channels": "Int32", "width": "Int32", "floating": "boolean", "data_at": "Int64", "frames": "Int64", "closed": "boolean"})
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInPandas(run, HEADERS)
+    # Spark plans some thirty files a task, as if they were read whole
+    tasks = max(4 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // 16)
+    return files.coalesce(tasks).mapInPandas(run, HEADERS)
 
 
 def segments(found: DataFrame, block: int, start: Column | None, end: Column | None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -65,7 +71,7 @@ def audio_blocks(
         return each.select("clip_id", "seq", (F.col("seq") * block / F.col("sr")).alias("t"), "sr")
     fields = ["sr", "channels", "width", "floating", "data_at", "frames", "closed"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 w = riff.Wave(*(row[c] for c in fields))
@@ -73,8 +79,30 @@ def audio_blocks(
                     x = riff.read_frames(f, w, row["first"] * block, row["n"] * block)
                 yield block_batch(row["clip_id"], row["first"], w.rate, x, block)
 
-    tasks = max(1, parts.count())
-    return parts.select("clip_id", *fields, "first", "n").repartition(tasks).mapInArrow(run, BLOCKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return joined(each_part(batches), block)
+
+    from ..scratch import written  # here, as the module travels by value to where the package is not
+
+    # headers are read once: the plan of the parts is a table
+    plan = written(parts.select("clip_id", *fields, "first", "n"), "audio-parts")
+    cost = F.sum(F.col("n") * block * F.col("channels") * F.col("width") + OPEN_BYTES)
+    n, size = plan.agg(F.count(F.lit(1)), cost).first()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-(size or 0) // SEGMENT_BYTES))
+    return plan.repartition(tasks).mapInArrow(run, BLOCKS)
+
+
+def joined(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Short batches of BLOCKS rows put together."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows * block >= BATCH_VALUES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def block_batch(clip: str, first: int, rate: int, x: np.ndarray, block: int) -> pa.RecordBatch:
