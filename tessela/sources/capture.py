@@ -4,7 +4,8 @@
 files in a folder: an offset is the number of blocks of each clip, so a failed batch is
 read again from its own offsets, and a restarted query goes on at its checkpoint.
 A file whose header has no size yet is open: only its whole blocks count, until the
-writer closes it.  Clips are cut into partitions of at most ``segmentblocks`` blocks.
+writer closes it.  Clips are cut into stretches of at most ``segmentblocks`` blocks, and short
+ones share a partition of about as many.
 
 ``blockspertrigger`` bounds what a trigger takes of each clip.  The first trigger after a
 restart does not know the position (Spark asks for the latest offset first) and takes all
@@ -26,17 +27,27 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from . import audio, riff
 
 
-class Stretch(InputPartition):
-    """Blocks first..first + n - 1 of a file."""
+class Stretches(InputPartition):
+    """(clip, first, n): blocks first..first + n - 1 of files in a folder."""
 
-    def __init__(self, path: str, first: int, n: int):
-        self.path, self.first, self.n = path, first, n
+    def __init__(self, folder: str, parts: list[tuple[str, int, int]]):
+        self.folder, self.parts = folder, parts
+
+    @property
+    def first(self) -> int:
+        return self.parts[0][1]
+
+    @property
+    def n(self) -> int:
+        return sum(n for _, _, n in self.parts)
 
 
 class CaptureReader(DataSourceStreamReader):
     def __init__(self, folder: str, block: int, limit: int, stretch: int):
         self.folder, self.block, self.limit, self.stretch = folder, block, limit, stretch
         self.at: dict[str, int] | None = None
+        #: Size, time and blocks of files that are closed; these are not opened again.
+        self.closed: dict[str, tuple[int, int, int]] = {}
 
     def available(self) -> dict[str, int]:
         """Blocks of every clip that can be read now."""
@@ -44,10 +55,16 @@ class CaptureReader(DataSourceStreamReader):
         found = {}
         for entry in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
             if entry.is_file and not entry.base_name.startswith((".", "_")):
-                with system.open_input_file(entry.path) as f:
-                    w = riff.header(f)
-                if w:
-                    found[entry.base_name] = -(-w.frames // self.block) if w.closed else w.frames // self.block
+                size, changed, blocks = self.closed.get(entry.base_name, (None, None, 0))
+                if (size, changed) != (entry.size, entry.mtime_ns):
+                    with system.open_input_file(entry.path) as f:
+                        w = riff.header(f)
+                    if not w:
+                        continue
+                    blocks = -(-w.frames // self.block) if w.closed else w.frames // self.block
+                    if w.closed:
+                        self.closed[entry.base_name] = (entry.size, entry.mtime_ns, blocks)
+                found[entry.base_name] = blocks
         return found
 
     def initialOffset(self) -> dict:
@@ -62,20 +79,28 @@ class CaptureReader(DataSourceStreamReader):
         self.at = found
         return {"clips": json.dumps(found, sort_keys=True)}
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
         before, after = json.loads(start["clips"]), json.loads(end["clips"])
-        out = []
+        out, room = [], 0
         for clip, n in sorted(after.items()):
             for first in range(before.get(clip, 0), n, self.stretch):
-                out.append(Stretch(f"{self.folder}/{clip}", first, min(self.stretch, n - first)))
+                part = (clip, first, min(self.stretch, n - first))
+                if part[2] > room:
+                    out.append(Stretches(self.folder, []))
+                    room = self.stretch
+                out[-1].parts.append(part)
+                room -= part[2]
         self.at = before | after
         return out
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        with riff.opened(partition.path) as f:
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
+        return audio.joined((self.blocks(f"{partition.folder}/{clip}", clip, first, n) for clip, first, n in partition.parts), self.block)
+
+    def blocks(self, path: str, clip: str, first: int, n: int) -> pa.RecordBatch:
+        with riff.opened(path) as f:
             w = riff.header(f)
-            x = riff.read_frames(f, w, partition.first * self.block, partition.n * self.block)
-        yield audio.block_batch(partition.path.rpartition("/")[2], partition.first, w.rate, x, self.block)
+            x = riff.read_frames(f, w, first * self.block, n * self.block)
+        return audio.block_batch(clip, first, w.rate, x, self.block)
 
 
 class CaptureSource(DataSource):
