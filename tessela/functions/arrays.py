@@ -31,12 +31,21 @@ def rms(a: Column) -> Column:
     return F.sqrt(F.try_divide(F.aggregate(doubles(a), F.lit(0.0), lambda acc, x: acc + x * x), F.size(a)))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where body uses it inside a lambda (an
+    expression there is computed anew for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def z_normalise(a: Column) -> Column:
     """Values minus mean over population deviation; a deviation of 0 counts as 1e-8."""
-    m = mean(a)
-    var = F.try_divide(F.aggregate(doubles(a), F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)), F.size(a))
-    dev = F.when(F.sqrt(var) == 0, F.lit(1e-8)).otherwise(F.sqrt(var))
-    return F.transform(doubles(a), lambda x: (x - m) / dev)
+
+    def scaled(x: Column, m: Column) -> Column:
+        var = F.try_divide(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)), F.size(x))
+        dev = F.when(F.sqrt(var) == 0, F.lit(1e-8)).otherwise(F.sqrt(var))
+        return bound(dev, lambda d: F.transform(x, lambda v: (v - m) / d))
+
+    return bound(doubles(a), lambda x: bound(mean(x), lambda m: scaled(x, m)))
 
 
 def first_argmax(a: Column) -> Column:
@@ -45,8 +54,8 @@ def first_argmax(a: Column) -> Column:
 
 
 def log_sum_exp(a: Column) -> Column:
-    top = F.array_max(doubles(a))
-    return top + F.log(F.aggregate(doubles(a), F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    each = lambda top: F.log(F.aggregate(doubles(a), F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return bound(F.array_max(doubles(a)), lambda top: top + each(top))
 
 
 def bin_cents(i: Column, bins: int = BIN_COUNT) -> Column:
