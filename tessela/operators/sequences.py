@@ -6,7 +6,7 @@ task holds one clip.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -288,18 +288,52 @@ CLOSE, MOST_OVERLAP, AGREEING = 0.8, 30, 0.6
 
 
 def edit_distance(a: str, b: str) -> int:
-    row = np.arange(len(b) + 1)
-    at, y = row.copy(), np.array(list(b))
-    for i, c in enumerate(a, 1):
-        best = np.concatenate([[i], np.minimum(row[:-1] + (y != c), row[1:] + 1)])
-        row = np.minimum.accumulate(best - at) + at
-    return int(row[-1])
-
-
+    """Columns of the table as two integers, the places where it rises and falls by one."""
+    if not a:
+        return len(b)
+    every, last, at = (1 << len(a)) - 1, 1 << (len(a) - 1), {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    rises, falls, distance = every, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        across = (((same & rises) + rises) ^ rises) | same
+        up, down = (falls | ~(across | rises)) & every, rises & across
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        rises, falls = (down | ~(same | falls | up)) & every, up & (same | falls)
+    return distance
+
+
+@lru_cache(maxsize=1 << 18)
 def close(a: str, b: str) -> bool:
     return a == b or (len(a) + len(b) - edit_distance(a, b)) / (len(a) + len(b)) >= CLOSE
 
 
+@lru_cache(maxsize=1 << 18)
+def letter_bits(w: str) -> int:
+    """The letters of a word as bits, its second a as another than its first (several may share
+    one bit)."""
+    out, seen = 0, {}
+    for c in w:
+        seen[c] = seen.get(c, 0) + 1
+        out |= 1 << ((ord(c) + 27 * seen[c]) & 63)
+    return out
+
+
+def agreement(before: list[str], after: list[str]) -> np.ndarray:
+    """``close`` for all pairs of words.  Distances are computed only where the lengths, and the
+    letters that one of both has alone, leave room."""
+    bits = [np.array([letter_bits(w) for w in words], np.uint64) for words in (before, after)]
+    size = [np.array([len(w) for w in words]) for words in (before, after)]
+    x, y, a, b = bits[0][:, None], bits[1][None, :], size[0][:, None], size[1][None, :]
+    least = np.maximum(np.abs(a - b), np.maximum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)))
+    agree = (a + b - least) / (a + b) >= CLOSE
+    for i, j in zip(*np.nonzero(agree), strict=True):
+        agree[i, j] = close(before[i], after[j])
+    return agree
+
+
 def overlap_of(before: list[str], after: list[str]) -> int:
     """Words that the end of one transcript and the start of the next share: the overlap
     with most agreeing words, of equal ones the longest.  The overlap of k words is the
@@ -307,7 +341,7 @@ def overlap_of(before: list[str], after: list[str]) -> int:
     size = min(len(before), len(after), MOST_OVERLAP)
     if not size:
         return 0
-    agree = np.array([[close(a, b) for b in after[:size]] for a in before[-size:]])
+    agree = agreement(before[-size:], after[:size])
     length = np.arange(1, size + 1)
     same = np.array([np.trace(agree, k - size) for k in length])
     fits = same >= np.ceil(length * AGREEING)
@@ -317,7 +351,10 @@ def overlap_of(before: list[str], after: list[str]) -> int:
 def stitch(chunks: list[str]) -> str:
     """Transcripts joined where the end of one and the start of the next agree on most
     words."""
-    return " ".join(reduce(lambda merged, new: merged + new[overlap_of(merged, new) :], (c.split() for c in chunks), []))
+    merged: list[str] = []
+    for new in (c.split() for c in chunks):
+        merged += new[overlap_of(merged[-MOST_OVERLAP:], new) :]
+    return " ".join(merged)
 
 
 def stitched(chunks: DataFrame) -> DataFrame:
