@@ -9,14 +9,17 @@ equal scores always follows an explicit ordinal.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import round4
-from ..functions.similarity import fragment_score, gram_sets, ratio, short_query_boost, suffix_prefix_score
+from ..functions.similarity import fragment_score, gram_sets, packed_grams, ratio, short_query_boost, suffix_prefix_score
 from ..functions.text import no_spaces, normalise, without_preamble, words
 from ..scratch import written
 from .nearest import nearest
@@ -58,15 +61,52 @@ def gram_hits(queries: DataFrame, targets: DataFrame, key: list[str]) -> DataFra
     queries' grams are sent to the targets if a count shows them few, else both are
     shuffled."""
     q = queries.select("query_id", F.explode(gram_sets("ns")).alias("gram"))
-    t = targets.select(*key, F.explode(gram_sets("ns")).alias("gram"))
     few = (queries.agg(F.sum(2 * F.length("ns"))).first()[0] or 0) <= BROADCAST_GRAMS
     # grams are counted as integers so that equal overlaps compare equal
-    met = t.join(F.broadcast(q) if few else q, "gram").groupBy("query_id", *key).agg(
-        F.sum((F.col("gram") < 0).cast("int")).alias("two"), F.sum((F.col("gram") >= 0).cast("int")).alias("three")
-    )
+    if few:
+        each = counted_hits(q, targets.select(*key, "ns"), key)
+    else:
+        t = targets.select(*key, F.explode(gram_sets("ns")).alias("gram"))
+        each = t.join(q, "gram").select("query_id", *key, (F.col("gram") < 0).cast("int").alias("two"), (F.col("gram") >= 0).cast("int").alias("three"))
+    met = each.groupBy("query_id", *key).agg(F.sum("two").alias("two"), F.sum("three").alias("three"))
     return met.select("query_id", *key, (F.col("two") + F.lit(TRIGRAM_WEIGHT) * F.col("three")).alias("overlap"))
 
 
+def counted_hits(asked: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+    """query_id, key, two, three: bigrams and trigrams that a target (key, ns) shares with each of the
+    few queries (query_id, gram), counted where the target lies."""
+    rows = asked.toPandas()
+    known, ids = pd.factorize(rows.query_id, use_na_sentinel=False)
+    order = np.argsort(rows.gram.to_numpy(np.int64), kind="stable")
+    grams, starts = np.unique(rows.gram.to_numpy(np.int64)[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    held = asked.sparkSession.sparkContext.broadcast((grams, starts, ends, known[order], list(ids)))
+    kinds = dict(asked.dtypes) | dict(targets.dtypes)
+    schema = ", ".join([f"query_id {kinds['query_id']}", *(f"`{c}` {kinds[c]}" for c in key), "two long", "three long"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams, starts, ends, queries, ids = held.value
+        names = pd.Series(ids)
+
+        def hits(own: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(np.isin(grams, own, assume_unique=True))
+            n = ends[at] - starts[at]
+            places = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            return np.bincount(queries[places], minlength=len(ids))
+
+        for batch in batches:
+            for i, text in enumerate(batch.ns):
+                if not isinstance(text, str) or not len(grams):
+                    continue
+                own = packed_grams(text)
+                two, three = hits(own[own < 0]), hits(own[own >= 0])
+                met = np.flatnonzero(two + three)
+                if len(met):
+                    yield pd.DataFrame({"query_id": names.iloc[met].to_numpy(), **{c: [batch[c].iloc[i]] * len(met) for c in key}, "two": two[met], "three": three[met]})
+
+    return targets.mapInPandas(run, schema)
+
+
 def meet_all(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """A query set against the whole corpus, in blocks: the corpus is dealt to blocks once,
     and every block gets the queries."""
