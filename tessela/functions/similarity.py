@@ -53,6 +53,99 @@ def gram_sets(s: pd.Series) -> pd.Series:
     return pd.Series([packed_grams(t) if t is not None else [] for t in s])
 
 
+#: Bits of a word of the distance table, pairs advanced together, words of them at most.
+WORD, PAIRS, STATE = 64, 8_192, 1 << 18
+
+
+class Texts:
+    """Texts as letters in one array."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.concatenate([np.empty(0, np.int64), *[codes(t).astype(np.int64) for t in texts]])
+
+    def bags(self, bins: int = 64) -> np.ndarray:
+        """How many letters of each text fall into each of ``bins`` classes."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.bincount(owner * bins + self.letters % bins, minlength=bins * len(self.sizes)).reshape(-1, bins)
+
+
+def edit_distances(a: Texts, b: Texts, ai: np.ndarray, bi: np.ndarray) -> np.ndarray:
+    """Edit distances of the pairs (``ai``, ``bi``) of texts of ``a`` and ``b``."""
+    out = np.maximum(a.sizes[ai], b.sizes[bi])
+    alphabet, inverse = np.unique(np.concatenate([a.letters, b.letters]), return_inverse=True)
+    own, other, words = inverse[: len(a.letters)], inverse[len(a.letters) :], -(-a.sizes[ai] // WORD)
+    order = np.lexsort((-b.sizes[bi], words))
+    order = order[(a.sizes[ai][order] > 0) & (b.sizes[bi][order] > 0)]
+    at = 0
+    while at < len(order):
+        n = int(words[order[at]])
+        end = min(at + max(1, min(PAIRS, STATE // n)), int(np.searchsorted(words[order], n, "right")))
+        chunk = order[at:end]
+        out[chunk] = advanced(a, b, ai[chunk], bi[chunk], own, other, len(alphabet), n)
+        at = end
+    return out
+
+
+def advanced(a: Texts, b: Texts, ai: np.ndarray, bi: np.ndarray, own: np.ndarray, other: np.ndarray, letters: int, words: int) -> np.ndarray:
+    """Distances of pairs whose first texts fill ``words`` words and whose second texts are
+    ordered from the longest on.  The columns of the distance tables are kept as bits and
+    advance together (Myers, with Hyyrö's carries between the words); a step holds only
+    the pairs whose second text goes on."""
+    asked, place = np.unique(ai, return_inverse=True)
+    one, top = np.uint64(1), np.uint64(WORD - 1)
+    # row 0 is for letters that the first text does not have
+    rows, known, at = np.zeros(len(asked) * letters, np.int64), [np.zeros((words, 1), np.uint64)], 1
+    for q, i in enumerate(asked):
+        text = own[a.starts[i] : a.starts[i] + a.sizes[i]]
+        have, which = np.unique(text, return_inverse=True)
+        bits = np.zeros((words, len(have)), np.uint64)
+        n = np.arange(len(text))
+        np.bitwise_or.at(bits, (n // WORD, which), one << (n % WORD).astype(np.uint64))
+        rows[q * letters + have] = np.arange(at, at + len(have))
+        known.append(bits)
+        at += len(have)
+    places, base, starts, sizes = np.concatenate(known, axis=1), place * letters, b.starts[bi], b.sizes[bi]
+    n, out, last = len(ai), a.sizes[ai].copy(), ((a.sizes[ai] - 1) % WORD).astype(np.uint64)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    buffers = [np.empty(n, np.uint64) for _ in range(4)]
+    for j, k in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0]), "left")):
+        row = rows[base[:k] + other[starts[:k] + j]]
+        rise, fall = one, None
+        x, h, v, t = (f[:k] for f in buffers)
+        for w in range(words):
+            p, q, e = up[w, :k], down[w, :k], places[w][row]
+            np.bitwise_or(e, q, out=v)
+            if fall is not None:
+                e |= fall
+            np.bitwise_and(e, p, out=x)
+            x += p
+            x ^= p
+            x |= e
+            np.bitwise_or(x, p, out=h)
+            np.invert(h, out=h)
+            h |= q
+            x &= p
+            if w == words - 1:
+                out[:k] += ((h >> last[:k]) & one).view(np.int64)
+                out[:k] -= ((x >> last[:k]) & one).view(np.int64)
+            else:
+                next_rise, next_fall = h >> top, x >> top
+            h <<= one
+            h |= rise
+            x <<= one
+            if fall is not None:
+                x |= fall
+            np.bitwise_or(v, h, out=t)
+            np.invert(t, out=t)
+            np.bitwise_or(x, t, out=p)
+            np.bitwise_and(h, v, out=q)
+            if w < words - 1:
+                rise, fall = next_rise, next_fall
+    return out
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessela.functions.similarity import Texts, edit_distances
 from tessela.operators import nearest, retrieval
+from tessela.scratch import written
 
 
 def lev(a, b):
@@ -79,3 +82,30 @@ def test_numbered_grams():
     assert len(set(nearest.numbered_grams("aaaaa").tolist())) == 3
     assert set(nearest.numbered_grams("aaaa")) <= set(nearest.numbered_grams("aaaaa"))
     assert len(nearest.numbered_grams("ab")) == 0
+
+
+def test_edit_distances_of_many_pairs():
+    rng = random.Random(2)
+    for letters in ("ab", "abcdefghijklé漢🙂"):
+        a = ["".join(rng.choice(letters) for _ in range(n)) for n in (0, 1, 63, 64, 65, 129, 200)]
+        b = ["".join(rng.choice(letters) for _ in range(rng.randrange(150))) for _ in range(12)] + ["", a[-1][:-3], a[4]]
+        ai, bi = map(np.ravel, np.meshgrid(np.arange(len(a)), np.arange(len(b))))
+        assert edit_distances(Texts(a), Texts(b), ai, bi).tolist() == [lev(a[i], b[j]) for i, j in zip(ai, bi)]
+
+
+def test_unrelated_texts_give_no_row_for_each_pair(spark, monkeypatch):
+    """Buckets that are met whole give back each query's best of a block; their pairs were
+    written as rows before."""
+    kept = {}
+
+    def noted(df, label):
+        out = written(df, label)
+        kept[label] = kept.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nearest, "written", noted)
+    rng = random.Random(6)
+    passages, queries = [(0, i, t) for i, t in enumerate(texts(rng, 300, 10, 14))], list(enumerate(texts(rng, 20, 10, 14)))
+    found, counts = nearest.nearest(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(passages, "grp long, pos long, joined string"), 2, ["grp", "pos"])
+    assert {(r.query_id, r["rank"]): (r.grp, r.pos, round(r.score, 9)) for r in found.collect()} == all_pairs(queries, passages, 2)
+    assert sum(counts[1:]) > 4_000 and kept["possible-pairs"] + kept["block-scores"] < 1_000
