@@ -28,6 +28,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,18 +49,18 @@ class PieceCodec:
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pieces: dict[str, tuple[float, int]] = {}
         self.byte_ids: dict[int, int] = {}
-        self.names: list[str] = []
-        self.bytes_of: dict[int, int] = {}
-        self.silent: set[int] = set()
+        #: what each id decodes to, nothing for control and unknown ids
+        self.raw: list[bytes] = []
         for i in range(sp.get_piece_size()):
             name = sp.id_to_piece(i)
-            self.names.append(name)
             if sp.is_byte(i):
                 value = int(name[1:-1], 16)
-                self.byte_ids[value], self.bytes_of[i] = i, value
+                self.byte_ids[value] = i
+                self.raw.append(bytes([value]))
             elif sp.is_control(i) or sp.is_unknown(i):
-                self.silent.add(i)
+                self.raw.append(b"")
             else:
+                self.raw.append(name.replace(MARK, " ").encode())
                 self.pieces[name] = (-sp.get_score(i), i)
         whole = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
         self.cut = re.compile("[^$]*|$" if whole else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
@@ -70,35 +71,37 @@ class PieceCodec:
         self.new: list[str] = []
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of a chunk, by the agenda."""
-        pieces, symbols, n = self.pieces, list(chunk), len(chunk)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, int]] = []
-
-        def propose(a: int, b: int) -> None:
-            found = pieces.get(symbols[a] + symbols[b])
-            if found:
-                heapq.heappush(agenda, (found[0], a, b, len(symbols[a]) + len(symbols[b])))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        """Ids of a chunk, by the agenda.  A symbol is its first and its end place; an entry
+        (score, first, middle, end) holds while its two symbols stand so."""
+        get, n = self.pieces.get, len(chunk)
+        before, ends = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [(found[0], a, a + 1, a + 2) for a in range(n - 1) if (found := get(chunk[a : a + 2]))]
+        heapq.heapify(agenda)
         while agenda:
-            _, a, b, size = heapq.heappop(agenda)
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != size or after[a] != b:
+            _, a, b, end = heappop(agenda)
+            if ends[a] != b or ends[b] != end:
                 continue
-            symbols[a] += symbols[b]
-            symbols[b] = ""
-            after[a] = c = after[b]
+            ends[a], ends[b] = end, 0
+            if end < n:
+                before[end] = a
+                found = get(chunk[a : ends[end]])
+                if found:
+                    heappush(agenda, (found[0], a, end, ends[end]))
+            c = before[a]
             if c >= 0:
-                before[c] = a
-                propose(a, c)
-            if before[a] >= 0:
-                propose(before[a], a)
+                found = get(chunk[c:end])
+                if found:
+                    heappush(agenda, (found[0], c, a, end))
         ids: list[int] = []
-        for s in symbols:
-            if s:
-                found = pieces.get(s)
-                ids.extend([found[1]] if found else (self.byte_ids[x] for x in s.encode()))
+        a = 0
+        while a < n:
+            s = chunk[a : ends[a]]
+            found = get(s)
+            if found:
+                ids.append(found[1])
+            else:
+                ids.extend([self.byte_ids[x] for x in s.encode()])
+            a = ends[a]
         return ids
 
     def coded(self, chunk: str) -> tuple[str, str]:
@@ -118,7 +121,8 @@ class PieceCodec:
     def verify(self, texts: list[str]) -> None:
         """Raises unless the library agrees on ``texts`` and on all chunks made since the
         last call."""
-        fresh = "\n".join(self.new).replace(MARK, " ")
+        # a line break in front, as the library puts a mark before the first line
+        fresh = "\n".join(["", *self.new]).replace(MARK, " ") if self.new else ""
         for text in [*texts, *([fresh] if fresh else [])]:
             ids, decoded = self.encode_text(text)
             expected = self.library.encode(text)
@@ -145,13 +149,7 @@ class PieceCodec:
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ``ids``; byte pieces are read as UTF-8; with ``first``, the space
         in front of the first piece goes."""
-        raw = bytearray()
-        for i in ids:
-            if i in self.bytes_of:
-                raw.append(self.bytes_of[i])
-            elif i not in self.silent:
-                raw += self.names[i].replace(MARK, " ").encode()
-        text = raw.decode("utf-8", errors="replace")
+        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", errors="replace")
         return text[1:] if first and text[:1] == " " else text
 
 

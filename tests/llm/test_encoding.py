@@ -44,6 +44,16 @@ def test_piece_codec_equals_the_library(docs_of):
     assert piece_codec.encode_documents(docs_of([])).collect() == [] and whole("") == []
 
 
+def test_the_first_new_chunk_is_checked_in_its_own_form():
+    """It had a second mark in front before, which made it another chunk."""
+    own = piece_codec.PieceCodec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    own.encode_text("hello there")
+    own.verify(["hello there"])
+    own.new, own.young["▁hello"] = ["▁hello"], ("5", " x")
+    with pytest.raises(ValueError, match="differ"):
+        own.verify([])
+
+
 def test_packing_takes_the_default_tokenizers_ids(docs_of):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.document_encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
