@@ -4,7 +4,9 @@ A text gets a space in front, spaces become the word mark, and the symbols (at f
 single characters) are merged in the order of an agenda: a heap of adjacent pairs
 whose concatenation is a piece, best score first and leftmost first among equals;
 every merge puts the two new neighbouring pairs on the agenda, and entries whose
-symbols have changed since are skipped.  What is no piece falls back to bytes.
+symbols have changed since are skipped.  Of a short chunk the agenda is the list of its
+pairs' scores in the order of places, from which the least is taken, without entries to
+skip.  What is no piece falls back to bytes.
 
 No piece of such vocabularies holds a character before a word mark, or a line break;
 that is verified when the vocabulary is loaded, and texts are then cut there without
@@ -25,10 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +42,9 @@ from .common import default_tokenizer, tokenizer_bytes
 
 MARK = "▁"
 CACHE, CACHED_CHARS = 400_000, 64
+#: Chunks of at most so many characters have their agenda as a list.
+SHORT = 48
+NEVER = math.inf
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _codecs: dict[int, "PieceCodec"] = {}
@@ -62,6 +70,7 @@ class PieceCodec:
             else:
                 self.raw.append(name.replace(MARK, " ").encode())
                 self.pieces[name] = (-sp.get_score(i), i)
+        self.scores = {name: found[0] for name, found in self.pieces.items()}
         whole = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces)
         self.cut = re.compile("[^$]*|$" if whole else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
         self.whole = whole
@@ -71,7 +80,36 @@ class PieceCodec:
         self.new: list[str] = []
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of a chunk, by the agenda.  A symbol is its first and its end place; an entry
+        """Ids of a chunk, by the agenda."""
+        get = self.pieces.get
+        ids: list[int] = []
+        for s in self.merged_short(chunk) if len(chunk) <= SHORT else self.merged_long(chunk):
+            found = get(s)
+            if found:
+                ids.append(found[1])
+            else:
+                ids.extend([self.byte_ids[x] for x in s.encode()])
+        return ids
+
+    def merged_short(self, chunk: str) -> list[str]:
+        """Symbols of a chunk; the agenda has one score for each pair, never for no piece."""
+        score, symbols = self.scores.get, list(chunk)
+        agenda = list(map(score, map(add, chunk, chunk[1:]), repeat(NEVER)))
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            del agenda[i]
+            symbols[i] = made = symbols[i] + symbols.pop(i + 1)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + made, NEVER)
+            if i < len(agenda):
+                agenda[i] = score(made + symbols[i + 1], NEVER)
+        return symbols
+
+    def merged_long(self, chunk: str) -> list[str]:
+        """Symbols of a chunk.  A symbol is its first and its end place; an entry
         (score, first, middle, end) holds while its two symbols stand so."""
         get, n = self.pieces.get, len(chunk)
         before, ends = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -92,17 +130,12 @@ class PieceCodec:
                 found = get(chunk[c:end])
                 if found:
                     heappush(agenda, (found[0], c, a, end))
-        ids: list[int] = []
+        symbols: list[str] = []
         a = 0
         while a < n:
-            s = chunk[a : ends[a]]
-            found = get(s)
-            if found:
-                ids.append(found[1])
-            else:
-                ids.extend([self.byte_ids[x] for x in s.encode()])
+            symbols.append(chunk[a : ends[a]])
             a = ends[a]
-        return ids
+        return symbols
 
     def coded(self, chunk: str) -> tuple[str, str]:
         """A chunk's ids as decimal text and their decoded text, from the cache if they

@@ -54,6 +54,16 @@ def test_the_first_new_chunk_is_checked_in_its_own_form():
         own.verify([])
 
 
+def test_short_and_long_agendas_agree():
+    """There was one agenda before, a heap with an entry for each new pair."""
+    own = piece_codec.PieceCodec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    rng = random.Random(8)
+    for letters in ("ab▁", "the ing▁éß漢🙂.$#01\n\tAB", "=-_*a", "\x00\x01aeiou▁"):
+        for _ in range(500):
+            chunk = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 2 * piece_codec.SHORT)))
+            assert own.merged_short(chunk) == own.merged_long(chunk)
+
+
 def test_packing_takes_the_default_tokenizers_ids(docs_of):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encode = packing.document_encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
