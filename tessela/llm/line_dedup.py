@@ -11,18 +11,18 @@ Jaccard similarity.  ``ROWS`` neighbouring minima make a bucket key: at a simila
 of it, which lines with few shingles cannot miss.
 
 Pairs that agree in fewer than ``AGREE`` minima are given up (of pairs at 0.75 three in a
-thousand are lost by this; lines of few shingles are exempt).  Lines of other pairs also
-get the size of their shingle set and its parity sketch: for each of ``BITS`` classes of
-shingles, whether the set has an odd number of them.  Bits that differ bound the difference
-of two sets from below, so pairs whose sketches differ too much for the similarity are
-given up without a loss.
+thousand are lost by this; lines of few shingles are exempt).
 
 Within a bucket every line is paired with one centre.  Exact Jaccard over the shingles
 decides the pairs that are left; links are united by distributed star contractions.  In
 buckets whose lines still lie in several components the lines outside the centre's
-component meet the others under the same tests; of these pairs each line's best agreeing
-one is decided first, then those that the new links leave in different components.  One
-line of a component stays: the earliest by (doc_id, line number).
+component meet the others.  Those that agree with one also get the size of their shingle
+set and its parity sketch: for each of ``BITS`` classes of shingles, whether the set has an
+odd number of them.  Bits that differ bound the difference of two sets from below, so pairs
+whose sketches differ too much for the similarity are given up without a loss.  Of the
+others each line's best agreeing one is decided first, then those that the new links leave
+in different components.  One line of a component stays: the earliest by (doc_id, line
+number).
 
 Only keys, minima and sketches are shuffled, texts only for lines that share a bucket;
 copies are merged map-side first.  Lines join their component's verdict with hot lines by
@@ -50,6 +50,10 @@ ROWS, BANDS, AGREE = 2, 6, 5
 FEW = 9
 #: Bits of a parity sketch, held in longs.
 BITS = 1024
+#: Shingles of longer lines are compared as hashes, which take less memory.
+LONG = 100_000
+#: All shingles of a line; a match consumes one character, which may be two code units.
+EVERY = f"(?s)(?=(.{{{SHINGLE}}}))."
 
 
 def masks() -> list[int]:
@@ -87,9 +91,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.withColumn("lid", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
-def shingles(points: str, last: str) -> Column:
-    """Hashes of the distinct shingles of the line in columns ``points`` and ``last``."""
-    return F.expr(f"array_distinct(transform(sequence(0, {last}), i -> {shingle_hash(points, 'i')}))")
+def shingles(line: str) -> Column:
+    """The shingles of column ``line``."""
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(F.col(line), F.lit(EVERY), F.lit(1)))
+
+
+def hashed_shingles(points: str) -> Column:
+    """Hashes of the shingles of the line in column ``points``."""
+    return F.expr(f"transform(sequence(0, greatest(octet_length({points}) div 4 - {SHINGLE}, 0)), i -> {shingle_hash(points, 'int(i)')})")
+
+
+def common_share(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays as (k, all): sizes of their intersection and union."""
+    return F.struct(F.size(F.array_intersect(x, y)).alias("k"), F.size(F.array_union(x, y)).alias("all"))
 
 
 def shingle_rows(lines: DataFrame, *keys: str) -> DataFrame:
@@ -168,28 +182,26 @@ def similar(lines: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     written table."""
     ids = written(ends(pairs), "line-ids")
     texts = of_ids(lines, ids)
-    one = lambda own, x: texts.select(F.col("lid").alias(own), points_of(F.col("line")).alias(x), last_start(F.col("line")).alias(f"{x}_last"))
+    one = lambda own, x: texts.select(F.col("lid").alias(own), F.col("line").alias(x), F.when(F.length("line") > LONG, points_of(F.col("line"))).alias(f"{x}_points"))
     both = pairs.select("a", "b").join(one("b", "y"), "b").join(one("a", "x"), "a")
-    sets = both.select("a", "b", shingles("x", "x_last").alias("x"), shingles("y", "y_last").alias("y"))
-    met = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("k"))
-    out = written(met.filter(F.col("k") >= least * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b"), "line-links")
+    points = [F.coalesce(f"{x}_points", points_of(F.col(x))).alias(f"{x}_points") for x in "xy"]
+    far = F.expr("x_points IS NOT NULL OR y_points IS NOT NULL")
+    short = both.filter(~far).select("a", "b", common_share(shingles("x"), shingles("y")).alias("met"))
+    # the points of a line are made before its shingles are cut, not for each of them
+    long = written(both.filter(far).select("a", "b", *points), "long-pairs")
+    met = short.unionByName(long.select("a", "b", common_share(hashed_shingles("x_points"), hashed_shingles("y_points")).alias("met")))
+    out = written(met.filter(F.col("met.k") >= least * F.col("met.all")).select("a", "b"), "line-links")
+    drop_table(long)
     drop_table(ids)
     return out
 
 
-def star_pairs(members: DataFrame, signed: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's centre with its other lines that may be similar, as a
-    written table."""
+def star_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre with its other lines that agree, as a written
+    table."""
     pairs = members.filter("lid <> hub").select(F.col("hub").alias("lid_x"), F.col("lid").alias("lid_y")).distinct()
     both = pairs.join(suffixed(signed, "_x"), "lid_x").join(suffixed(signed, "_y"), "lid_y").filter(F.expr(agreeing("_x", "_y")))
-    agreed = written(both.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")), "agreeing-pairs")
-    ids = written(ends(agreed), "line-ids")
-    maps = written(sketches(of_ids(lines, ids)), "sketches")
-    met = agreed.join(suffixed(maps, "_x").withColumnRenamed("lid_x", "a"), "a").join(suffixed(maps, "_y").withColumnRenamed("lid_y", "b"), "b")
-    out = written(met.filter(F.expr(near("_x", "_y", least))).select("a", "b"), "star-pairs")
-    for done in (agreed, ids, maps):
-        drop_table(done)
-    return out
+    return written(both.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")), "star-pairs")
 
 
 def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -201,14 +213,20 @@ def open_pairs(members: DataFrame, roots: DataFrame, signed: DataFrame, lines: D
     split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), at_hub.alias("centre"), F.count(F.lit(1)).alias("k"))
     still = labelled.join(split.filter("lo <> hi and k > 2").select("key", "centre"), "key").filter("lid <> hub")
     still = written(still.select("key", "lid", "root", (F.col("root") != F.col("centre")).alias("outside")), "open-members")
-    ids = written(still.select("lid").distinct(), "line-ids")
-    known = of_ids(signed, ids).join(sketches(of_ids(lines, ids)), "lid")
-    told = written(still.join(known, "lid"), "open-buckets")
-    met = suffixed(told.filter("outside"), "_x").join(suffixed(told, "_y"), F.col("key_x") == F.col("key_y"))
-    met = met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {agreeing('_x', '_y')} AND {near('_x', '_y', least)}"))
+    shared = written(still.select("lid").distinct(), "line-ids")
+    signs = written(still.join(of_ids(signed, shared), "lid"), "open-signatures")
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        met = suffixed(rows.filter("outside"), "_x").join(suffixed(rows, "_y"), F.col("key_x") == F.col("key_y"))
+        return met.filter(F.expr(f"root_x <> root_y AND (NOT outside_y OR lid_x < lid_y) AND {agreeing('_x', '_y')}"))
+
+    # sketches are made for lines that agree with one at least
+    ids = written(meeting(signs).select(F.explode(F.array("lid_x", "lid_y")).alias("lid")).distinct(), "agreeing-ids")
+    told = written(signs.join(sketches(of_ids(lines, ids)), "lid"), "open-buckets")
+    met = meeting(told).filter(F.expr(near("_x", "_y", least)))
     pairs = met.select(F.least("lid_x", "lid_y").alias("a"), F.greatest("lid_x", "lid_y").alias("b"), F.expr(agreement("_x", "_y")).alias("agreed"))
     out = written(pairs.distinct(), "open-pairs")
-    for done in (still, ids, told):
+    for done in (still, shared, signs, ids, told):
         drop_table(done)
     return out
 
@@ -229,7 +247,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     members = written(bucket_members(signed), "bucket-members")
     shared = written(members.select("lid").distinct(), "shared-lines")
     lines = written(of_ids(each, shared).distinct(), "lines")
-    pairs = star_pairs(members, signed, lines, similarity)
+    pairs = star_pairs(members, signed)
     links = similar(lines, pairs, similarity)
     roots = components(links, "a", "b")
     rest = open_pairs(members, roots, signed, lines, similarity)

@@ -80,3 +80,37 @@ def test_repeats_and_short_lines(docs_of):
     for i, (a, b) in enumerate(pairs):
         assert len(shingles(a) & shingles(b)) >= 0.75 * len(shingles(a) | shingles(b))
         assert first[100 + i, 0] == (100 + i, 2, True) and first[100 + i, 1] == (100 + i, 2, False)
+
+
+def test_similarity_of_pairs_is_exact(docs_of, monkeypatch):
+    """Pairs are decided without sketches, short lines by the shingles themselves; characters
+    beyond the basic plane count as one, also where lines are long."""
+    rng = random.Random(2)
+    base = "".join(rng.choice("abc é漢🙂🙃") for _ in range(300))
+    lines = [base, "ab", "🙂" * 9, "🙂" * 12, "a" * 40]
+    for edits in (1, 3, 5, 8):
+        chars = list(base)
+        for _ in range(edits):
+            chars[rng.randrange(300)] = "🙃x"
+        lines.append("".join(chars))
+    sets = [shingles(x) for x in lines]
+    frame = docs_of(list(enumerate(lines))).selectExpr("doc_id AS lid", "text AS line")
+    pairs = frame.selectExpr("lid AS a").crossJoin(frame.selectExpr("lid AS b")).filter("a < b")
+    for long in (line_dedup.LONG, 50):
+        monkeypatch.setattr(line_dedup, "LONG", long)
+        for least in (0.3, 0.6, 0.75, 0.9):
+            got = {(r.a, r.b) for r in line_dedup.similar(frame, pairs, least).collect()}
+            assert got == {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and len(x & y) >= least * len(x | y)}
+
+
+def test_only_agreeing_lines_are_sketched(docs_of, monkeypatch):
+    """Before, all lines of a bucket that star pairs or open pairs could come from were."""
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    base = say(30)
+    rows = [(i, base[:at] + "Q" + base[at + 1 :]) for i, at in enumerate(rng.sample(range(200), 20))]
+    sketched = []
+    make = line_dedup.sketches
+    monkeypatch.setattr(line_dedup, "sketches", lambda lines: sketched.append(lines.count()) or make(lines))
+    got = line_dedup.dedup_lines(docs_of(rows)).collect()
+    assert {r.component_size for r in got} == {20} and sum(sketched) == 0
