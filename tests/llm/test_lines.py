@@ -114,3 +114,57 @@ def test_only_agreeing_lines_are_sketched(docs_of, monkeypatch):
     monkeypatch.setattr(line_dedup, "sketches", lambda lines: sketched.append(lines.count()) or make(lines))
     got = line_dedup.dedup_lines(docs_of(rows)).collect()
     assert {r.component_size for r in got} == {20} and sum(sketched) == 0
+
+
+def test_centre_is_the_line_with_least_of_its_own(docs_of):
+    """Before, a bucket's centre was any of its lines, and those with a passage in common met
+    each other by pairs."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    base = say(60)
+    frame = docs_of([(99, base)] + [(i, base + " " + say(25)) for i in range(1, 40)]).selectExpr("doc_id AS lid", "text AS line")
+    members = line_dedup.bucket_members(line_dedup.written(line_dedup.signatures(frame), "signatures")).collect()
+    size = {}
+    for m in members:
+        size[m.key] = size.get(m.key, 0) + 1
+    hubs = [m.hub for m in members if size[m.key] >= 12]
+    assert hubs and set(hubs) == {99}
+
+
+def test_open_pairs_come_out_once_and_none_is_lost(docs_of):
+    """Lines of a bucket in different components meet; each pair comes out by the first key
+    that it shares, and sketches give up no pair that is similar."""
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    lines = []
+    for _ in range(6):
+        base = say(rng.choice([2, 8, 40])).split()
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 12)):
+                words[rng.randrange(len(words))] = say(1)
+            lines.append(" ".join(words) + rng.choice(["", " é", " ab"]))
+    lines = sorted(set(lines)) + ["-" * 12, "-" * 30, "-" * 50]
+    frame = line_dedup.written(docs_of(list(enumerate(lines))).selectExpr("doc_id AS lid", "text AS line"), "lines")
+    signed = line_dedup.written(line_dedup.signatures(frame), "signatures")
+    members = line_dedup.bucket_members(signed)
+    still = line_dedup.open_members(members, docs_of([]).selectExpr("doc_id AS node", "doc_id AS root"))
+    known = line_dedup.open_lines(still, signed, frame)
+    out = [(r.a, r.b) for r in line_dedup.open_pairs(still, known, 0.75).collect()]
+    assert len(out) == len(set(out))
+    sets = [shingles(x) for x in lines]
+    assert {r.lid: r.n for r in known.collect()} == {r.lid: len(sets[r.lid]) for r in known.collect()}
+    buckets, hub = {}, {}
+    for m in members.collect():
+        buckets.setdefault(m.key, set()).add(m.lid)
+        hub[m.key] = m.hub
+    minima = {r.lid: r for r in signed.collect()}
+    agreed = lambda a, b: minima[a].few or minima[b].few or sum(minima[a][m] == minima[b][m] for m in line_dedup.MINIMA) >= line_dedup.AGREE
+    want = set()
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            if a < b and len(x & y) >= 0.75 * len(x | y) and agreed(a, b):
+                shared = [k for k, v in buckets.items() if {a, b} <= v]
+                if shared and not any(hub[k] in (a, b) for k in shared):
+                    want.add((a, b))
+    assert want and want <= set(out)
